@@ -62,7 +62,8 @@ def code_hash(code: Column, language: Column | None = None) -> Column:
 def hack_url(problem_id: Column) -> Column:
     """Contest and index are items 0 and 1 of the id split on '_'."""
     parts = F.split(problem_id, "_", -1)
-    contest, index = F.get(parts, 0), F.get(parts, 1)
+    contest = F.coalesce(F.get(parts, 0), F.lit(""))
+    index = F.coalesce(F.get(parts, 1), F.lit(""))
     return F.format_string(K.HACK_URL, contest, index)
 
 

@@ -166,10 +166,12 @@ def checker_outcome_detail(df: DataFrame, exit_col: str = "checker_exit", dialec
     partial codes overlap the plain ones, so pctype stays NULL there."""
     spark = df.sparkSession
     dim = (outcome_dimension(spark, unexpected_eof_enabled)
-           .where(F.col("dialect") == dialect).drop("dialect"))
+           .where(F.col("dialect") == dialect).drop("dialect")
+           .withColumnRenamed("exit_code", "_dim_code"))
     base = K.PARTIAL_BASE[dialect]
-    j = df.join(F.broadcast(dim), F.col(exit_col) == dim.exit_code, "left").drop(dim.exit_code)
-    partial = F.lit(base > 0) & F.col("outcome").isNull() & (F.col(exit_col) >= base)
+    j = df.join(F.broadcast(dim), F.col(exit_col) == F.col("_dim_code"), "left").drop("_dim_code")
+    j = j.withColumn("_partial", F.lit(base > 0) & F.col("outcome").isNull() & (F.col(exit_col) >= base))
+    partial = F.col("_partial")
     pctype = F.when(partial, F.col(exit_col) - base)
     return (j.withColumn("pctype", pctype.cast("int"))
              .withColumn("outcome", F.when(partial, F.lit("partially"))
@@ -181,7 +183,8 @@ def checker_outcome_detail(df: DataFrame, exit_col: str = "checker_exit", dialec
                           .otherwise(F.coalesce(F.col("outcome_text"), F.lit("FAIL"))))
              .withColumn("judge_status",
                          F.when(F.col("reported") == "ok", F.lit(K.ACCEPTED))
-                          .otherwise(F.lit(K.WRONG_ANSWER))))
+                          .otherwise(F.lit(K.WRONG_ANSWER)))
+             .drop("_partial"))
 
 
 def trailing_output_check(df: DataFrame, outcome_col: str = "outcome",

@@ -105,3 +105,244 @@ SELECT submission_id, case_no, attempt, status, time_used, md5(message) AS messa
 SQL["retry_resolve"] = A.sql_with(RESOLVED_SQL) + """
 SELECT submission_id, case_no, attempt, status, time_used, CAST(attempts_seen AS BIGINT) AS attempts_seen
 FROM resolved"""
+
+
+# --------------------------------------------------------------------------
+# helpers for SQL restatements
+# --------------------------------------------------------------------------
+
+from judgelake import constants as K  # noqa: E402
+from judgelake.functions.text import PY_SPACE_CHARS  # noqa: E402
+
+_ALL_SPACE = PY_SPACE_CHARS + "\n"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def nf_sql(x: str) -> str:
+    """Output normal form: universal newlines, per-line rstrip, trailing
+    empty lines dropped (split / rtrim / join, no look-ahead needed)."""
+    un = f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    lines = f"list_transform(string_split({un}, chr(10)), lambda s: rtrim(s, {_lit(PY_SPACE_CHARS)}))"
+    return f"regexp_replace(array_to_string({lines}, chr(10)), '\\n+$', '')"
+
+
+def dcmp_sql(e: str, a: str, eps: float) -> str:
+    m = repr(eps + K.DOUBLE_EPS_EXTRA)
+    return f"""(CASE WHEN {e} IS NULL OR {a} IS NULL THEN NULL
+      WHEN isnan({e}) THEN isnan({a})
+      WHEN abs({e}) > 1e300 THEN CASE WHEN {e} > 0 THEN NOT isnan({a}) AND {a} > 1e300
+                                      ELSE NOT isnan({a}) AND {a} < -1e300 END
+      WHEN isnan({a}) OR abs({a}) > 1e300 THEN false
+      WHEN abs({a} - {e}) <= {m} THEN true
+      ELSE {a} >= least({e} * (1.0 - {m}), {e} * (1.0 + {m}))
+       AND {a} <= greatest({e} * (1.0 - {m}), {e} * (1.0 + {m})) END)"""
+
+
+def _with(*parts: str) -> str:
+    return A.sql_with(*parts)
+
+
+# --------------------------------------------------------------------------
+# P1-P7
+# --------------------------------------------------------------------------
+
+_LISTS = A.PROBLEMS_SQL + A.SUBMISSION_LISTS_SQL
+
+SQL["eligible_problems"] = _with(_LISTS, """,
+lists AS (SELECT problem_id, count(*) FILTER (WHERE kind = 'incorrect') AS n_inc,
+                 count(*) FILTER (WHERE kind = 'correct') AS n_cor
+          FROM submission_lists GROUP BY problem_id)""") + """
+SELECT p.id, CAST(p.test_case_count AS BIGINT) AS n_tests, CAST(l.n_inc AS BIGINT) AS n_incorrect,
+       CAST(l.n_cor AS BIGINT) AS n_correct
+FROM problems p JOIN lists l ON l.problem_id = p.id
+WHERE contains(p.id, '_') AND p.test_case_count > 0 AND p.true_negative_rate <> 1.0
+  AND l.n_inc > 0 AND l.n_cor > 0"""
+
+SQL["cpp_submissions"] = _with(_LISTS, """,
+has AS (SELECT DISTINCT problem_id FROM submission_lists)""") + """
+SELECT h.problem_id AS id, CAST(count(s.pos) FILTER (WHERE s.language = 'cpp') AS BIGINT) AS n_cpp,
+       coalesce(string_agg(CAST(s.pos AS VARCHAR), ',' ORDER BY s.pos) FILTER (WHERE s.language = 'cpp'), '') AS positions
+FROM has h JOIN problems p ON p.id = h.problem_id
+LEFT JOIN submission_lists s ON s.problem_id = h.problem_id AND s.kind = 'incorrect'
+GROUP BY h.problem_id"""
+
+_P3 = """
+codes AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN ' ' || chr(9) || chr(10) || chr(12288) || ' '
+                                         WHEN 1 THEN NULL WHEN 2 THEN '' ELSE text END AS code
+          FROM documents)"""
+
+SQL["nonblank_code"] = _with(_P3) + f"""
+SELECT doc_id, NOT (code IS NULL OR length(trim(code, {_lit(_ALL_SPACE)})) = 0) AS nonblank FROM codes"""
+
+SQL["hack_url"] = _with(A.PROBLEMS_SQL) + """
+SELECT id, 'https://codeforces.com/contest/' || split_part(id, '_', 1)
+           || '/hacks?verdictName=CHALLENGE_SUCCESSFUL&chosenProblemIndex=' || split_part(id, '_', 2) AS hack_url
+FROM problems"""
+
+SQL["code_hash"] = _with(_P3) + """
+SELECT doc_id, CASE WHEN code IS NULL OR code = '' THEN '' ELSE md5(code) END AS code_hash,
+       CASE WHEN code IS NULL OR code = '' THEN '' ELSE md5(code || 'cpp') END AS exe_key
+FROM codes"""
+
+SQL["limits_with_defaults"] = _with(A.PROBLEMS_SQL) + """
+SELECT id, CAST(coalesce(time_limit, 1000) AS BIGINT) AS time_limit,
+       CAST(coalesce(memory_limit, 256) AS BIGINT) AS memory_limit FROM problems"""
+
+SQL["points_normalise"] = """
+WITH pts AS (
+  SELECT l_orderkey AS submission_id, l_linenumber AS case_no,
+         CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice * 20 WHEN 1 THEN (l_discount - 0.05) * 10
+                               WHEN 2 THEN l_extendedprice / 7 ELSE l_tax END AS points
+  FROM lineitem),
+x AS (SELECT *, CASE WHEN isnan(points) THEN 'Parameter ''points'' can''t be nan'
+                     WHEN abs(points) > 1e300 THEN 'Parameter ''points'' can''t be infinite'
+                     WHEN points < -1e-8 THEN 'Parameter ''points'' can''t be negative'
+                     WHEN points > 1000000.00000001 THEN 'Parameter ''points'' can''t be greater than 1E6' END AS reason,
+                CASE WHEN points <= 0 THEN 0.0 WHEN points >= 1e6 THEN 1e6 ELSE points END AS c
+      FROM pts),
+z AS (SELECT *, CAST(floor(c * 10000000000 + 0.5) AS BIGINT) AS n FROM x)
+SELECT submission_id, case_no,
+       CASE WHEN reason IS NULL THEN
+         regexp_replace(regexp_replace(CAST(n // 10000000000 AS VARCHAR) || '.' || lpad(CAST(n % 10000000000 AS VARCHAR), 10, '0'),
+                                       '(\\.\\d*?)0+$', '\\1'), '\\.$', '.0') END AS points_text,
+       reason IS NOT NULL AS failed, reason
+FROM z"""
+
+# --------------------------------------------------------------------------
+# V2-V9, V11
+# --------------------------------------------------------------------------
+
+SQL["output_compare"] = _with(A.OUTPUTS_SQL) + f"""
+SELECT output_id, coalesce({nf_sql('actual')} = {nf_sql('expected')}, false) AS same FROM outputs"""
+
+SQL["checker_outcome"] = _with(A.RUNS_SQL) + """
+SELECT submission_id, case_no, attempt,
+       CASE WHEN checker_elapsed_s > 10 THEN 'System Error' WHEN checker_exit = 0 THEN 'Accepted'
+            ELSE 'Wrong Answer' END AS checker_status,
+       md5(CASE WHEN checker_elapsed_s > 10 THEN 'Checker timeout on test ' || stem
+                WHEN checker_exit = 0 THEN ''
+                ELSE substr(CASE WHEN coalesce(checker_stderr, '') <> '' THEN checker_stderr
+                                 ELSE coalesce(checker_stdout, '') END, 1, 500) END) AS message_md5
+FROM runs WHERE has_checker"""
+
+
+def _outcome_values() -> str:
+    rows = []
+    for dialect, codes in K.CHECKER_EXIT.items():
+        seen = set()
+        for outcome, code in codes.items():
+            if code in seen:
+                continue
+            seen.add(code)
+            rep = "pe" if outcome == "dirt" else outcome
+            text = {"ok": "ok", "wa": "wrong answer", "pe": "wrong output format", "fail": "FAIL",
+                    "dirt": "wrong output format", "points": "points"}[outcome]
+            rows.append(f"({_lit(dialect)}, {code}, {_lit(outcome)}, {_lit(rep)}, {_lit(text)})")
+    return ", ".join(rows)
+
+
+SQL["checker_outcome_detail"] = _with(A.RUNS_SQL, f""",
+codes AS (SELECT CAST(CASE WHEN checker_exit = 0 THEN 0 ELSE checker_exit + 50 * (submission_id % 2) END AS INTEGER) AS exit_code
+          FROM runs WHERE checker_exit IS NOT NULL),
+counts AS (SELECT exit_code, count(*) AS n FROM codes GROUP BY exit_code),
+dim AS (SELECT * FROM (VALUES {_outcome_values()}) AS t(dialect, exit_code, outcome, reported, outcome_text)),
+dialects AS (SELECT * FROM (VALUES ('default', 0), ('ejudge', 0), ('contester', 0), ('testsys', 50)) AS t(dialect, base)),
+dec AS (
+  SELECT d.dialect, c.exit_code, c.n, m.outcome AS o, m.reported AS r, m.outcome_text AS ot,
+         m.outcome IS NULL AND d.base > 0 AND c.exit_code >= d.base AS partial, d.base
+  FROM counts c CROSS JOIN dialects d
+  LEFT JOIN dim m ON m.dialect = d.dialect AND m.exit_code = c.exit_code)""") + """
+SELECT dialect, exit_code,
+       CASE WHEN partial THEN 'partially' ELSE coalesce(o, 'fail') END AS outcome,
+       CASE WHEN partial THEN 'partially' ELSE coalesce(r, 'fail') END AS reported,
+       CAST(CASE WHEN partial THEN exit_code - base END AS INTEGER) AS pctype,
+       CASE WHEN partial THEN 'partially correct (' || CAST(exit_code - base AS VARCHAR) || ')'
+            ELSE coalesce(ot, 'FAIL') END AS outcome_text,
+       CASE WHEN NOT partial AND coalesce(r, 'fail') = 'ok' THEN 'Accepted' ELSE 'Wrong Answer' END AS judge_status,
+       CAST(n AS BIGINT) AS n
+FROM dec"""
+
+SQL["trailing_output_check"] = """
+WITH t AS (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+') AS found
+  FROM documents),
+e AS (SELECT doc_id, found, CASE WHEN doc_id % 3 = 0 THEN found[1:len(found) - 1] ELSE found END AS expected FROM t),
+o AS (SELECT doc_id, CASE WHEN found[1:len(expected)] = expected THEN 'ok' ELSE 'wa' END AS outcome,
+             array_to_string(found[len(expected) + 1:], ' ') AS remainder FROM e)
+SELECT doc_id, outcome,
+       CASE WHEN outcome = 'ok' AND length(trim(remainder)) > 0 THEN 'pe' ELSE outcome END AS final_outcome,
+       CASE WHEN outcome = 'ok' AND length(trim(remainder)) > 0 THEN 'Extra information in the output file' END AS final_message
+FROM o"""
+
+SQL["numeric_compare"] = _with(A.NUMERIC_PAIRS_SQL) + f"""
+SELECT submission_id, case_no, {dcmp_sql('expected', 'actual', 1e-6)} AS eq_1e6,
+       {dcmp_sql('expected', 'actual', 1e-7)} AS eq_1e7
+FROM numeric_pairs"""
+
+SQL["numeric_error_report"] = _with(A.NUMERIC_PAIRS_SQL, """,
+err AS (SELECT problem_key, CASE WHEN abs(expected) > 1e-9
+                                 THEN least(abs(actual - expected), abs(abs(actual - expected) / expected))
+                                 ELSE abs(actual - expected) END AS e
+        FROM numeric_pairs)""") + """
+SELECT problem_key, round(max(e) * 1e9, 3) AS max_error_e9, round(avg(e) * 1e9, 3) AS mean_error_e9,
+       CAST(count(*) FILTER (WHERE e > 1e-7) AS BIGINT) AS n_above
+FROM err GROUP BY problem_key"""
+
+_STATUSES = ", ".join(_lit(s) for s in K.STATUSES)
+_LANGS = ", ".join(_lit(s) for s in K.LANGUAGES)
+
+SQL["status_domain_check"] = _with(A.SUBMISSIONS_SQL) + f"""
+SELECT id, status, language,
+       CASE WHEN status NOT IN ({_STATUSES}) THEN 'unknown status' ELSE 'unknown language' END AS reject_reason
+FROM submissions WHERE status NOT IN ({_STATUSES}) OR language NOT IN ({_LANGS})"""
+
+_HACKS = A.OUTPUTS_SQL + """,
+o AS (SELECT outputs.*, d.n_chars FROM outputs JOIN documents d ON d.doc_id = outputs.output_id),
+u AS (SELECT output_id AS hack_id, n_chars * 400 AS input_bytes,
+             CASE WHEN output_id % 11 = 0 THEN 'Time Limit Exceeded' WHEN output_id % 11 = 1 THEN 'Runtime Error'
+                  ELSE 'Accepted' END AS run_status,
+             CASE WHEN output_id % 11 = 1 THEN 'Exit code: 1' ELSE '' END AS run_message,
+             actual AS output, output_id % 3 = 0 AS has_checker,
+             CASE WHEN output_id % 5 < 3 THEN 0 ELSE 1 END AS checker_exit,
+             n_chars % 1000 AS time_used
+      FROM o),
+s AS (SELECT output_id AS hack_id, CASE WHEN output_id % 13 = 0 THEN 'Runtime Error' ELSE 'Accepted' END AS std_status,
+             expected AS std_output FROM o WHERE output_id % 17 <> 0),
+j AS (SELECT u.*, s.std_status, s.std_output, s.std_status IS NOT NULL AS has_std
+      FROM u LEFT JOIN s ON s.hack_id = u.hack_id WHERE u.input_bytes <= 10485760),
+v AS (SELECT j.*, CASE WHEN run_status <> 'Accepted' THEN run_status
+                       WHEN has_std AND std_status <> 'Accepted' THEN 'System Error'
+                       WHEN has_std AND has_checker THEN CASE WHEN checker_exit = 0 THEN 'Accepted' ELSE 'Wrong Answer' END
+                       WHEN has_std THEN CASE WHEN coalesce(""" + nf_sql("output") + " = " + nf_sql("std_output") + """, false)
+                                              THEN 'Accepted' ELSE 'Wrong Answer' END
+                       ELSE 'Accepted' END AS status FROM j)"""
+
+SQL["differential_verdict"] = _with(_HACKS) + """
+SELECT hack_id, status,
+       CAST(CASE WHEN has_std AND std_status <> 'Accepted' AND run_status = 'Accepted' THEN 0 ELSE time_used END AS BIGINT) AS time_used,
+       md5(CASE WHEN run_status <> 'Accepted' THEN 'User: ' || run_status || chr(10) || run_message
+                WHEN has_std AND std_status <> 'Accepted' THEN 'Std: ' || std_status
+                WHEN has_std AND has_checker THEN 'User Output:' || chr(10) || substr(coalesce(output, ''), 1, 2000)
+                     || chr(10) || chr(10) || 'Checker: ' || CASE WHEN checker_exit = 0 THEN '' ELSE 'differ at token 1' END
+                WHEN has_std AND status = 'Accepted' THEN 'User Output:' || chr(10) || substr(coalesce(output, ''), 1, 2000)
+                WHEN has_std THEN 'User Output:' || chr(10) || substr(coalesce(output, ''), 1, 1000) || chr(10) || chr(10)
+                     || 'Expected:' || chr(10) || substr(coalesce(std_output, ''), 1, 1000)
+                ELSE 'Output:' || chr(10) || substr(coalesce(output, ''), 1, 2000) END) AS message_md5
+FROM v
+UNION ALL
+SELECT hack_id, 'Rejected', CAST(NULL AS BIGINT), md5('input too large') FROM u WHERE input_bytes > 10485760"""
+
+SQL["submit_retry_resolve"] = _with(A._BASE_SQL, A.VERSION_RESULTS_SQL, """,
+vr2 AS (SELECT * FROM version_results WHERE try_no <= 2),
+f AS (SELECT code_id, version, max(CASE WHEN try_no = 1 THEN verdict END) AS first_v FROM vr2 GROUP BY code_id, version),
+p AS (SELECT f.code_id, f.version,
+             CASE WHEN f.first_v = 'System Error'
+                  THEN coalesce(min(CASE WHEN v.verdict <> f.first_v THEN v.try_no END), max(v.try_no))
+                  ELSE min(v.try_no) END AS chosen
+      FROM f JOIN vr2 v ON v.code_id = f.code_id AND v.version = f.version
+      GROUP BY f.code_id, f.version, f.first_v)""") + """
+SELECT v.code_id, v.version, CAST(v.try_no AS BIGINT) AS try_no, v.verdict
+FROM p JOIN vr2 v ON v.code_id = p.code_id AND v.version = p.version AND v.try_no = p.chosen"""

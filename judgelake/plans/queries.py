@@ -90,3 +90,191 @@ def q_retry_resolve(spark, sf):
     r = resolved_cases(spark, sf)
     return r.select("submission_id", "case_no", "attempt", "status", "time_used",
                     F.col("attempts_seen").cast("bigint").alias("attempts_seen"))
+
+
+# --------------------------------------------------------------------------
+# P1-P7 projections / filters / scalar functions
+# --------------------------------------------------------------------------
+
+from judgelake.functions import numeric as NUM  # noqa: E402
+from judgelake.functions import text as TXT  # noqa: E402
+from judgelake.operators import compare, curate  # noqa: E402
+
+
+@query("eligible_problems")
+def q_eligible_problems(spark, sf):
+    e = curate.eligible_problems(A.curation_input(spark, sf))
+    return e.select("id", F.size("test_cases").cast("bigint").alias("n_tests"),
+                    F.size("incorrect_submissions").cast("bigint").alias("n_incorrect"),
+                    F.size("correct_submissions").cast("bigint").alias("n_correct"))
+
+
+@query("cpp_submissions")
+def q_cpp_submissions(spark, sf):
+    c = A.curation_input(spark, sf).where(F.col("incorrect_submissions").isNotNull())
+    cpp = curate.cpp_submissions(F.col("incorrect_submissions"))
+    return c.select("id", F.size(cpp).cast("bigint").alias("n_cpp"),
+                    F.array_join(F.transform(cpp, lambda x: x["pos"].cast("string")), ",").alias("positions"))
+
+
+def _p3_codes(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
+    code = (F.when(F.col("doc_id") % 10 == 0, F.lit(" \t\n　 "))
+             .when(F.col("doc_id") % 10 == 1, F.lit(None).cast("string"))
+             .when(F.col("doc_id") % 10 == 2, F.lit(""))
+             .otherwise(F.col("text")))
+    return d.select("doc_id", code.alias("code"))
+
+
+@query("nonblank_code")
+def q_nonblank_code(spark, sf):
+    c = _p3_codes(spark, sf)
+    return c.select("doc_id", TXT.nonblank(F.col("code")).alias("nonblank"))
+
+
+@query("hack_url")
+def q_hack_url(spark, sf):
+    return A.problems(spark, sf).select("id", TXT.hack_url(F.col("id")).alias("hack_url"))
+
+
+@query("code_hash")
+def q_code_hash(spark, sf):
+    c = _p3_codes(spark, sf)
+    return c.select("doc_id", TXT.code_hash(F.col("code")).alias("code_hash"),
+                    TXT.code_hash(F.col("code"), F.lit("cpp")).alias("exe_key"))
+
+
+@query("limits_with_defaults")
+def q_limits_with_defaults(spark, sf):
+    p = curate.limits_with_defaults(A.problems(spark, sf))
+    return p.select("id", F.col("time_limit").cast("bigint").alias("time_limit"),
+                    F.col("memory_limit").cast("bigint").alias("memory_limit"))
+
+
+def _points(spark, sf):
+    l = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice",
+                                              "l_discount", "l_tax")
+    m = F.col("l_linenumber") % 4
+    pts = (F.when(m == 0, F.col("l_extendedprice") * 20)
+            .when(m == 1, (F.col("l_discount") - 0.05) * 10)
+            .when(m == 2, F.col("l_extendedprice") / 7)
+            .otherwise(F.col("l_tax")))
+    return l.select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("case_no"),
+                    pts.alias("points"))
+
+
+@query("points_normalise")
+def q_points_normalise(spark, sf):
+    p = _points(spark, sf).withColumn("_p", NUM.points_normalise(F.col("points")))
+    return p.select("submission_id", "case_no", F.col("_p.text").alias("points_text"),
+                    F.col("_p.failed").alias("failed"), F.col("_p.reason").alias("reason"))
+
+
+# --------------------------------------------------------------------------
+# V2-V9, V11
+# --------------------------------------------------------------------------
+
+@query("output_compare")
+def q_output_compare(spark, sf):
+    o = A.outputs(spark, sf)
+    return o.select("output_id", TXT.output_equal(F.col("actual"), F.col("expected")).alias("same"))
+
+
+@query("checker_outcome")
+def q_checker_outcome(spark, sf):
+    r = verdict.checker_outcome(A.runs(spark, sf).where(F.col("has_checker")))
+    return r.select("submission_id", "case_no", "attempt", "checker_status",
+                    F.md5("checker_message").alias("message_md5"))
+
+
+@query("checker_outcome_detail")
+def q_checker_outcome_detail(spark, sf):
+    r = A.runs(spark, sf).where(F.col("checker_exit").isNotNull())
+    codes = r.select(F.when(F.col("checker_exit") == 0, F.lit(0))
+                      .otherwise(F.col("checker_exit") + 50 * (F.col("submission_id") % 2)).cast("int")
+                      .alias("exit_code"))
+    counts = codes.groupBy("exit_code").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for d in K.CHECKER_EXIT:
+        x = verdict.checker_outcome_detail(counts, exit_col="exit_code", dialect=d)
+        parts.append(x.select(F.lit(d).alias("dialect"), "exit_code", "outcome", "reported", "pctype",
+                              "outcome_text", "judge_status", "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _token_pairs(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
+    toks = F.split(F.regexp_replace(F.col("text"), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""), "[ \\t\\n\\r]+", -1)
+    return d.select("doc_id", toks.alias("found"),
+                    F.when(F.col("doc_id") % 3 == 0, F.slice(toks, 1, F.size(toks) - 1))
+                     .otherwise(toks).alias("expected"))
+
+
+@query("trailing_output_check")
+def q_trailing_output_check(spark, sf):
+    t = _token_pairs(spark, sf)
+    n = F.size("expected")
+    read = F.slice("found", 1, n)
+    t = t.select("doc_id",
+                 F.when(read == F.col("expected"), F.lit("ok")).otherwise(F.lit("wa")).alias("outcome"),
+                 F.array_join(F.slice("found", n + 1, F.greatest(F.size("found"), F.lit(1))), " ").alias("remainder"))
+    return verdict.trailing_output_check(t).select("doc_id", "outcome", "final_outcome", "final_message")
+
+
+@query("numeric_compare")
+def q_numeric_compare(spark, sf):
+    p = A.numeric_pairs(spark, sf)
+    return p.select("submission_id", "case_no",
+                    NUM.numeric_equal(F.col("expected"), F.col("actual"), 1e-6).alias("eq_1e6"),
+                    NUM.numeric_equal(F.col("expected"), F.col("actual"), 1e-7).alias("eq_1e7"))
+
+
+@query("numeric_error_report")
+def q_numeric_error_report(spark, sf):
+    r = compare.numeric_error_report(A.numeric_pairs(spark, sf), eps=1e-7, keys=["problem_key"])
+    return r.select("problem_key", F.round(F.col("max_error") * 1e9, 3).alias("max_error_e9"),
+                    F.round(F.col("mean_error") * 1e9, 3).alias("mean_error_e9"), "n_above")
+
+
+@query("status_domain_check")
+def q_status_domain_check(spark, sf):
+    good, bad = verdict.status_domain_check(A.submissions(spark, sf))
+    return bad.select("id", "status", "language", "reject_reason")
+
+
+def _hacks(spark, sf):
+    o = A.outputs(spark, sf).join(A.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("output_id"), "n_chars"), "output_id")
+    k = F.col("output_id")
+    user = o.select(
+        k.alias("hack_id"), (F.col("n_chars") * 400).alias("input_bytes"),
+        F.when(k % 11 == 0, F.lit(K.TIME_LIMIT)).when(k % 11 == 1, F.lit(K.RUNTIME_ERROR))
+         .otherwise(F.lit(K.ACCEPTED)).alias("run_status"),
+        F.when(k % 11 == 1, F.lit("Exit code: 1")).otherwise(F.lit("")).alias("run_message"),
+        F.col("actual").alias("output"), (k % 3 == 0).alias("has_checker"),
+        F.when(k % 5 < 3, F.lit(0)).otherwise(F.lit(1)).alias("checker_exit"),
+        F.lit("differ at token 1").alias("checker_stderr"), F.lit("").alias("checker_stdout"),
+        (F.col("n_chars") % 1000).alias("time_used"))
+    std = o.where(k % 17 != 0).select(
+        k.alias("hack_id"),
+        F.when(k % 13 == 0, F.lit(K.RUNTIME_ERROR)).otherwise(F.lit(K.ACCEPTED)).alias("std_status"),
+        F.col("expected").alias("std_output"))
+    return user, std
+
+
+@query("differential_verdict")
+def q_differential_verdict(spark, sf):
+    user, std = _hacks(spark, sf)
+    v, rejects = verdict.differential_verdict(user, std)
+    r = rejects.select("hack_id", F.lit("Rejected").alias("status"), F.lit(None).cast("bigint").alias("time_used"),
+                       F.col("reject_reason").alias("message"))
+    return v.unionByName(r).select("hack_id", "status", "time_used", F.md5("message").alias("message_md5"))
+
+
+@query("submit_retry_resolve")
+def q_submit_retry_resolve(spark, sf):
+    r = verdict.submit_retry_resolve(A.version_results(spark, sf))
+    return r.select("code_id", "version", F.col("try_no").cast("bigint").alias("try_no"), "verdict")

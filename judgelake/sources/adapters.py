@@ -382,3 +382,80 @@ def sql_with(*ctes: str) -> str:
     if body.startswith(","):
         body = body[1:]
     return "WITH " + body.strip() + "\n"
+
+
+# --------------------------------------------------------------------------
+# submissions table (the judge's own listing), curation input (nested)
+# --------------------------------------------------------------------------
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge submissions table from orders: status cycles through the nine
+    statuses by id (a multiple of 97 carries an unknown status), language
+    by priority (a tenth of '4-NOT SPECIFIED' rows carry an unknown one)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+                                              "o_totalprice", "o_orderdate")
+    statuses = F.array(*[F.lit(s) for s in K.STATUSES])
+    k = F.col("o_orderkey")
+    lang = (F.when(F.col("o_orderpriority") == "5-LOW", F.lit("python"))
+             .when(F.col("o_orderpriority") == "4-NOT SPECIFIED",
+                   F.when(k % 10 == 0, F.lit("java")).otherwise(F.lit("c++17")))
+             .otherwise(F.lit("cpp")))
+    return o.select(
+        k.alias("id"),
+        problem_id_of(F.col("o_custkey")).alias("problem_id"),
+        F.concat(F.lit("// submission "), k.cast("string")).alias("code"),
+        lang.alias("language"),
+        F.when(k % 97 == 0, F.lit("Bogus")).otherwise(F.element_at(statuses, (k % 9 + 1).cast("int"))).alias("status"),
+        (F.floor(F.col("o_totalprice")).cast("bigint") % 1000).cast("int").alias("time_used"),
+        F.lit(0).alias("memory_used"),
+        (k % 101).cast("int").alias("score"),
+        F.lit("").alias("message"),
+        F.lit(0).alias("failed_case"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+SUBMISSIONS_SQL = """,
+submissions AS (
+  SELECT o_orderkey AS id,
+         CAST(o_custkey AS VARCHAR) || '_' || chr(CAST(65 + o_custkey % 5 AS INTEGER)) AS problem_id,
+         '// submission ' || CAST(o_orderkey AS VARCHAR) AS code,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 'python'
+              WHEN o_orderpriority = '4-NOT SPECIFIED' THEN CASE WHEN o_orderkey % 10 = 0 THEN 'java' ELSE 'c++17' END
+              ELSE 'cpp' END AS language,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'Bogus'
+              ELSE ['Pending', 'Judging', 'Accepted', 'Wrong Answer', 'Time Limit Exceeded',
+                    'Memory Limit Exceeded', 'Runtime Error', 'Compile Error', 'System Error'][o_orderkey % 9 + 1] END AS status,
+         CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS INTEGER) AS time_used,
+         0 AS memory_used, CAST(o_orderkey % 101 AS INTEGER) AS score, '' AS message, 0 AS failed_case,
+         o_orderdate AS created_at
+  FROM orders
+)"""
+
+
+def curation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curation job's input shape: one row per problem with nested
+    test_cases and submission lists (list order = position)."""
+    p = problems(spark, sf_dir)
+    n = F.col("test_case_count")
+    tc_type = "array<struct<input:string,output:string>>"
+    test_cases = F.when(n > 0, F.transform(
+        F.sequence(F.lit(1), n),
+        lambda k: F.struct(F.concat(F.col("title"), F.lit(" #"), k.cast("string")).alias("input"),
+                           (k * F.col("partkey")).cast("string").alias("output")))
+    ).otherwise(F.array().cast(tc_type))
+    s = submission_lists(spark, sf_dir)
+    entry = F.struct(F.col("pos"), F.struct(F.col("language").alias("language"),
+                                            F.col("code").alias("code")).alias("sub"))
+    lists = s.groupBy("problem_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "incorrect", entry))).alias("_inc"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "correct", entry))).alias("_cor"))
+    lists = lists.select(
+        F.col("problem_id").alias("id"),
+        F.transform("_inc", lambda e: e["sub"]).alias("incorrect_submissions"),
+        F.transform("_cor", lambda e: e["sub"]).alias("correct_submissions"))
+    return (p.withColumn("test_cases", test_cases)
+             .join(lists, "id", "left")
+             .select("id", "partkey", "test_cases", "incorrect_submissions", "correct_submissions",
+                     "description", "true_positive_rate", "true_negative_rate", "checker",
+                     "time_limit", "memory_limit", "title", "has_checker"))
