@@ -250,7 +250,7 @@ def case_ordinal(testcases: DataFrame, group_cols: Sequence[str] = ("problem_id"
     non-numeric stems go to rejects. (good, rejects)."""
     group_cols = list(group_cols)
     numeric = F.col(stem_col).rlike("^[0-9]{1,18}$")
-    good = testcases.where(numeric).withColumn("_n", F.col(stem_col).cast("bigint"))
+    good = testcases.where(numeric).withColumn("_n", F.col(stem_col).try_cast("bigint"))
     w = Window.partitionBy(*group_cols).orderBy("_n", stem_col)
     good = good.withColumn("ordinal", F.row_number().over(w).cast("bigint")).drop("_n")
     rejects = testcases.where(~numeric | F.col(stem_col).isNull()).withColumn(

@@ -346,3 +346,147 @@ p AS (SELECT f.code_id, f.version,
       GROUP BY f.code_id, f.version, f.first_v)""") + """
 SELECT v.code_id, v.version, CAST(v.try_no AS BIGINT) AS try_no, v.verdict
 FROM p JOIN vr2 v ON v.code_id = p.code_id AND v.version = p.version AND v.try_no = p.chosen"""
+
+
+# --------------------------------------------------------------------------
+# A2-A12, A18
+# --------------------------------------------------------------------------
+
+_LABELLED = SUBMISSION_RESULT_SQL + A.SUBMISSION_LISTS_SQL + """,
+labelled AS (
+  SELECT s.problem_id, s.kind AS label, s.pos, s.code, r.status AS verdict, r.status IS NOT NULL AS success
+  FROM submission_lists s LEFT JOIN submission_result r ON r.submission_id = s.submission_id
+)"""
+
+SQL["pass_rates"] = _with(_LABELLED, """,
+g AS (SELECT problem_id, label, count(*) AS n_codes, count(*) FILTER (WHERE NOT success) AS n_errors,
+             count(*) FILTER (WHERE success AND verdict = 'Accepted') AS n_passed
+      FROM labelled GROUP BY problem_id, label)""") + """
+SELECT problem_id, label, CAST(n_codes AS BIGINT) AS n_codes, CAST(n_errors AS BIGINT) AS n_errors,
+       CAST(n_codes - n_errors AS BIGINT) AS n_valid, CAST(n_passed AS BIGINT) AS n_passed,
+       round(CASE WHEN label = 'correct' THEN n_passed / (n_codes - n_errors) END, 6) AS tpr,
+       round(CASE WHEN label = 'correct' THEN 1 - n_passed / (n_codes - n_errors) END, 6) AS fnr,
+       round(CASE WHEN label <> 'correct' THEN 1 - n_passed / (n_codes - n_errors) END, 6) AS tnr,
+       round(CASE WHEN label <> 'correct' THEN n_passed / (n_codes - n_errors) END, 6) AS fpr
+FROM g WHERE n_codes - n_errors > 0"""
+
+SQL["passed_submissions"] = _with(_LABELLED) + """
+SELECT problem_id, label, CAST(count(*) AS BIGINT) AS n_passed,
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions,
+       md5(string_agg(md5(code), ',' ORDER BY pos)) AS codes_md5
+FROM labelled WHERE success AND verdict = 'Accepted' GROUP BY problem_id, label"""
+
+SQL["version_consensus"] = _with(A._BASE_SQL, A.VERSION_RESULTS_SQL, """,
+v1 AS (SELECT * FROM version_results WHERE try_no = 1),
+st AS (SELECT code_id, min(version_no) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) AS stop_no,
+              count(*) FILTER (WHERE verdict <> 'Compile Error') AS tested, count(*) AS seen
+       FROM v1 GROUP BY code_id)""") + """
+SELECT s.code_id, s.stop_no IS NULL AS all_passed, v.version AS stopped_at, v.verdict AS fail_verdict,
+       v.failed_test, s.tested = 0 AS untestable, coalesce(v.version, '') AS failed_versions,
+       CAST(s.seen AS BIGINT) AS versions_seen
+FROM st s LEFT JOIN v1 v ON v.code_id = s.code_id AND v.version_no = s.stop_no"""
+
+_COMPILES = A.PROBLEMS_SQL + A.COMPILE_LOG_SQL + """,
+compiles AS (SELECT code_hash, bool_or(ok) AS compiles FROM compile_log GROUP BY code_hash)"""
+
+SQL["first_correct_code"] = _with(SUBMISSION_RESULT_SQL, A.SUBMISSION_LISTS_SQL, _COMPILES, f""",
+cand AS (
+  SELECT s.problem_id, s.submission_id, s.pos, s.code,
+         coalesce(r.status = 'Accepted', false) AND coalesce(c.compiles, false) AS good
+  FROM submission_lists s
+  LEFT JOIN submission_result r ON r.submission_id = s.submission_id
+  LEFT JOIN compiles c ON c.code_hash = md5(s.code)
+  WHERE s.kind = 'correct' AND s.language = 'cpp'
+    AND NOT (s.code IS NULL OR length(trim(s.code, {_lit(_ALL_SPACE)})) = 0)),
+f AS (SELECT problem_id, min(pos) FILTER (WHERE good) AS first_pos, count(*) AS n FROM cand GROUP BY problem_id)""") + """
+SELECT f.problem_id, CAST(f.first_pos AS INTEGER) AS correct_pos, c.submission_id AS correct_submission_id,
+       md5(c.code) AS correct_code_md5,
+       CAST(CASE WHEN f.first_pos IS NULL THEN f.n
+                 ELSE (SELECT count(*) FROM cand c2 WHERE c2.problem_id = f.problem_id AND c2.pos <= f.first_pos) END
+            AS BIGINT) AS attempts
+FROM f LEFT JOIN cand c ON c.problem_id = f.problem_id AND c.pos = f.first_pos"""
+
+SQL["compiles_any_standard"] = _with(_COMPILES) + "SELECT code_hash, compiles FROM compiles"
+
+SQL["evaluate_distinct"] = _with(A.SUBMISSION_LISTS_SQL, _COMPILES) + """
+SELECT s.submission_id, md5(s.code) AS code_hash, c.compiles
+FROM submission_lists s LEFT JOIN compiles c ON c.code_hash = md5(s.code)"""
+
+SQL["test_case_counts"] = _with(A.RUNS_SQL) + """
+SELECT problem_id, CAST(count(DISTINCT stem) AS BIGINT) AS test_case_count, bool_or(has_checker) AS has_checker
+FROM runs GROUP BY problem_id"""
+
+SQL["slow_checker_registry"] = _with(A.SLOW_CHECKS_SQL, """,
+rec AS (SELECT * FROM slow_checks WHERE timeout OR elapsed_s > 10),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY problem_id, case_stem ORDER BY seen_at DESC, seq DESC) AS rn
+           FROM rec),
+firsts AS (SELECT problem_id, min(seen_at) AS first_seen FROM rec GROUP BY problem_id)""") + """
+SELECT r.problem_id, r.case_stem,
+       CASE WHEN r.timeout THEN 'timeout' ELSE 'slow' END AS status,
+       CASE WHEN r.timeout THEN '>10s'
+            ELSE CAST(CAST(floor(r.elapsed_s * 100 + 0.5) AS BIGINT) // 100 AS VARCHAR) || '.'
+                 || lpad(CAST(CAST(floor(r.elapsed_s * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0') || 's' END AS time,
+       epoch_us(r.seen_at) AS last_seen_us, epoch_us(f.first_seen) AS first_seen_us
+FROM ranked r JOIN firsts f ON f.problem_id = r.problem_id WHERE r.rn = 1"""
+
+SQL["verdict_counts"] = _with(A.SUBMISSIONS_SQL) + """
+SELECT 'status' AS dimension, status AS value, CAST(count(*) AS BIGINT) AS n FROM submissions GROUP BY status
+UNION ALL SELECT 'language', language, count(*) FROM submissions GROUP BY language
+UNION ALL SELECT 'problem', problem_id, count(*) FROM submissions GROUP BY problem_id
+UNION ALL SELECT 'total', NULL, count(*) FROM submissions"""
+
+# --------------------------------------------------------------------------
+# J1-J6
+# --------------------------------------------------------------------------
+
+SQL["pair_testcases"] = _with(A.RUNS_SQL) + """
+SELECT submission_id, case_no, NOT (case_no = 7 AND submission_id % 4 = 0) AS has_expected
+FROM runs WHERE attempt = 1"""
+
+SQL["exclude_processed"] = _with(A.PROBLEMS_SQL) + "SELECT id FROM problems WHERE partkey % 4 <> 0"
+
+SQL["exclude_problematic"] = _with(A.PROBLEMS_SQL, A.SLOW_CHECKS_SQL) + """
+SELECT id FROM problems WHERE id NOT IN (SELECT problem_id FROM slow_checks WHERE timeout OR elapsed_s > 10)"""
+
+SQL["exclude_failed_codes"] = _with(A.SUBMISSION_LISTS_SQL) + """
+SELECT s.problem_id, s.pos FROM submission_lists s
+WHERE s.kind = 'incorrect' AND NOT EXISTS (
+  SELECT 1 FROM submission_lists f WHERE f.kind = 'incorrect' AND f.pos % 3 = 0
+    AND f.problem_id = s.problem_id AND f.code = s.code)"""
+
+_REGISTRY = A.PROBLEMS_SQL + """,
+registry AS (SELECT p.* FROM problems p JOIN part ON part.p_partkey = p.partkey WHERE part.p_size % 13 <> 0)"""
+
+SQL["submission_lookup"] = _with(A.SUBMISSIONS_SQL, _REGISTRY) + """
+SELECT s.id, s.problem_id, r.id IS NOT NULL AS found, r.title AS problem_title
+FROM submissions s LEFT JOIN registry r ON r.id = s.problem_id"""
+
+SQL["orphan_submissions"] = _with(A.SUBMISSIONS_SQL, _REGISTRY) + """
+SELECT id, problem_id FROM submissions WHERE problem_id NOT IN (SELECT id FROM registry)"""
+
+# --------------------------------------------------------------------------
+# W1-W4
+# --------------------------------------------------------------------------
+
+SQL["recent_submissions"] = _with(A.SUBMISSIONS_SQL) + """
+SELECT id, problem_id, language, status, time_used, score FROM submissions ORDER BY id DESC LIMIT 50"""
+
+SQL["list_problems"] = _with(_REGISTRY) + """
+SELECT id, title, time_limit, memory_limit, has_checker, test_case_count FROM registry ORDER BY id"""
+
+SQL["case_ordinal"] = _with(A.RUNS_SQL, A.PROBLEMS_SQL, """,
+named AS (SELECT DISTINCT problem_id, CAST(case_no * case_no AS VARCHAR) AS stem FROM runs WHERE attempt = 1
+          UNION ALL SELECT id, 'readme' FROM problems WHERE partkey % 7 = 0)""") + """
+SELECT problem_id, stem,
+       CASE WHEN regexp_full_match(stem, '[0-9]{1,18}')
+            THEN row_number() OVER (PARTITION BY problem_id, regexp_full_match(stem, '[0-9]{1,18}')
+                                    ORDER BY TRY_CAST(stem AS BIGINT), stem) END AS ordinal,
+       NOT regexp_full_match(stem, '[0-9]{1,18}') AS rejected
+FROM named"""
+
+SQL["cumulative_pass"] = _with(RESOLVED_SQL) + """
+SELECT submission_id, case_no,
+       CAST(coalesce(sum(CASE WHEN status = 'Accepted' THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY submission_id ORDER BY case_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS BIGINT) AS passed_before
+FROM resolved"""

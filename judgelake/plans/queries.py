@@ -278,3 +278,191 @@ def q_differential_verdict(spark, sf):
 def q_submit_retry_resolve(spark, sf):
     r = verdict.submit_retry_resolve(A.version_results(spark, sf))
     return r.select("code_id", "version", F.col("try_no").cast("bigint").alias("try_no"), "verdict")
+
+
+# --------------------------------------------------------------------------
+# A2-A12, A18
+# --------------------------------------------------------------------------
+
+def _labelled_results(spark, sf):
+    s = A.submission_lists(spark, sf)
+    r = submission_results(spark, sf).select("submission_id", F.col("status").alias("verdict"))
+    return (s.join(r, "submission_id", "left")
+             .withColumn("success", F.col("verdict").isNotNull())
+             .withColumnRenamed("kind", "label"))
+
+
+@query("pass_rates")
+def q_pass_rates(spark, sf):
+    p = rollup.pass_rates(_labelled_results(spark, sf))
+    return p.select("problem_id", "label", *[F.col(c).cast("bigint").alias(c) for c in
+                                             ["n_codes", "n_errors", "n_valid", "n_passed"]],
+                    *[r6(F.col(c)).alias(c) for c in ["tpr", "fnr", "tnr", "fpr"]])
+
+
+@query("passed_submissions")
+def q_passed_submissions(spark, sf):
+    p = rollup.passed_submissions(_labelled_results(spark, sf))
+    return p.select("problem_id", "label", F.size("passed").cast("bigint").alias("n_passed"),
+                    F.array_join(F.transform("passed", lambda x: x["index"].cast("string")), ",").alias("positions"),
+                    F.md5(F.array_join(F.transform("passed", lambda x: F.md5(x["code"])), ",")).alias("codes_md5"))
+
+
+@query("version_consensus")
+def q_version_consensus(spark, sf):
+    v = A.version_results(spark, sf).where(F.col("try_no") == 1)
+    c = rollup.version_consensus(v)
+    return c.select("code_id", "all_passed", "stopped_at", "fail_verdict", "failed_test", "untestable",
+                    F.array_join("failed_versions", ",").alias("failed_versions"),
+                    F.col("versions_seen").cast("bigint").alias("versions_seen"))
+
+
+def _compiles_by_submission(spark, sf, subs):
+    comp = curate.compiles_any_standard(A.compile_log(spark, sf))
+    return (subs.select("submission_id", F.md5("code").alias("code_hash"))
+                .join(comp, "code_hash", "left").select("submission_id", "compiles"))
+
+
+@query("first_correct_code")
+def q_first_correct_code(spark, sf):
+    subs = A.submission_lists(spark, sf).where(F.col("kind") == "correct")
+    ver = submission_results(spark, sf).select("submission_id", (F.col("status") == K.ACCEPTED).alias("passed"))
+    f = rollup.first_correct_code(subs, ver, _compiles_by_submission(spark, sf, subs))
+    return f.select("problem_id", "correct_pos", "correct_submission_id",
+                    F.md5("correct_code").alias("correct_code_md5"), "attempts")
+
+
+@query("compiles_any_standard")
+def q_compiles_any_standard(spark, sf):
+    return curate.compiles_any_standard(A.compile_log(spark, sf))
+
+
+@query("evaluate_distinct")
+def q_evaluate_distinct(spark, sf):
+    comp = curate.compiles_any_standard(A.compile_log(spark, sf))
+    subs = A.submission_lists(spark, sf).select("submission_id", "code")
+    out = curate.evaluate_distinct(subs, "code", lambda d: d.join(comp, "code_hash", "left"))
+    return out.select("submission_id", "code_hash", "compiles")
+
+
+@query("test_case_counts")
+def q_test_case_counts(spark, sf):
+    files = testcase_files(spark, sf)
+    checkers = A.runs(spark, sf).select("problem_id", "has_checker")
+    c = rollup.test_case_counts(files, checkers)
+    return c.select("problem_id", F.col("test_case_count").cast("bigint").alias("test_case_count"), "has_checker")
+
+
+@query("slow_checker_registry")
+def q_slow_checker_registry(spark, sf):
+    r = rollup.slow_checker_registry(A.slow_checks(spark, sf))
+    return r.select("problem_id", "case_stem", "status", "time",
+                    F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_seen_us"),
+                    F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_seen_us"))
+
+
+@query("verdict_counts")
+def q_verdict_counts(spark, sf):
+    return rollup.verdict_counts(A.submissions(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# J1-J6
+# --------------------------------------------------------------------------
+
+@query("pair_testcases")
+def q_pair_testcases(spark, sf):
+    files = testcase_files(spark, sf)
+    p = joins.pair_testcases(files.where(F.col("kind") == "in").drop("kind"),
+                             files.where(F.col("kind") == "out").drop("kind"),
+                             keys=["submission_id", "case_no"])
+    return p.select("submission_id", "case_no", "has_expected")
+
+
+def processed_state(spark, sf):
+    """Processed-problem state: every fourth part counts as done."""
+    return A.problems(spark, sf).where(F.col("partkey") % 4 == 0).select(
+        F.col("id").alias("problem_id"), F.lit("processed").alias("state"))
+
+
+@query("exclude_processed")
+def q_exclude_processed(spark, sf):
+    return joins.exclude_processed(A.problems(spark, sf), processed_state(spark, sf)).select("id")
+
+
+@query("exclude_problematic")
+def q_exclude_problematic(spark, sf):
+    reg = rollup.slow_checker_registry(A.slow_checks(spark, sf))
+    return joins.exclude_problematic(A.problems(spark, sf), reg).select("id")
+
+
+def failed_store(spark, sf):
+    """Stored failures: the code of every incorrect submission at a list
+    position divisible by 3."""
+    s = A.submission_lists(spark, sf)
+    return s.where((F.col("kind") == "incorrect") & (F.col("pos") % 3 == 0)).select("problem_id", "code")
+
+
+@query("exclude_failed_codes")
+def q_exclude_failed_codes(spark, sf):
+    codes = A.submission_lists(spark, sf).where(F.col("kind") == "incorrect").select(
+        "problem_id", "pos", "code")
+    return joins.exclude_failed_codes(codes, failed_store(spark, sf)).select("problem_id", "pos")
+
+
+def registry(spark, sf):
+    """Problem registry: problems minus the deleted ones (p_size % 13 == 0)."""
+    p = A.problems(spark, sf).join(A.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("partkey"), "p_size"), "partkey")
+    return p.where(F.col("p_size") % 13 != 0).drop("p_size")
+
+
+@query("submission_lookup")
+def q_submission_lookup(spark, sf):
+    good, bad = joins.submission_lookup(A.submissions(spark, sf), registry(spark, sf))
+    g = good.select("id", "problem_id", F.lit(True).alias("found"), "problem_title")
+    b = bad.select("id", "problem_id", F.lit(False).alias("found"), F.lit(None).cast("string").alias("problem_title"))
+    return g.unionByName(b)
+
+
+@query("orphan_submissions")
+def q_orphan_submissions(spark, sf):
+    return joins.orphan_submissions(A.submissions(spark, sf), registry(spark, sf)).select("id", "problem_id")
+
+
+# --------------------------------------------------------------------------
+# W1-W4
+# --------------------------------------------------------------------------
+
+@query("recent_submissions")
+def q_recent_submissions(spark, sf):
+    r = rollup.recent_submissions(A.submissions(spark, sf))
+    return r.select("id", "problem_id", "language", "status", "time_used", "score")
+
+
+@query("list_problems")
+def q_list_problems(spark, sf):
+    r = rollup.list_problems(registry(spark, sf))
+    return r.select("id", "title", "time_limit", "memory_limit", "has_checker", "test_case_count")
+
+
+def _named_cases(spark, sf):
+    r = A.runs(spark, sf).where(F.col("attempt") == 1).select(
+        "problem_id", (F.col("case_no") * F.col("case_no")).cast("string").alias("stem")).distinct()
+    extra = (A.problems(spark, sf).where(F.col("partkey") % 7 == 0)
+             .select(F.col("id").alias("problem_id"), F.lit("readme").alias("stem")))
+    return r.unionByName(extra)
+
+
+@query("case_ordinal")
+def q_case_ordinal(spark, sf):
+    good, bad = rollup.case_ordinal(_named_cases(spark, sf))
+    return (good.select("problem_id", "stem", "ordinal", F.lit(False).alias("rejected"))
+                .unionByName(bad.select("problem_id", "stem", F.lit(None).cast("bigint").alias("ordinal"),
+                                        F.lit(True).alias("rejected"))))
+
+
+@query("cumulative_pass")
+def q_cumulative_pass(spark, sf):
+    c = rollup.cumulative_pass(resolved_cases(spark, sf))
+    return c.select("submission_id", "case_no", "passed_before")

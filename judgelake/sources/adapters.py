@@ -356,7 +356,7 @@ def slow_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     e = e.where(F.col("value") > 100)
     return e.select(
-        F.concat(F.lit("P"), (F.col("user_id") % 20).cast("string")).alias("problem_id"),
+        problem_id_of(F.col("user_id")).alias("problem_id"),
         (F.col("event_id") % 7 + 1).cast("string").alias("case_stem"),
         F.col("event_id").alias("seq"),
         F.col("ts").alias("seen_at"),
@@ -368,7 +368,7 @@ def slow_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SLOW_CHECKS_SQL = """,
 slow_checks AS (
-  SELECT 'P' || CAST(user_id % 20 AS VARCHAR) AS problem_id,
+  SELECT CAST(user_id AS VARCHAR) || '_' || chr(CAST(65 + user_id % 5 AS INTEGER)) AS problem_id,
          CAST(event_id % 7 + 1 AS VARCHAR) AS case_stem,
          event_id AS seq, ts AS seen_at, value > 300 AS timeout,
          CASE WHEN value > 300 THEN NULL ELSE value / 10.0 END AS elapsed_s
