@@ -490,3 +490,129 @@ SELECT submission_id, case_no,
                      OVER (PARTITION BY submission_id ORDER BY case_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             AS BIGINT) AS passed_before
 FROM resolved"""
+
+
+# --------------------------------------------------------------------------
+# C1-C4, A11, SNK4
+# --------------------------------------------------------------------------
+
+_HACK = ("'https://codeforces.com/contest/' || split_part({x}, '_', 1) || "
+         "'/hacks?verdictName=CHALLENGE_SUCCESSFUL&chosenProblemIndex=' || split_part({x}, '_', 2)")
+_NONBLANK = "NOT ({x} IS NULL OR length(trim({x}, " + _lit(_ALL_SPACE) + ")) = 0)"
+
+_ELIGIBLE = """,
+lists AS (SELECT problem_id, count(*) FILTER (WHERE kind = 'incorrect') AS n_inc,
+                 count(*) FILTER (WHERE kind = 'correct') AS n_cor
+          FROM submission_lists GROUP BY problem_id),
+el AS (SELECT p.* FROM problems p JOIN lists l ON l.problem_id = p.id
+       WHERE contains(p.id, '_') AND p.test_case_count > 0 AND p.true_negative_rate <> 1.0
+         AND l.n_inc > 0 AND l.n_cor > 0)"""
+
+
+def _record_select(kept: str, cor: str) -> str:
+    return f"""
+SELECT k.problem_id AS id, CAST(k.n AS BIGINT) AS n_codes, k.codes_md5, md5(sc.code) AS correct_code_md5,
+       el.description, el.checker, CAST(el.test_case_count AS BIGINT) AS n_test_cases,
+       {_HACK.format(x='k.problem_id')} AS hack_url
+FROM {kept} k JOIN el ON el.id = k.problem_id
+LEFT JOIN {cor} c ON c.problem_id = k.problem_id
+LEFT JOIN submission_lists sc ON sc.problem_id = k.problem_id AND sc.kind = 'correct' AND sc.pos = c.first_pos"""
+
+
+SQL["passed_incorrect_single"] = _with(SUBMISSION_RESULT_SQL, A.SUBMISSION_LISTS_SQL, _COMPILES, _ELIGIBLE, f""",
+chk AS (SELECT el.id FROM el LEFT JOIN compiles c ON c.code_hash = md5(el.checker)
+        WHERE NOT ({_NONBLANK.format(x='el.checker')}) OR coalesce(c.compiles, false)),
+inc AS (SELECT s.problem_id, s.pos, s.code FROM submission_lists s JOIN chk ON chk.id = s.problem_id
+        JOIN submission_result r ON r.submission_id = s.submission_id
+        WHERE s.kind = 'incorrect' AND s.language = 'cpp' AND r.status = 'Accepted'),
+kept AS (SELECT problem_id, count(*) AS n, md5(string_agg(md5(code), ',' ORDER BY pos)) AS codes_md5
+         FROM inc GROUP BY problem_id),
+cor AS (SELECT s.problem_id, min(s.pos) AS first_pos FROM submission_lists s JOIN chk ON chk.id = s.problem_id
+        JOIN submission_result r ON r.submission_id = s.submission_id
+        LEFT JOIN compiles c ON c.code_hash = md5(s.code)
+        WHERE s.kind = 'correct' AND s.language = 'cpp' AND {_NONBLANK.format(x='s.code')}
+          AND r.status = 'Accepted' AND coalesce(c.compiles, false)
+        GROUP BY s.problem_id)""") + _record_select("kept", "cor")
+
+_C2 = A._BASE_SQL + A.VERSION_RESULTS_SQL + A.PROBLEMS_SQL + A.SUBMISSION_LISTS_SQL + _ELIGIBLE + f""",
+v1 AS (SELECT * FROM version_results WHERE try_no = 1),
+cons AS (SELECT code_id, count(*) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) = 0 AS all_passed
+         FROM v1 GROUP BY code_id),
+inc2 AS (SELECT s.problem_id, s.pos, s.code, s.submission_id FROM submission_lists s JOIN el ON el.id = s.problem_id
+         JOIN cons c ON c.code_id = s.submission_id
+         WHERE s.kind = 'incorrect' AND s.language = 'cpp' AND c.all_passed),
+kept2 AS (SELECT problem_id, count(*) AS n, md5(string_agg(md5(code), ',' ORDER BY pos)) AS codes_md5
+          FROM inc2 GROUP BY problem_id),
+cor2 AS (SELECT s.problem_id, min(s.pos) AS first_pos FROM submission_lists s JOIN el ON el.id = s.problem_id
+         JOIN cons c ON c.code_id = s.submission_id
+         WHERE s.kind = 'correct' AND s.language = 'cpp' AND {_NONBLANK.format(x='s.code')} AND c.all_passed
+         GROUP BY s.problem_id),
+c2 AS ({_record_select("kept2", "cor2")})"""
+
+SQL["passed_incorrect_multi"] = _with(_C2) + "SELECT * FROM c2"
+
+_C3 = _C2 + A.SLOW_CHECKS_SQL + """,
+kidx AS (SELECT problem_id, submission_id, code, row_number() OVER (PARTITION BY problem_id ORDER BY pos) - 1 AS idx
+         FROM inc2),
+rt AS (SELECT code_id, version, version_no, verdict, passed, failed_test, try_no - 1 AS t
+       FROM version_results WHERE try_no >= 2),
+rtf AS (SELECT code_id, version, max(CASE WHEN t = 1 THEN verdict END) AS first_v FROM rt WHERE t <= 2
+        GROUP BY code_id, version),
+rtp AS (SELECT f.code_id, f.version,
+               CASE WHEN f.first_v = 'System Error'
+                    THEN coalesce(min(CASE WHEN r.verdict <> f.first_v THEN r.t END), max(r.t))
+                    ELSE min(r.t) END AS chosen
+        FROM rtf f JOIN rt r ON r.code_id = f.code_id AND r.version = f.version AND r.t <= 2
+        GROUP BY f.code_id, f.version, f.first_v),
+rt2 AS (SELECT r.* FROM rtp p JOIN rt r ON r.code_id = p.code_id AND r.version = p.version AND r.t = p.chosen),
+rstop AS (SELECT code_id, min(version_no) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) AS stop_no
+          FROM rt2 GROUP BY code_id),
+rc AS (SELECT s.code_id, s.stop_no IS NULL AS all_passed, v.version AS stopped_at, v.verdict AS fail_verdict,
+              v.failed_test
+       FROM rstop s LEFT JOIN rt2 v ON v.code_id = s.code_id AND v.version_no = s.stop_no),
+reg AS (SELECT DISTINCT problem_id FROM slow_checks WHERE timeout OR elapsed_s > 10),
+tagged AS (SELECT k.problem_id, k.idx, k.code, coalesce(rc.all_passed, false) AS ok, rc.stopped_at,
+                  coalesce(rc.fail_verdict, 'System Error') AS fail_verdict, rc.failed_test
+           FROM kidx k LEFT JOIN rc ON rc.code_id = k.submission_id
+           WHERE k.problem_id NOT IN (SELECT problem_id FROM reg)),
+refiltered AS (SELECT problem_id AS id, CAST(count(*) AS BIGINT) AS n_codes,
+                      md5(string_agg(md5(code), ',' ORDER BY idx)) AS codes_md5
+               FROM tagged WHERE ok GROUP BY problem_id),
+rejected AS (SELECT problem_id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY idx) AS BIGINT) AS reject_no,
+                    CAST(idx AS BIGINT) AS pos, stopped_at, fail_verdict, failed_test, code
+             FROM tagged WHERE NOT ok)"""
+
+SQL["refilter_codes"] = _with(_C3) + "SELECT * FROM refiltered"
+
+SQL["write_rejects"] = _with(_C3) + """
+SELECT problem_id, reject_no, pos, stopped_at, fail_verdict, failed_test, md5(code) AS code_md5 FROM rejected"""
+
+SQL["resume_curation"] = _with(_C3, """,
+done AS (SELECT id FROM problems WHERE partkey % 4 = 0),
+left_codes AS (SELECT k.problem_id, k.idx, k.code FROM kidx k
+               WHERE k.problem_id IN (SELECT id FROM done)
+                 AND NOT EXISTS (SELECT 1 FROM rejected r WHERE r.problem_id = k.problem_id AND r.code = k.code)),
+rec AS (SELECT problem_id, count(*) AS n, md5(string_agg(md5(code), ',' ORDER BY idx)) AS codes_md5
+        FROM left_codes GROUP BY problem_id)""") + """
+SELECT c2.id, CAST(r.n AS BIGINT) AS n_codes, r.codes_md5, c2.correct_code_md5, c2.description, c2.checker,
+       c2.n_test_cases, c2.hack_url
+FROM c2 JOIN rec r ON r.problem_id = c2.id
+UNION ALL
+SELECT * FROM c2 WHERE id NOT IN (SELECT id FROM done)"""
+
+SQL["curation_report"] = _with(_C3, """,
+b AS (SELECT 'part-' || right(id, 1) AS source_file, id, n_codes FROM c2),
+a AS (SELECT b.source_file, r.id, r.n_codes FROM refiltered r JOIN b ON b.id = r.id),
+f AS (SELECT b.source_file, count(*) AS n FROM rejected x JOIN b ON b.id = x.problem_id GROUP BY b.source_file),
+per AS (SELECT b.source_file, count(*) AS problems,
+               (SELECT count(*) FROM a WHERE a.source_file = b.source_file) AS records,
+               (SELECT coalesce(sum(n_codes), 0) FROM a WHERE a.source_file = b.source_file) AS codes_kept,
+               sum(b.n_codes) AS codes_original,
+               coalesce((SELECT n FROM f WHERE f.source_file = b.source_file), 0) AS codes_failed
+        FROM b GROUP BY b.source_file)""") + """
+SELECT source_file, CAST(problems AS BIGINT) AS problems, CAST(records AS BIGINT) AS records,
+       CAST(codes_kept AS BIGINT) AS codes_kept, CAST(codes_original AS BIGINT) AS codes_original,
+       CAST(codes_failed AS BIGINT) AS codes_failed FROM per
+UNION ALL
+SELECT 'TOTAL', CAST(sum(problems) AS BIGINT), CAST(sum(records) AS BIGINT), CAST(sum(codes_kept) AS BIGINT),
+       CAST(sum(codes_original) AS BIGINT), CAST(sum(codes_failed) AS BIGINT) FROM per"""

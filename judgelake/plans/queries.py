@@ -466,3 +466,117 @@ def q_case_ordinal(spark, sf):
 def q_cumulative_pass(spark, sf):
     c = rollup.cumulative_pass(resolved_cases(spark, sf))
     return c.select("submission_id", "case_no", "passed_before")
+
+
+# --------------------------------------------------------------------------
+# C1-C4, A11, SNK4 curation
+# --------------------------------------------------------------------------
+
+def _flat_record(df):
+    return df.select(
+        "id", F.size("incorrect_codes").cast("bigint").alias("n_codes"),
+        F.md5(F.array_join(F.transform("incorrect_codes", lambda c: F.md5(c)), ",")).alias("codes_md5"),
+        F.md5("correct_code").alias("correct_code_md5"), "description", "checker",
+        F.size("test_cases").cast("bigint").alias("n_test_cases"), "hack_url")
+
+
+def _verdicts_by_position(spark, sf):
+    s = A.submission_lists(spark, sf)
+    r = submission_results(spark, sf).select("submission_id", F.col("status").alias("verdict"))
+    return s.join(r, "submission_id", "left").select(F.col("problem_id").alias("id"), "kind", "pos", "verdict")
+
+
+def _consensus_by_position(spark, sf):
+    c = rollup.version_consensus(A.version_results(spark, sf).where(F.col("try_no") == 1))
+    s = A.submission_lists(spark, sf)
+    return s.join(c, s.submission_id == c.code_id, "left").select(
+        F.col("problem_id").alias("id"), "kind", "pos", "all_passed", "submission_id")
+
+
+@query("passed_incorrect_single")
+def q_passed_incorrect_single(spark, sf):
+    out = curate.passed_incorrect_single(A.curation_input(spark, sf), _verdicts_by_position(spark, sf),
+                                         A.compile_log(spark, sf))
+    return _flat_record(out)
+
+
+def curated_multi(spark, sf):
+    return curate.passed_incorrect_multi(A.curation_input(spark, sf), _consensus_by_position(spark, sf))
+
+
+@query("passed_incorrect_multi")
+def q_passed_incorrect_multi(spark, sf):
+    return _flat_record(curated_multi(spark, sf))
+
+
+def _curated_ids(spark, sf):
+    """Submission ids of the codes kept by C2, aligned with incorrect_codes."""
+    cons = _consensus_by_position(spark, sf)
+    el = curate.eligible_problems(A.curation_input(spark, sf)).select("id", "incorrect_submissions")
+    inc = (curate.explode_submissions(el, "incorrect_submissions", "incorrect")
+           .where(F.col("language") == "cpp")
+           .join(cons, ["id", "kind", "pos"], "left").where(F.coalesce("all_passed", F.lit(False))))
+    k = inc.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "submission_id"))).alias("_k"))
+    return k.select("id", F.transform("_k", lambda x: x["submission_id"]).alias("_ids"))
+
+
+def _retest_consensus(spark, sf):
+    """Re-test log: the later tries of each (code, version), renumbered
+    from 1, resolved with the submit retry rule (V11) and walked (A4)."""
+    v = A.version_results(spark, sf).where(F.col("try_no") >= 2).withColumn("try_no", F.col("try_no") - 1)
+    v = verdict.submit_retry_resolve(v)
+    return rollup.version_consensus(v)
+
+
+def _refilter(spark, sf):
+    curated = curated_multi(spark, sf).join(_curated_ids(spark, sf), "id")
+    ids = curated.select("id", F.posexplode("_ids").alias("pos", "code_id"))
+    cons = (ids.join(_retest_consensus(spark, sf), "code_id", "left")
+               .select("id", "pos", F.coalesce("all_passed", F.lit(False)).alias("all_passed"),
+                       "stopped_at", F.coalesce("fail_verdict", F.lit(K.SYSTEM_ERROR)).alias("fail_verdict"),
+                       "failed_test"))
+    reg = rollup.slow_checker_registry(A.slow_checks(spark, sf))
+    return curate.refilter_codes(curated.drop("_ids"), cons, reg)
+
+
+@query("refilter_codes")
+def q_refilter_codes(spark, sf):
+    kept, _ = _refilter(spark, sf)
+    return kept.select("id", F.size("incorrect_codes").cast("bigint").alias("n_codes"),
+                       F.md5(F.array_join(F.transform("incorrect_codes", lambda c: F.md5(c)), ",")).alias("codes_md5"))
+
+
+@query("write_rejects")
+def q_write_rejects(spark, sf):
+    _, rejects = _refilter(spark, sf)
+    return rejects.select("problem_id", F.col("reject_no").cast("bigint").alias("reject_no"),
+                          F.col("pos").cast("bigint").alias("pos"), "stopped_at", "fail_verdict", "failed_test",
+                          F.md5("code").alias("code_md5"))
+
+
+@query("resume_curation")
+def q_resume_curation(spark, sf):
+    curated = curated_multi(spark, sf)
+    state = processed_state(spark, sf)
+    done = state.select(F.col("problem_id").alias("id"))
+    _, rejects = _refilter(spark, sf)
+    old = curated.join(done, "id", "left_semi")
+    codes = old.select(F.col("id").alias("problem_id"), F.posexplode("incorrect_codes").alias("pos", "code"))
+    left = joins.exclude_failed_codes(codes, rejects.select("problem_id", "code"))
+    rebuilt = (left.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_k"))
+                   .select(F.col("problem_id").alias("id"), F.transform("_k", lambda x: x["code"]).alias("incorrect_codes")))
+    recovered = old.drop("incorrect_codes").join(rebuilt, "id")
+    todo = curate.eligible_problems(A.curation_input(spark, sf))
+    new = curated.join(done, "id", "left_anti")
+    out, new_state = curate.resume_curation(todo, state, recovered, new)
+    return _flat_record(out)
+
+
+@query("curation_report")
+def q_curation_report(spark, sf):
+    curated = curated_multi(spark, sf).withColumn("source_file", F.concat(F.lit("part-"), F.substring("id", -1, 1)))
+    kept, rejects = _refilter(spark, sf)
+    files = curated.select("id", "source_file")
+    kept = kept.join(files, "id")
+    rejects = rejects.join(files.withColumnRenamed("id", "problem_id"), "problem_id")
+    return curate.curation_report(curated, kept, rejects)
