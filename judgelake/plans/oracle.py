@@ -616,3 +616,88 @@ SELECT source_file, CAST(problems AS BIGINT) AS problems, CAST(records AS BIGINT
 UNION ALL
 SELECT 'TOTAL', CAST(sum(problems) AS BIGINT), CAST(sum(records) AS BIGINT), CAST(sum(codes_kept) AS BIGINT),
        CAST(sum(codes_original) AS BIGINT), CAST(sum(codes_failed) AS BIGINT) FROM per"""
+
+
+# --------------------------------------------------------------------------
+# M1-M6
+# --------------------------------------------------------------------------
+
+_REGT = _REGISTRY + """,
+pp AS (SELECT p.*, part.p_size FROM problems p JOIN part ON part.p_partkey = p.partkey),
+regt AS (SELECT id, title, time_limit, memory_limit, has_checker, test_case_count,
+                1600000000 + partkey * 60 AS created_at FROM registry)"""
+
+
+def _reg_cols(a: str) -> str:
+    return (f"{a}.id, {a}.title, CAST({a}.time_limit AS BIGINT) AS time_limit, "
+            f"CAST({a}.memory_limit AS BIGINT) AS memory_limit, {a}.has_checker, "
+            f"CAST({a}.test_case_count AS BIGINT) AS test_case_count, CAST({a}.created_at AS BIGINT) AS created_at")
+
+
+SQL["upsert_problems"] = _with(_REGT, """,
+ch AS (SELECT id, upper(title) AS title, time_limit + 100 AS time_limit, memory_limit, has_checker, test_case_count,
+              1 AS seq FROM pp WHERE p_size % 5 = 0
+       UNION ALL SELECT id, 'v2 ' || title, 2000, 512, true, 9, 2 FROM pp WHERE p_size % 10 = 0
+       UNION ALL SELECT 'X' || id, title, time_limit, memory_limit, has_checker, test_case_count, 3
+                 FROM pp WHERE partkey % 50 = 0),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ch) WHERE rn = 1),
+up AS (SELECT coalesce(l.id, r.id) AS id,
+              CASE WHEN l.id IS NOT NULL THEN l.title ELSE r.title END AS title,
+              CASE WHEN l.id IS NOT NULL THEN l.time_limit ELSE r.time_limit END AS time_limit,
+              CASE WHEN l.id IS NOT NULL THEN l.memory_limit ELSE r.memory_limit END AS memory_limit,
+              CASE WHEN l.id IS NOT NULL THEN l.has_checker ELSE r.has_checker END AS has_checker,
+              CASE WHEN l.id IS NOT NULL THEN l.test_case_count ELSE r.test_case_count END AS test_case_count,
+              coalesce(r.created_at, 1700000000) AS created_at
+       FROM regt r FULL OUTER JOIN last l ON l.id = r.id)""") + "SELECT " + _reg_cols("up") + " FROM up"
+
+SQL["patch_problems"] = _with(_REGT, """,
+pt AS (SELECT id, CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'patched ' || title END AS title,
+              CASE WHEN partkey % 4 = 1 THEN NULL ELSE time_limit * 2 END AS time_limit,
+              partkey % 9 = 1 AS checker_set
+       FROM problems WHERE partkey % 3 = 1),
+pa AS (SELECT r.id, coalesce(p.title, r.title) AS title, coalesce(p.time_limit, r.time_limit) AS time_limit,
+              r.memory_limit, r.has_checker OR coalesce(p.checker_set, false) AS has_checker,
+              r.test_case_count, r.created_at
+       FROM regt r LEFT JOIN pt p ON p.id = r.id)""") + "SELECT " + _reg_cols("pa") + " FROM pa"
+
+SQL["delete_problems"] = _with(_REGT) + """
+SELECT id FROM regt WHERE id NOT IN (
+  SELECT CAST(p_partkey AS VARCHAR) || '_' || chr(CAST(65 + p_partkey % 5 AS INTEGER)) FROM part WHERE p_size % 7 = 0)"""
+
+SQL["insert_if_absent"] = _with(_REGT, f""",
+nw AS (SELECT id, title, checker FROM problems WHERE partkey % 2 = 0
+       UNION ALL SELECT 'N' || id, title, checker FROM problems WHERE partkey % 6 = 0)""") + f"""
+SELECT id, title, has_checker FROM regt
+UNION ALL
+SELECT id, title, {_NONBLANK.format(x='checker')} FROM nw WHERE id NOT IN (SELECT id FROM regt)"""
+
+_TC = A.RUNS_SQL + A.PROBLEMS_SQL + """,
+named AS (SELECT DISTINCT problem_id, CAST(case_no * case_no AS VARCHAR) AS stem FROM runs WHERE attempt = 1
+          UNION ALL SELECT id, 'readme' FROM problems WHERE partkey % 7 = 0),
+oldf AS (SELECT problem_id, stem || '.in' AS name, 'old ' || stem AS content FROM named),
+newf AS (SELECT n.problem_id, n.stem || '.in' AS name, 'new ' || n.stem AS content
+         FROM named n JOIN problems p ON p.id = n.problem_id
+         WHERE p.partkey % 3 = 0 AND n.stem IN ('1', '4', '64'))"""
+
+
+def _tc_sql(src: str) -> str:
+    return f"""
+SELECT problem_id, CAST(count(*) AS BIGINT) AS n_files,
+       md5(string_agg(name || '=' || content, '|' ORDER BY name, content)) AS files_md5
+FROM {src} GROUP BY problem_id"""
+
+
+SQL["merge_testcases"] = _with(_TC, """,
+merged AS (SELECT * FROM newf UNION ALL
+           SELECT o.* FROM oldf o WHERE NOT EXISTS (SELECT 1 FROM newf n WHERE n.problem_id = o.problem_id
+                                                                        AND n.name = o.name))""") + _tc_sql("merged")
+
+SQL["replace_testcases"] = _with(_TC, """,
+replaced AS (SELECT * FROM newf UNION ALL
+             SELECT o.* FROM oldf o WHERE o.problem_id NOT IN (SELECT problem_id FROM newf))""") + _tc_sql("replaced")
+
+SQL["new_submission_ids"] = """
+SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey) AS id,
+       l_orderkey AS seq, CAST(l_partkey AS VARCHAR) || '_' || chr(CAST(65 + l_partkey % 5 AS INTEGER)) AS problem_id,
+       'Pending' AS status
+FROM lineitem WHERE l_linenumber = 1"""

@@ -580,3 +580,122 @@ def q_curation_report(spark, sf):
     kept = kept.join(files, "id")
     rejects = rejects.join(files.withColumnRenamed("id", "problem_id"), "problem_id")
     return curate.curation_report(curated, kept, rejects)
+
+
+# --------------------------------------------------------------------------
+# M1-M6 registry maintenance
+# --------------------------------------------------------------------------
+
+from judgelake.operators import registry as REG  # noqa: E402
+
+
+def registry_table(spark, sf):
+    r = registry(spark, sf)
+    return r.select("id", "title", "time_limit", "memory_limit", "has_checker", "test_case_count",
+                    (F.lit(1600000000) + F.col("partkey") * 60).alias("created_at"))
+
+
+def _reg_out(df):
+    return df.select("id", "title", F.col("time_limit").cast("bigint").alias("time_limit"),
+                     F.col("memory_limit").cast("bigint").alias("memory_limit"), "has_checker",
+                     F.col("test_case_count").cast("bigint").alias("test_case_count"),
+                     F.col("created_at").cast("bigint").alias("created_at"))
+
+
+def _changes(spark, sf):
+    p = A.problems(spark, sf).join(A.table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), "p_size"),
+                                   "partkey")
+    base = p.where(F.col("p_size") % 5 == 0)
+    c1 = base.select("id", F.upper("title").alias("title"), (F.col("time_limit") + 100).alias("time_limit"),
+                     "memory_limit", "has_checker", "test_case_count", F.lit(1).alias("seq"))
+    c2 = base.where(F.col("p_size") % 10 == 0).select(
+        "id", F.concat(F.lit("v2 "), F.col("title")).alias("title"), F.lit(2000).alias("time_limit"),
+        F.lit(512).alias("memory_limit"), F.lit(True).alias("has_checker"), F.lit(9).alias("test_case_count"),
+        F.lit(2).alias("seq"))
+    new = p.where(F.col("partkey") % 50 == 0).select(
+        F.concat(F.lit("X"), F.col("id")).alias("id"), "title", "time_limit", "memory_limit", "has_checker",
+        "test_case_count", F.lit(3).alias("seq"))
+    return c1.unionByName(c2).unionByName(new).withColumn("created_at", F.lit(1700000000).cast("bigint"))
+
+
+@query("upsert_problems")
+def q_upsert_problems(spark, sf):
+    return _reg_out(REG.upsert_problems(registry_table(spark, sf), _changes(spark, sf)))
+
+
+def _patches(spark, sf):
+    p = A.problems(spark, sf).where(F.col("partkey") % 3 == 1)
+    known = p.select(
+        "id", F.when(F.col("partkey") % 2 == 0, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("patched "), F.col("title"))).alias("title"),
+        F.when(F.col("partkey") % 4 == 1, F.lit(None).cast("int")).otherwise(F.col("time_limit") * 2).alias("time_limit"),
+        F.lit(None).cast("int").alias("memory_limit"), F.lit(None).cast("int").alias("test_case_count"),
+        (F.col("partkey") % 9 == 1).alias("checker_set"), F.lit(1).alias("seq"))
+    unknown = A.problems(spark, sf).where(F.col("partkey") % 100 == 1).select(
+        F.concat(F.lit("Z"), F.col("id")).alias("id"), F.lit("ghost").alias("title"),
+        F.lit(None).cast("int").alias("time_limit"), F.lit(None).cast("int").alias("memory_limit"),
+        F.lit(None).cast("int").alias("test_case_count"), F.lit(False).alias("checker_set"), F.lit(1).alias("seq"))
+    return known.unionByName(unknown)
+
+
+@query("patch_problems")
+def q_patch_problems(spark, sf):
+    out, rejects = REG.patch_problems(registry_table(spark, sf), _patches(spark, sf))
+    return _reg_out(out)
+
+
+@query("delete_problems")
+def q_delete_problems(spark, sf):
+    ids = (A.table(spark, sf, "part").where(F.col("p_size") % 7 == 0)
+           .select(A.problem_id_of(F.col("p_partkey")).alias("id"))
+           .unionByName(spark.range(3).select(F.concat(F.lit("none_"), F.col("id").cast("string")).alias("id"))))
+    return REG.delete_problems(registry_table(spark, sf), ids).select("id")
+
+
+@query("insert_if_absent")
+def q_insert_if_absent(spark, sf):
+    p = A.problems(spark, sf).where(F.col("partkey") % 2 == 0)
+    new = (p.select("id", "title", "checker")
+            .unionByName(p.where(F.col("partkey") % 6 == 0).select(
+                F.concat(F.lit("N"), F.col("id")).alias("id"), "title", "checker")))
+    t = registry_table(spark, sf).select("id", "title", "has_checker")
+    return REG.insert_if_absent(t, new).select("id", "title", "has_checker")
+
+
+def _tc_files(spark, sf):
+    n = _named_cases(spark, sf)
+    old = n.select("problem_id", F.concat("stem", F.lit(".in")).alias("name"),
+                   F.concat(F.lit("old "), F.col("stem")).alias("content"))
+    p = A.problems(spark, sf).where(F.col("partkey") % 3 == 0).select(F.col("id").alias("problem_id"))
+    new = (n.join(p, "problem_id").where(F.col("stem").isin("1", "4", "64"))
+            .select("problem_id", F.concat("stem", F.lit(".in")).alias("name"),
+                    F.concat(F.lit("new "), F.col("stem")).alias("content")))
+    return old, new
+
+
+def _tc_summary(df):
+    g = df.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("_f"))
+    return g.select("problem_id", F.size("_f").cast("bigint").alias("n_files"),
+                    F.md5(F.array_join(F.transform("_f", lambda x: F.concat(x["name"], F.lit("="), x["content"])), "|"))
+                    .alias("files_md5"))
+
+
+@query("merge_testcases")
+def q_merge_testcases(spark, sf):
+    old, new = _tc_files(spark, sf)
+    return _tc_summary(REG.merge_testcases(old, new))
+
+
+@query("replace_testcases")
+def q_replace_testcases(spark, sf):
+    old, new = _tc_files(spark, sf)
+    return _tc_summary(REG.replace_testcases(old, new))
+
+
+@query("new_submission_ids")
+def q_new_submission_ids(spark, sf):
+    arrivals = A.table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1).select(
+        F.col("l_orderkey").alias("seq"), F.col("l_shipdate").alias("arrived_at"),
+        F.col("l_partkey").alias("tiebreak"), A.problem_id_of(F.col("l_partkey")).alias("problem_id"))
+    out = REG.new_submission_ids(A.submissions(spark, sf), arrivals)
+    return out.select("id", "seq", "problem_id", "status")
