@@ -701,3 +701,140 @@ SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY l_ship
        l_orderkey AS seq, CAST(l_partkey AS VARCHAR) || '_' || chr(CAST(65 + l_partkey % 5 AS INTEGER)) AS problem_id,
        'Pending' AS status
 FROM lineitem WHERE l_linenumber = 1"""
+
+
+# --------------------------------------------------------------------------
+# T1-T6, A13-A16
+# --------------------------------------------------------------------------
+
+_ETOK = """
+et AS (SELECT event_id, user_id, regexp_extract(props, '([0-9]+)', 1) AS k,
+              CAST(floor(value) AS BIGINT) || '.' || lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS v2,
+              lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS cents
+       FROM events)"""
+
+SQL["validate_tokens"] = _with(_ETOK, """,
+tok AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '0' || k WHEN 1 THEN '+' || k WHEN 2 THEN '-' || k
+                                            WHEN 3 THEN repeat(k, 11) ELSE k END AS token FROM et),
+r AS (SELECT event_id, token,
+             CASE WHEN NOT regexp_full_match(token, '-?(0|[1-9][0-9]*)') OR token = '-0' OR length(token) > 20
+                       OR TRY_CAST(token AS BIGINT) IS NULL THEN 'expected int64'
+                  WHEN TRY_CAST(token AS BIGINT) < 1 OR TRY_CAST(token AS BIGINT) > 90 THEN 'out of range' END AS reason
+      FROM tok)""") + "SELECT * FROM r WHERE reason IS NOT NULL"
+
+SQL["validate_unsigned"] = _with(_ETOK, """,
+tok AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '18446744073709551615' WHEN 1 THEN '18446744073709551616'
+                                           WHEN 2 THEN '0' || k
+                                           ELSE CAST(user_id * 1000000000000 + CAST(k AS BIGINT) AS VARCHAR) END AS token
+        FROM et),
+r AS (SELECT event_id, token,
+             CASE WHEN NOT regexp_full_match(token, '(0|[1-9][0-9]*)') OR length(token) > 20
+                       OR TRY_CAST(token AS DECIMAL(38,0)) IS NULL
+                       OR TRY_CAST(token AS DECIMAL(38,0)) > CAST('18446744073709551615' AS DECIMAL(38,0))
+                  THEN 'expected unsigned int64'
+                  WHEN TRY_CAST(token AS DECIMAL(38,0)) > CAST('1000000000000000000' AS DECIMAL(38,0))
+                  THEN 'out of range' END AS reason
+      FROM tok)""") + "SELECT * FROM r WHERE reason IS NOT NULL"
+
+_DTOK = _ETOK + """,
+tok AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN v2 WHEN 1 THEN v2 || 'e1' WHEN 2 THEN '.' || cents
+                                           WHEN 3 THEN v2 || '0' WHEN 4 THEN '-' || v2 ELSE 'nan' END AS token
+        FROM et)"""
+
+SQL["validate_doubles"] = _with(_DTOK, """,
+r AS (SELECT event_id, token,
+             CASE WHEN NOT regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+                       OR TRY_CAST(token AS DOUBLE) IS NULL THEN 'expected double'
+                  WHEN TRY_CAST(token AS DOUBLE) < 0 OR TRY_CAST(token AS DOUBLE) > 100 THEN 'out of range' END AS reason
+      FROM tok)""") + "SELECT * FROM r WHERE reason IS NOT NULL"
+
+SQL["validate_strict_doubles"] = _with(_DTOK, """,
+r AS (SELECT event_id, token,
+             CASE WHEN NOT regexp_full_match(token, '-?(0|[1-9][0-9]*)(\\.[0-9]+)?') OR length(token) > 1000
+                       OR TRY_CAST(token AS DOUBLE) IS NULL THEN 'expected strict double'
+                  WHEN (CASE WHEN contains(token, '.') THEN length(split_part(token, '.', 2)) ELSE 0 END) NOT BETWEEN 2 AND 2
+                  THEN 'wrong number of digits after point'
+                  WHEN starts_with(token, '-') AND TRY_CAST(token AS DOUBLE) >= 0 THEN 'redundant minus'
+                  WHEN TRY_CAST(token AS DOUBLE) < 0 OR TRY_CAST(token AS DOUBLE) > 100 THEN 'out of range' END AS reason
+      FROM tok)""") + "SELECT * FROM r WHERE reason IS NOT NULL"
+
+_DOCTOK = """
+dt AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'),
+                                                   '[ \\t\\n\\r]+')) AS token FROM documents)"""
+
+SQL["validate_pattern"] = _with(_DOCTOK) + """
+SELECT doc_id, 'word' AS pattern_id, count(*) AS n_tokens,
+       count(*) FILTER (WHERE regexp_full_match(token, '[A-Za-z]+')) AS n_match FROM dt GROUP BY doc_id
+UNION ALL SELECT doc_id, 'capital', count(*), count(*) FILTER (WHERE regexp_full_match(token, '[A-Z][a-z]*[.,]?'))
+FROM dt GROUP BY doc_id
+UNION ALL SELECT doc_id, 'short', count(*), count(*) FILTER (WHERE regexp_full_match(token, '[a-z]{1,4}'))
+FROM dt GROUP BY doc_id
+UNION ALL SELECT doc_id, 'name', count(*), count(*) FILTER (WHERE regexp_full_match(token, 'mike|john'))
+FROM dt GROUP BY doc_id"""
+
+SQL["strict_layout_check"] = _with(A.OUTPUTS_SQL, """,
+sp AS (SELECT output_id, string_split(actual, chr(10)) AS s FROM outputs),
+l AS (SELECT output_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line, len(s) AS n FROM sp),
+r AS (SELECT output_id, i,
+             CASE WHEN i = n THEN CASE WHEN line <> '' THEN 'missing final line feed' END
+                  WHEN line = '' THEN 'empty line'
+                  WHEN contains(line, chr(13)) THEN 'carriage return'
+                  WHEN starts_with(line, ' ') THEN 'leading space'
+                  WHEN ends_with(line, ' ') THEN 'trailing space'
+                  WHEN contains(line, '  ') THEN 'double space'
+                  WHEN contains(line, chr(9)) THEN 'tab' END AS reason
+      FROM l),
+b AS (SELECT output_id, min(i) FILTER (WHERE reason IS NOT NULL) AS bad_line FROM r GROUP BY output_id)""") + """
+SELECT b.output_id, CAST(b.bad_line AS BIGINT) AS bad_line, r.reason
+FROM b LEFT JOIN r ON r.output_id = b.output_id AND r.i = b.bad_line"""
+
+SQL["compare_token_lists"] = _with(A.OUTPUTS_SQL, """,
+tl AS (SELECT output_id,
+              regexp_split_to_array(regexp_replace(expected, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+') AS e,
+              regexp_split_to_array(regexp_replace(actual, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+') AS f
+       FROM outputs),
+m AS (SELECT output_id, e, f,
+             list_filter(range(1, greatest(len(e), len(f)) + 1), lambda i: e[i] IS DISTINCT FROM f[i])[1] AS pos
+      FROM tl)""") + """
+SELECT output_id, CAST(pos AS BIGINT) AS pos,
+       CASE WHEN pos IS NOT NULL THEN coalesce(e[pos], 'EOF') END AS exp_token,
+       CASE WHEN pos IS NOT NULL THEN coalesce(f[pos], 'EOF') END AS got_token
+FROM m"""
+
+SQL["bounds_hit_report"] = """
+WITH v AS (SELECT 'quantity' AS variable, l_quantity AS value FROM lineitem
+           UNION ALL SELECT 'discount', l_discount FROM lineitem
+           UNION ALL SELECT 'tax', l_tax FROM lineitem
+           UNION ALL SELECT 'linenumber', CAST(l_linenumber AS DOUBLE) FROM lineitem
+           UNION ALL SELECT 'price', l_extendedprice FROM lineitem),
+c AS (SELECT * FROM (VALUES ('quantity', 1.0, 50.0, true, false, false), ('discount', 0.0, 0.1, false, false, false),
+                            ('tax', 0.0, 0.08, false, false, false), ('linenumber', 1.0, 7.0, true, false, false),
+                            ('price', 0.0, 1000000.0, false, true, false))
+      AS t(variable, lo, hi, is_int, lo_ign, hi_ign))
+SELECT c.variable,
+       bool_or(CASE WHEN c.is_int THEN v.value = c.lo ELSE abs(v.value - c.lo) < 1e-12 END) OR bool_or(c.lo_ign) AS min_hit,
+       bool_or(CASE WHEN c.is_int THEN v.value = c.hi ELSE abs(v.value - c.hi) < 1e-12 END) OR bool_or(c.hi_ign) AS max_hit
+FROM v JOIN c ON c.variable = v.variable GROUP BY c.variable"""
+
+_READS = """
+rd AS (SELECT 'quantity' AS variable, '1' AS lower, '50' AS upper FROM lineitem
+       UNION ALL SELECT 'price', '0', CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) FROM lineitem
+       UNION ALL SELECT 'window', CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 10 AS VARCHAR) FROM lineitem
+       UNION ALL SELECT 'longname', repeat('9', 40), '5' FROM lineitem)"""
+
+SQL["constant_bounds_report"] = _with(_READS, """,
+g AS (SELECT variable,
+             CASE WHEN count(DISTINCT lower) = 1 AND max(length(lower)) < 32 THEN max(lower) ELSE '?' END AS lower,
+             CASE WHEN count(DISTINCT upper) = 1 AND max(length(upper)) < 32 THEN max(upper) ELSE '?' END AS upper
+      FROM rd GROUP BY variable)""") + "SELECT * FROM g WHERE NOT (lower = '?' AND upper = '?')"
+
+SQL["feature_coverage"] = """
+WITH d AS (SELECT feature, count(*) AS n FROM (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('refund'), ('view'))
+           AS t(feature) GROUP BY feature),
+h AS (SELECT event_type AS feature, count(*) AS hits FROM events GROUP BY event_type)
+SELECT 'report' AS kind, d.feature, coalesce(h.hits > 0, false) AS hit, CAST(NULL AS VARCHAR) AS error
+FROM d LEFT JOIN h ON h.feature = d.feature
+UNION ALL SELECT 'error', feature, NULL, 'feature not declared' FROM h WHERE feature NOT IN (SELECT feature FROM d)
+UNION ALL SELECT 'error', feature, NULL, 'feature declared twice' FROM d WHERE n > 1"""
+
+SQL["variable_inventory"] = _with(_READS) + "SELECT DISTINCT variable FROM rd ORDER BY variable"

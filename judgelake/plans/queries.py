@@ -699,3 +699,148 @@ def q_new_submission_ids(spark, sf):
         F.col("l_partkey").alias("tiebreak"), A.problem_id_of(F.col("l_partkey")).alias("problem_id"))
     out = REG.new_submission_ids(A.submissions(spark, sf), arrivals)
     return out.select("id", "seq", "problem_id", "status")
+
+
+# --------------------------------------------------------------------------
+# T1-T6, A13-A16 validation
+# --------------------------------------------------------------------------
+
+from judgelake.operators import validate as VAL  # noqa: E402
+
+
+def _event_tokens(spark, sf):
+    e = A.table(spark, sf, "events").select("event_id", "user_id", "value", "props")
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    cents = F.lpad((F.round(F.col("value") * 100).cast("bigint") % 100).cast("string"), 2, "0")
+    v2 = F.concat(F.floor("value").cast("bigint").cast("string"), F.lit("."), cents)
+    return e.select("event_id", "user_id", k.alias("k"), v2.alias("v2"), cents.alias("cents"))
+
+
+@query("validate_tokens")
+def q_validate_tokens(spark, sf):
+    t = _event_tokens(spark, sf)
+    m = F.col("event_id") % 7
+    k = F.col("k")
+    tok = (F.when(m == 0, F.concat(F.lit("0"), k)).when(m == 1, F.concat(F.lit("+"), k))
+            .when(m == 2, F.concat(F.lit("-"), k)).when(m == 3, F.repeat(k, 11)).otherwise(k))
+    return VAL.validate_tokens(t.select("event_id", tok.alias("token")), "int", 1, 90)
+
+
+@query("validate_unsigned")
+def q_validate_unsigned(spark, sf):
+    t = _event_tokens(spark, sf)
+    m = F.col("event_id") % 4
+    tok = (F.when(m == 0, F.lit("18446744073709551615")).when(m == 1, F.lit("18446744073709551616"))
+            .when(m == 2, F.concat(F.lit("0"), F.col("k")))
+            .otherwise((F.col("user_id") * 1000000000000 + F.col("k").cast("bigint")).cast("string")))
+    return VAL.validate_tokens(t.select("event_id", tok.alias("token")), "uint", 0, 10 ** 18)
+
+
+def _double_tokens(spark, sf):
+    t = _event_tokens(spark, sf)
+    m = F.col("event_id") % 6
+    v2 = F.col("v2")
+    tok = (F.when(m == 0, v2).when(m == 1, F.concat(v2, F.lit("e1"))).when(m == 2, F.concat(F.lit("."), F.col("cents")))
+            .when(m == 3, F.concat(v2, F.lit("0"))).when(m == 4, F.concat(F.lit("-"), v2)).otherwise(F.lit("nan")))
+    return t.select("event_id", tok.alias("token"))
+
+
+@query("validate_doubles")
+def q_validate_doubles(spark, sf):
+    return VAL.validate_tokens(_double_tokens(spark, sf), "double", 0.0, 100.0)
+
+
+@query("validate_strict_doubles")
+def q_validate_strict_doubles(spark, sf):
+    return VAL.validate_tokens(_double_tokens(spark, sf), "double", 0.0, 100.0, strict=True,
+                               min_digits=2, max_digits=2)
+
+
+PATTERNS = {"word": "[A-Za-z]+", "capital": "[A-Z][a-z]*[.,]?", "short": "[a-z]{1,4}", "name": "mike|john"}
+
+
+def _doc_tokens(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
+    toks = F.split(F.regexp_replace("text", "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""), "[ \\t\\n\\r]+", -1)
+    return d.select("doc_id", F.explode(toks).alias("token"))
+
+
+@query("validate_pattern")
+def q_validate_pattern(spark, sf):
+    v = VAL.validate_pattern(_doc_tokens(spark, sf), PATTERNS)
+    return v.groupBy("doc_id", "pattern_id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                                  F.count_if("matched").alias("n_match"))
+
+
+@query("strict_layout_check")
+def q_strict_layout_check(spark, sf):
+    o = A.outputs(spark, sf).select("output_id", F.col("actual").alias("text"))
+    return VAL.strict_layout_check(o)
+
+
+@query("compare_token_lists")
+def q_compare_token_lists(spark, sf):
+    o = A.outputs(spark, sf)
+
+    def toks(c):
+        return F.split(F.regexp_replace(c, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""), "[ \\t\\n\\r]+", -1)
+    # materialise both token arrays first: the comparison reads them per
+    # element, and must not re-split the text each time
+    t = o.select("output_id", toks(F.col("expected")).alias("e"), toks(F.col("actual")).alias("f"))
+    r = t.select("output_id", VAL.compare_token_lists(F.col("e"), F.col("f")).alias("m"))
+    return r.select("output_id", F.col("m.pos").cast("bigint").alias("pos"), F.col("m.expected").alias("exp_token"),
+                    F.col("m.found").alias("got_token"))
+
+
+def _bound_values(spark, sf):
+    l = A.table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice")
+    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(c).cast("double").alias("value")) for n, c in
+                      [("quantity", "l_quantity"), ("discount", "l_discount"), ("tax", "l_tax"),
+                       ("linenumber", "l_linenumber"), ("price", "l_extendedprice"), ("l2", "l_tax")]])
+    return l.select(F.explode(pairs).alias("v")).select("v.*")
+
+
+BOUNDS = [("quantity", "1", "50", True), ("discount", "0", "0.1", False), ("tax", "0", "0.08", False),
+          ("linenumber", "1", "7", True), ("price", "~0", "1000000", False), ("l2", "0", "5", False)]
+
+
+@query("bounds_hit_report")
+def q_bounds_hit_report(spark, sf):
+    c = spark.createDataFrame(BOUNDS, "variable string, lo string, hi string, is_int boolean")
+    return VAL.bounds_hit_report(_bound_values(spark, sf), c)
+
+
+def _bound_reads(spark, sf):
+    l = A.table(spark, sf, "lineitem").select("l_linenumber", "l_extendedprice")
+    reads = F.array(
+        F.struct(F.lit("quantity").alias("variable"), F.lit("1").alias("lower"), F.lit("50").alias("upper")),
+        F.struct(F.lit("price").alias("variable"), F.lit("0").alias("lower"),
+                 F.floor("l_extendedprice").cast("bigint").cast("string").alias("upper")),
+        F.struct(F.lit("window").alias("variable"), F.col("l_linenumber").cast("string").alias("lower"),
+                 (F.col("l_linenumber") + 10).cast("string").alias("upper")),
+        F.struct(F.lit("longname").alias("variable"), F.repeat(F.lit("9"), 40).alias("lower"),
+                 F.lit("5").alias("upper")))
+    return l.select(F.explode(reads).alias("r")).select("r.*")
+
+
+@query("constant_bounds_report")
+def q_constant_bounds_report(spark, sf):
+    return VAL.constant_bounds_report(_bound_reads(spark, sf))
+
+
+DECLARED_FEATURES = ["view", "click", "purchase", "signup", "refund", "view"]
+
+
+@query("feature_coverage")
+def q_feature_coverage(spark, sf):
+    declared = spark.createDataFrame([(f,) for f in DECLARED_FEATURES], "feature string")
+    hits = A.table(spark, sf, "events").select(F.col("event_type").alias("feature"))
+    report, errors = VAL.feature_coverage(declared, hits)
+    return (report.select(F.lit("report").alias("kind"), "feature", "hit", F.lit(None).cast("string").alias("error"))
+                  .unionByName(errors.select(F.lit("error").alias("kind"), "feature",
+                                             F.lit(None).cast("boolean").alias("hit"), "error")))
+
+
+@query("variable_inventory")
+def q_variable_inventory(spark, sf):
+    return VAL.variable_inventory(_bound_reads(spark, sf))
