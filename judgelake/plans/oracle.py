@@ -838,3 +838,105 @@ UNION ALL SELECT 'error', feature, NULL, 'feature not declared' FROM h WHERE fea
 UNION ALL SELECT 'error', feature, NULL, 'feature declared twice' FROM d WHERE n > 1"""
 
 SQL["variable_inventory"] = _with(_READS) + "SELECT DISTINCT variable FROM rd ORDER BY variable"
+
+
+# --------------------------------------------------------------------------
+# SNK1, SRC5, A17, U3
+# --------------------------------------------------------------------------
+
+_TR = RESOLVED_SQL + """,
+tr AS (SELECT submission_id, CAST(case_no AS INTEGER) AS testIndex,
+              CASE WHEN case_no % 2 = 0 THEN 'tests' ELSE 'pretests' END AS testset,
+              CAST(case_no % 3 AS VARCHAR) AS "group",
+              CASE status WHEN 'Accepted' THEN 'OK' WHEN 'Wrong Answer' THEN 'WRONG_ANSWER'
+                          WHEN 'Time Limit Exceeded' THEN 'TIME_LIMIT_EXCEEDED' WHEN 'Runtime Error' THEN 'RUNTIME_ERROR'
+                          WHEN 'System Error' THEN 'FAILED' WHEN 'Memory Limit Exceeded' THEN 'MEMORY_LIMIT_EXCEEDED'
+                          WHEN 'Compile Error' THEN 'COMPILATION_ERROR' END AS verdict,
+              CAST(CASE WHEN case_no = 7 THEN NULL WHEN status = 'Accepted' THEN case_no * 1.5 ELSE 0.0 END AS DOUBLE) AS points,
+              CAST(time_used AS BIGINT) AS timeConsumed, CAST(0 AS BIGINT) AS memoryConsumed,
+              'in;' || CAST(case_no AS VARCHAR) || '\\x' AS input, message AS output,
+              'ans' || chr(13) || chr(10) || CAST(submission_id AS VARCHAR) AS answer, 0 AS exitCode,
+              status AS checkerComment
+       FROM resolved)"""
+
+
+def _esc(x: str) -> str:
+    return (f"replace(replace(replace(replace({x}, chr(13), ''), chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'),"
+            f" ';', chr(92) || ';')")
+
+
+_PTS = ("CASE WHEN points IS NULL OR isnan(points) THEN '' ELSE "
+        "CAST(CAST(floor(points * 1000 + 0.5) AS BIGINT) // 1000 AS VARCHAR) || '.' || "
+        "lpad(CAST(CAST(floor(points * 1000 + 0.5) AS BIGINT) % 1000 AS VARCHAR), 3, '0') END")
+
+SQL["export_test_results"] = _with(_TR) + f"""
+SELECT concat_ws(';', CAST(testIndex AS VARCHAR), {_esc('testset')}, {_esc('"group"')}, verdict, {_PTS},
+                 CAST(timeConsumed AS VARCHAR), CAST(memoryConsumed AS VARCHAR), {_esc('input')}, {_esc('output')},
+                 {_esc('answer')}, CAST(exitCode AS VARCHAR), {_esc('checkerComment')}) AS value
+FROM tr"""
+
+SQL["ingest_test_results"] = _with(_TR) + """
+SELECT testIndex, testset, "group", verdict, points, timeConsumed, memoryConsumed, input, output,
+       replace(answer, chr(13), '') AS answer, exitCode, checkerComment FROM tr"""
+
+SQL["grouped_score"] = _with(_TR, """,
+pg AS (SELECT submission_id, "group", sum(coalesce(points, 0)) AS gp, bool_and(verdict = 'OK') AS all_ok,
+              count(*) AS n, count(*) FILTER (WHERE verdict = 'OK') AS ok FROM tr GROUP BY submission_id, "group")""") + """
+SELECT submission_id, round(sum(gp), 3) AS sum_points,
+       round(sum(CASE WHEN all_ok THEN gp ELSE 0 END), 3) AS group_points,
+       round(sum(ok) / sum(n), 3) AS ok_fraction
+FROM pg GROUP BY submission_id"""
+
+SQL["scorer_udaf"] = _with(_TR) + """
+SELECT submission_id, round(sum(coalesce(points, 0) * (1 + testIndex / 10)), 3) AS score FROM tr GROUP BY submission_id"""
+
+# --------------------------------------------------------------------------
+# G1-G6
+# --------------------------------------------------------------------------
+
+
+def _draw(salt: str, key: str) -> str:
+    return f"CAST('0x' || substr(md5('20240601:{salt}:' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+SQL["gen_uniform"] = f"""
+SELECT o_orderkey, 1 + {_draw('', 'o_orderkey')} % 1000 AS u_int,
+       round(0.0 + CAST({_draw('', 'o_orderkey')} AS DOUBLE) / {float(2 ** 60)!r} * 1.0, 9) AS u_double
+FROM orders"""
+
+SQL["gen_weighted"] = f"""
+SELECT o_orderkey,
+       greatest({', '.join(_draw(f'#{i}', 'o_orderkey') + ' % 1000' for i in range(4))}) AS w3,
+       least({', '.join(_draw(f'#{i}', 'o_orderkey') + ' % 1000' for i in range(3))}) AS wm2,
+       least(CAST(floor(1000.0 * pow(CAST({_draw('', 'o_orderkey')} AS DOUBLE) / {float(2 ** 60)!r}, {1.0 / 31!r})) AS BIGINT), 999) AS w30
+FROM orders"""
+
+SQL["shuffle_rows"] = """
+SELECT o_orderkey, row_number() OVER (ORDER BY md5('20240601:perm:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS perm
+FROM orders"""
+
+SQL["sample_distinct"] = """
+SELECT l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem)
+ORDER BY md5('20240601:distinct:' || CAST(l_partkey AS VARCHAR)), l_partkey LIMIT 100"""
+
+SQL["sample_rows"] = f"""
+WITH n AS (SELECT count(*) AS n FROM orders),
+od AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS ord FROM orders),
+d AS (SELECT c_custkey AS draw_id,
+             greatest({', '.join(_draw(f'#{i}', 'c_custkey') + ' % n.n' for i in range(3))}) + 1 AS ord
+      FROM customer, n)
+SELECT d.draw_id, od.o_orderkey FROM d JOIN od ON od.ord = d.ord"""
+
+SQL["random_partition"] = """
+WITH g AS (SELECT o_custkey AS group_id, count(*) AS size, CAST(sum(floor(o_totalprice / 10000)) AS BIGINT) AS total,
+                  2 AS min_part FROM orders GROUP BY o_custkey),
+g2 AS (SELECT *, total - size * min_part AS free FROM g WHERE total >= size * min_part),
+cand AS (SELECT group_id, size, unnest(range(1, free + size)) AS cut FROM g2 WHERE free + size - 1 > 0),
+ranked AS (SELECT group_id, cut, size,
+                  row_number() OVER (PARTITION BY group_id ORDER BY md5('20240601:' || CAST(group_id AS VARCHAR) || ':' || CAST(cut AS VARCHAR)), cut) AS r
+           FROM cand),
+ends AS (SELECT group_id, cut FROM ranked WHERE r <= size - 1
+         UNION ALL SELECT group_id, free + size FROM g2 UNION ALL SELECT group_id, 0 FROM g2),
+gaps AS (SELECT group_id, cut, lag(cut) OVER (PARTITION BY group_id ORDER BY cut) AS prev,
+                row_number() OVER (PARTITION BY group_id ORDER BY cut) - 2 AS part_no FROM ends)
+SELECT group_id, CAST(part_no AS BIGINT) AS part_no, CAST(cut - prev - 1 + 2 AS BIGINT) AS part FROM gaps WHERE prev IS NOT NULL"""

@@ -844,3 +844,131 @@ def q_feature_coverage(spark, sf):
 @query("variable_inventory")
 def q_variable_inventory(spark, sf):
     return VAL.variable_inventory(_bound_reads(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# SRC5, SNK1, A17, U3 scorer results
+# --------------------------------------------------------------------------
+
+from judgelake.operators import results as RES  # noqa: E402
+from judgelake.sources import files as FILES  # noqa: E402
+
+VERDICT_CODE = {K.ACCEPTED: "OK", K.WRONG_ANSWER: "WRONG_ANSWER", K.TIME_LIMIT: "TIME_LIMIT_EXCEEDED",
+                K.RUNTIME_ERROR: "RUNTIME_ERROR", K.SYSTEM_ERROR: "FAILED",
+                K.MEMORY_LIMIT: "MEMORY_LIMIT_EXCEEDED", K.COMPILE_ERROR: "COMPILATION_ERROR"}
+
+
+def test_results(spark, sf):
+    """The 12 scorer fields per resolved case (plus submission_id)."""
+    r = resolved_cases(spark, sf)
+    vmap = F.create_map(*[x for k, v in VERDICT_CODE.items() for x in (F.lit(k), F.lit(v))])
+    c = F.col("case_no")
+    return r.select(
+        "submission_id",
+        c.cast("int").alias("testIndex"),
+        F.when(c % 2 == 0, F.lit("tests")).otherwise(F.lit("pretests")).alias("testset"),
+        (c % 3).cast("string").alias("group"),
+        vmap[F.col("status")].alias("verdict"),
+        F.when(c == 7, F.lit(None).cast("double"))
+         .when(F.col("status") == K.ACCEPTED, c * 1.5).otherwise(F.lit(0.0)).alias("points"),
+        F.col("time_used").cast("bigint").alias("timeConsumed"),
+        F.lit(0).cast("bigint").alias("memoryConsumed"),
+        F.concat(F.lit("in;"), c.cast("string"), F.lit("\\x")).alias("input"),
+        F.col("message").alias("output"),
+        F.concat(F.lit("ans\r\n"), F.col("submission_id").cast("string")).alias("answer"),
+        F.lit(0).alias("exitCode"),
+        F.col("status").alias("checkerComment"))
+
+
+@query("export_test_results")
+def q_export_test_results(spark, sf):
+    return FILES.export_test_results(test_results(spark, sf))
+
+
+@query("ingest_test_results")
+def q_ingest_test_results(spark, sf):
+    """SNK1 -> text files in the shared folder -> SRC5: the round trip."""
+    import uuid
+    from judgelake.session import scratch_path
+    path = scratch_path(spark, f"test_results/{uuid.uuid4().hex}")
+    FILES.export_test_results(test_results(spark, sf)).write.mode("overwrite").text(path)
+    good, bad = FILES.ingest_test_results(spark, path)
+    return good
+
+
+@query("grouped_score")
+def q_grouped_score(spark, sf):
+    return RES.grouped_score(test_results(spark, sf))
+
+
+def _weighted_scorer(frame):
+    """A user scorer: points weighted by 1 + testIndex / 10."""
+    return float((frame["points"].fillna(0.0) * (1 + frame["testIndex"] / 10)).sum())
+
+
+@query("scorer_udaf")
+def q_scorer_udaf(spark, sf):
+    return RES.user_score(test_results(spark, sf), _weighted_scorer)
+
+
+# --------------------------------------------------------------------------
+# G1-G7 generation and sampling
+# --------------------------------------------------------------------------
+
+from judgelake.operators import generate as GEN  # noqa: E402
+
+SEED = 20240601
+
+
+@query("gen_uniform")
+def q_gen_uniform(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey")
+    o = GEN.gen_uniform(o, "o_orderkey", 1, 1000, SEED, out="u_int")
+    o = GEN.gen_uniform(o, "o_orderkey", 0.0, 1.0, SEED, out="u_double")
+    return o.select("o_orderkey", "u_int", F.round("u_double", 9).alias("u_double"))
+
+
+@query("gen_weighted")
+def q_gen_weighted(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey")
+    for t in (3, -2, 30):
+        o = GEN.gen_weighted(o, "o_orderkey", 1000, t, SEED, out=f"w{t}".replace("-", "m"))
+    return o
+
+
+@query("shuffle_rows")
+def q_shuffle_rows(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey")
+    return GEN.shuffle_rows(o, "o_orderkey", SEED, first=1)
+
+
+@query("sample_distinct")
+def q_sample_distinct(spark, sf):
+    l = A.table(spark, sf, "lineitem").select("l_partkey")
+    return GEN.sample_distinct(l, "l_partkey", 100, SEED)
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    n = o.count()   # one scalar: the row count bounds the index draw
+    draws = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("draw_id"))
+    s = GEN.sample_rows(o, "o_orderkey", draws, n, SEED, wtype=2)
+    return s.select("draw_id", "o_orderkey")
+
+
+@query("random_partition")
+def q_random_partition(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    g = o.groupBy(F.col("o_custkey").alias("group_id")).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum(F.floor(F.col("o_totalprice") / 10000)).cast("bigint").alias("total"),
+        F.lit(2).cast("bigint").alias("min_part"))
+    return GEN.random_partition(g, SEED).select("group_id", F.col("part_no").cast("bigint").alias("part_no"),
+                                                F.col("part").cast("bigint").alias("part"))
+
+
+@query("gen_strings")
+def q_gen_strings(spark, sf):
+    c = A.table(spark, sf, "customer").select("c_custkey")
+    return GEN.gen_strings(c, "c_custkey", "[a-z]{3,8}_[0-9]{2}", SEED)
