@@ -940,3 +940,18 @@ ends AS (SELECT group_id, cut FROM ranked WHERE r <= size - 1
 gaps AS (SELECT group_id, cut, lag(cut) OVER (PARTITION BY group_id ORDER BY cut) AS prev,
                 row_number() OVER (PARTITION BY group_id ORDER BY cut) - 2 AS part_no FROM ends)
 SELECT group_id, CAST(part_no AS BIGINT) AS part_no, CAST(cut - prev - 1 + 2 AS BIGINT) AS part FROM gaps WHERE prev IS NOT NULL"""
+
+
+# --------------------------------------------------------------------------
+# The batch result on the same data is the oracle
+# --------------------------------------------------------------------------
+
+SQL["stream_candidates"] = SQL["eligible_problems"]
+SQL["stream_dedup_processed"] = "SELECT DISTINCT user_id FROM events"
+SQL["stream_submission_status"] = _with(A.LIFECYCLE_SQL) + """
+SELECT submission_id, arg_max(status, (ts, seq)) AS status FROM lifecycle GROUP BY submission_id"""
+SQL["stream_early_finish"] = _with(SUBMISSION_RESULT_SQL) + """
+SELECT submission_id, status, time_used, score, message, failed_case FROM submission_result"""
+SQL["stream_slow_checkers"] = SQL["slow_checker_registry"].replace(
+    ", epoch_us(f.first_seen) AS first_seen_us", "")
+SQL["stream_registry_upsert"] = SQL["upsert_problems"]
