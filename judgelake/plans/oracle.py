@@ -955,3 +955,26 @@ SELECT submission_id, status, time_used, score, message, failed_case FROM submis
 SQL["stream_slow_checkers"] = SQL["slow_checker_registry"].replace(
     ", epoch_us(f.first_seen) AS first_seen_us", "")
 SQL["stream_registry_upsert"] = SQL["upsert_problems"]
+
+
+# --------------------------------------------------------------------------
+# SRC1-SRC3, SNK2, SNK3, U1, U4
+# --------------------------------------------------------------------------
+
+SQL["scan_candidates"] = SQL["eligible_problems"]
+SQL["scan_dir_lineage"] = _with(A.PROBLEMS_SQL) + "SELECT id, right(id, 1) AS letter FROM problems"
+SQL["scan_tolerant"] = _with(A.PROBLEMS_SQL) + "SELECT id FROM problems"
+SQL["append_widening"] = _with(A.SUBMISSIONS_SQL) + """
+SELECT id, CAST(time_used AS BIGINT) AS time_used, CASE WHEN id % 2 = 0 THEN status END AS status FROM submissions"""
+SQL["skip_existing_output"] = _with(A.PROBLEMS_SQL) + """
+SELECT DISTINCT right(id, 1) || '_passed_incorrect.parquet' AS source_file, right(id, 1) || '_filtered.parquet' AS output_file
+FROM problems WHERE right(id, 1) NOT IN ('A', 'C')"""
+SQL["checker_udf"] = _with(A.OUTPUTS_SQL) + """
+SELECT output_id,
+       CASE WHEN regexp_split_to_array(regexp_replace(actual, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+')
+               = regexp_split_to_array(regexp_replace(expected, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+')
+            THEN 'ok' ELSE 'wa' END AS outcome
+FROM outputs"""
+SQL["evaluator_hook"] = _with(SUBMISSION_RESULT_SQL, A.SUBMISSION_LISTS_SQL) + """
+SELECT s.submission_id AS request_id, r.status AS verdict, r.status IS NOT NULL AS success
+FROM submission_lists s LEFT JOIN submission_result r ON r.submission_id = s.submission_id"""

@@ -1067,3 +1067,84 @@ def q_stream_registry_upsert(spark, sf):
     s = spark.readStream.schema(schema).parquet(src)
     ST.stream_registry_upsert(s, sink, registry_table(spark, sf), ckpt).awaitTermination()
     return _reg_out(spark.read.parquet(f"{sink}/v=1"))
+
+
+# --------------------------------------------------------------------------
+# SRC1-SRC3, SNK2, SNK3 files; U1, U2, U4
+# --------------------------------------------------------------------------
+
+from judgelake.operators import udfs as UDF  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+@query("scan_candidates")
+def q_scan_candidates(spark, sf):
+    src, _, _ = _paths(spark, "scan")
+    _stage(A.curation_input(spark, sf).select(*FILES.MULTI_COLUMNS), src)
+    e = FILES.scan_candidates(spark, src, multi=True)
+    return e.select("id", F.size("test_cases").cast("bigint").alias("n_tests"),
+                    F.size("incorrect_submissions").cast("bigint").alias("n_incorrect"),
+                    F.size("correct_submissions").cast("bigint").alias("n_correct"))
+
+
+@query("scan_dir_lineage")
+def q_scan_dir_lineage(spark, sf):
+    src, _, _ = _paths(spark, "lineage")
+    p = A.problems(spark, sf).select("id", "title", F.substring("id", -1, 1).alias("letter"))
+    p.write.partitionBy("letter").parquet(src)
+    d = FILES.scan_dir_lineage(spark, src)
+    return d.select("id", F.regexp_extract(F.col("_metadata.file_path"), "letter=([A-Z])", 1).alias("letter"))
+
+
+@query("scan_tolerant")
+def q_scan_tolerant(spark, sf):
+    src, _, _ = _paths(spark, "tolerant")
+    A.problems(spark, sf).select("id", "title").repartition(3).write.parquet(src)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{src}/broken.parquet")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(b"this is not a parquet file"))
+    out.close()
+    rows, skipped = FILES.scan_tolerant(spark, src, schema=T.StructType.fromDDL("id string, title string"))
+    return rows.select("id")
+
+
+@query("append_widening")
+def q_append_widening(spark, sf):
+    s = A.submissions(spark, sf).select("id", "time_used", "status")
+    old = s.where(F.col("id") % 2 == 0)
+    new = s.where(F.col("id") % 2 == 1).withColumn("time_used", F.col("time_used").cast("bigint")).drop("status")
+    return FILES.append_widening(old, new).select("id", "time_used", "status")
+
+
+@query("skip_existing_output")
+def q_skip_existing_output(spark, sf):
+    files = A.problems(spark, sf).select(
+        F.concat(F.substring("id", -1, 1), F.lit("_passed_incorrect.parquet")).alias("source_file")).distinct()
+    files = files.withColumn("output_file", F.regexp_replace("source_file", "_passed_incorrect\\.parquet$",
+                                                             "_filtered.parquet"))
+    done = spark.createDataFrame([("A_filtered.parquet",), ("C_filtered.parquet",)], "output_file string")
+    return FILES.skip_existing_output(files, done)
+
+
+@query("checker_udf")
+def q_checker_udf(spark, sf):
+    chk = UDF.register_checker("tokens", UDF.token_checker)
+    o = A.outputs(spark, sf)
+    r = o.select("output_id", chk(F.lit(""), F.col("actual"), F.col("expected")).alias("r"))
+    return r.select("output_id", F.col("r.outcome").alias("outcome"))
+
+
+@query("validator_udf")
+def q_validator_udf(spark, sf):
+    run = UDF.register_validator(UDF.line_validator)
+    d = A.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return run(d)
+
+
+@query("evaluator_hook")
+def q_evaluator_hook(spark, sf):
+    ev = UDF.RunLogEvaluator(submission_results(spark, sf))
+    req = A.submission_lists(spark, sf).select(F.col("submission_id").alias("request_id"), "problem_id", "code",
+                                               "language")
+    return ev.evaluate(req)
