@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,53 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def crc_mod(col, m: int):
     """crc32 of the id's decimal text, modulo ``m``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8")), F.lit(m))
+
+
+def tree_merge(tables: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+               finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+               fan_in: int = 16) -> bytes | None:
+    """Merge the one-row tables (z binary) of all tasks by a tree of tasks with at most
+    ``fan_in`` inputs each; the driver gets the one left, after ``finish``, or None if there is none."""
+    parts = tables.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        tables = tables.repartition(parts).mapInArrow(merge, "z binary")
+    row = (tables.mapInArrow(finish, "z binary") if finish else tables).first()
+    return None if row is None else row["z"]
+
+
+def one_row(data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["z"])
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, packed: set at the upper bits of every value of the long column of
+    ``hashes``. The size is the same at any input; ``in_filter`` has false positives only."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield one_row(zstandard.compress(own.tobytes()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            for z in b.column(0):
+                own |= np.frombuffer(zstandard.decompress(z.as_py()), np.uint8)
+        yield one_row(zstandard.compress(own.tobytes()))
+
+    z = tree_merge(hashes.mapInArrow(fill, "z binary"), merge)
+    return np.zeros(1 << (bits - 3), np.uint8) if z is None else np.frombuffer(zstandard.decompress(z), np.uint8)
+
+
+def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``hashes`` the filter lets through."""
+    bits = len(packed).bit_length() + 2
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def row_key(id_col: str, text_col: str):
+    """One long for a row's id and text, nulls included: repeated rows have equal keys."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from judgelake.llm.decontaminate import op10_decontaminate
+from judgelake.llm.line_dedup import op9_line_dedup
+from judgelake.llm.packing import op4_packing
 from judgelake.llm.simhash import op8_simhash
 from judgelake.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}

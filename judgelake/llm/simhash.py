@@ -123,6 +123,15 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return left.join(right, on).select("a", "b")
 
 
+def simhash_components(own: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``own`` (fp long and any others) with component, the smallest fingerprint in reach.
+
+    Only distinct fingerprints are joined with each other."""
+    comp = connected_components(fingerprint_links(own.select("fp").distinct(), max_bits))
+    return (own.join(comp, own.fp == comp.id, "left")
+            .withColumn("component", F.coalesce("component", "fp")).drop("id"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, fp long, component_id.
@@ -135,15 +144,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its group (null if nothing in it has an id); an empty table gives no rows.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
-    groups = cut(own.groupBy("fp").agg(F.min("doc_id").alias("lead")), "simhash-groups")
-    comp = connected_components(fingerprint_links(groups.select("fp"), max_bits))
-    named = groups.join(comp, groups.fp == comp.id, "left").select(
-        "fp", "lead", F.coalesce("component", "fp").alias("component"))
-    heads = named.groupBy("component").agg(F.min("lead").alias("component_id"))
-    resolved = named.join(heads, "component").select("fp", "component_id")
-    return own.join(resolved, "fp").select("doc_id", "fp", "component_id")
+    grouped = simhash_components(own, max_bits)
+    heads = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.select("fp", "component").distinct().join(heads, "component").select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_per_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the row of the smallest doc_id stays.
+
+    Repeated rows of that id are one group as well: the first by a hash of the row stays.
+    Groups without any id keep one row likewise."""
+    own = cut(docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+              .withColumn("__n", F.monotonically_increasing_id()), "simhash-rows")
+    keyed = own.select(F.col("__n").alias("n"), F.col("__key").alias("k"), F.col("doc_id").cast("long").alias("id"), "text")
+    fps = fingerprints(keyed, "n", "text").withColumnRenamed("doc_id", "n").join(keyed.select("n", "k", "id"), "n")
+    groups = simhash_components(cut(fps, "simhash-fp"))
+    place = F.struct(F.col("id").isNull(), "id", "k", "n")
+    first = groups.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.n").alias("__n"))
+    return own.join(first, "__n", "left_semi").select(docs.columns)
