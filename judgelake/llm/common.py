@@ -109,3 +109,10 @@ def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def row_key(id_col: str, text_col: str):
     """One long for a row's id and text, nulls included: repeated rows have equal keys."""
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+
+
+def cogrouped(left: DataFrame, right: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """``applyInPandas`` over the rows of both sides with equal ``key`` (long). The key is made
+    anew on both, as frames of one origin would share its column."""
+    sides = [df.withColumn(key, F.col(key) + F.lit(0)) for df in (left, right)]
+    return sides[0].groupBy(key).cogroup(sides[1].groupBy(key)).applyInPandas(fn, schema)

@@ -15,7 +15,7 @@ from judgelake.llm.common import cut, hash_filter, in_filter, row_key, table, te
 
 #: Canonical tokens in a window, and how many of them must be plain words.
 WINDOW = 8
-MIN_LITERALS = 5
+MIN_LITERALS = 4
 #: Share of an item's tokens that consistent windows must cover.
 MIN_COVERAGE = 0.5
 #: Bits of the filter over the benchmark's windows, sent to every task.

@@ -126,8 +126,10 @@ def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return src.mapInArrow(run, schema)
 
 
-def greedy_patterns(lengths: list[int], demand: list[float], capacity: int, whole: bool) -> list[tuple[dict[int, int], float]]:
-    """Longest-first patterns over a histogram of lengths, each used until one of its lengths runs out.
+def greedy_patterns(lengths: list[int], demand: list[float], capacity: int,
+                    whole: bool) -> list[tuple[dict[int, int], float, int]]:
+    """Longest-first patterns over a histogram of lengths, each used until one of its lengths runs out:
+    (pattern, uses, the length that ended).
 
     With ``whole`` the counts stay integers and only full patterns are kept; otherwise
     every unit of demand is covered and the patterns form a triangular basis."""
@@ -149,13 +151,11 @@ def greedy_patterns(lengths: list[int], demand: list[float], capacity: int, whol
         if whole and room:  # not full: its longest length cannot be served without waste
             del left[order.pop()]
             continue
-        out.append((pattern, uses))
-        ended = None
+        ended = min(pattern, key=lambda s: left[s] / pattern[s])
+        out.append((pattern, uses, ended))
         for s, k in pattern.items():
-            left[s] -= uses * k
-            if ended is None and (left[s] <= 1e-9 if not whole else left[s] < 1):
-                ended = s
-        gone = [s for s, k in pattern.items() if left[s] < 1] if whole else [ended or max(pattern)]
+            left[s] = max(0, left[s] - uses * k)
+        gone = [s for s in pattern if left[s] < 1] if whole else [ended]
         for s in gone:
             order.remove(s)
             del left[s]
@@ -199,13 +199,21 @@ def cutting_stock(histogram: dict[int, int], capacity: int = CAPACITY, max_pivot
     start = greedy_patterns(lengths, [float(histogram[s]) for s in lengths], capacity, whole=False)
     row = {s: i for i, s in enumerate(lengths)}
     m = len(lengths)
-    basis = [p for p, _ in start]
-    matrix = np.zeros((m, m))
+    basis = [p for p, _, _ in start]
+    # The n-th pattern ends one length and later ones do without it, so the basis is
+    # triangular in that order and its inverse follows row by row from few entries.
+    holds: dict[int, list[tuple[int, int]]] = {}
     for j, p in enumerate(basis):
         for s, k in p.items():
-            matrix[row[s], j] = k
-    inverse = np.linalg.inv(matrix)
-    x = inverse @ np.array([histogram[s] for s in lengths], float)
+            holds.setdefault(s, []).append((j, k))
+    inverse = np.zeros((m, m))
+    for j, (_, _, ended) in enumerate(start):
+        inverse[j, row[ended]] = 1.0
+        for i, k in holds[ended]:
+            if i != j:
+                inverse[j] -= k * inverse[i]
+        inverse[j] /= basis[j][ended]
+    x = (inverse * np.array([histogram[s] for s in lengths], float)).sum(axis=1)
     sizes = np.array(lengths)
     least = sum(s * n for s, n in histogram.items()) / capacity
     for _ in range(max_pivots):
@@ -215,10 +223,7 @@ def cutting_stock(histogram: dict[int, int], capacity: int = CAPACITY, max_pivot
         least = max(least, x.sum() / best)
         if best <= 1 + gap:
             break
-        column = np.zeros(m)
-        for s, k in pattern.items():
-            column[row[s]] = k
-        d = inverse @ column
+        d = sum(k * inverse[:, row[s]] for s, k in pattern.items())
         ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
         r = int(ratio.argmin())
         if not np.isfinite(ratio[r]):
@@ -291,7 +296,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             for s, k in pattern.items():
                 left[s] -= k * uses
     rest = {s: n for s, n in left.items() if n > 0}
-    for pattern, uses in greedy_patterns(sorted(rest), [rest[s] for s in sorted(rest)], capacity, whole=True):
+    for pattern, uses, _ in greedy_patterns(sorted(rest), [rest[s] for s in sorted(rest)], capacity, whole=True):
         chosen.append((pattern, int(uses)))
     if histogram.get(capacity):
         chosen.append(({capacity: 1}, histogram[capacity]))

@@ -128,8 +128,8 @@ def simhash_components(own: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Only distinct fingerprints are joined with each other."""
     comp = connected_components(fingerprint_links(own.select("fp").distinct(), max_bits))
-    return (own.join(comp, own.fp == comp.id, "left")
-            .withColumn("component", F.coalesce("component", "fp")).drop("id"))
+    comp = comp.select(F.col("id").alias("fp"), "component")
+    return own.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
