@@ -78,8 +78,9 @@ def code_usable(code: Column, compiles: Column) -> Column:
 
 
 def checker_usable(checker: Column, compiles: Column) -> Column:
-    """An absent or blank checker is usable; otherwise it must compile."""
-    return ~nonblank(checker) | F.coalesce(compiles, F.lit(False))
+    """No checker (NULL or the empty string) is usable; any other text
+    must be non-blank and compile."""
+    return checker.isNull() | (checker == "") | code_usable(checker, compiles)
 
 
 def evaluate_distinct(df: DataFrame, text_col: str,

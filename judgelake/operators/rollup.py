@@ -117,8 +117,9 @@ def passed_submissions(results: DataFrame, keys: Sequence[str] = ("problem_id",
 def version_consensus(results: DataFrame, versions: Sequence[str] = tuple(K.CPP_VERSIONS),
                       keys: Sequence[str] = ("code_id",)) -> DataFrame:
     """A4 + A5: walk the versions in order; Compile Error is ignored; the
-    first other failure stops the walk (later rows ignored). A code with
-    only Compile Errors counts as passed (flag ``untestable``).
+    first other failure stops the walk (later rows ignored). A version
+    without a result is a System Error. A code with only Compile Errors
+    counts as passed (flag ``untestable``).
 
     ``results``: keys, version, verdict, passed, failed_test. One aggregate:
     the stop is the min over (version index, ...) of failing rows."""
@@ -127,11 +128,18 @@ def version_consensus(results: DataFrame, versions: Sequence[str] = tuple(K.CPP_
     r = results.withColumn("_vi", F.array_position(vers, F.col("version"))).where(F.col("_vi") > 0)
     fail = (F.col("verdict") != K.COMPILE_ERROR) & ~F.coalesce(F.col("passed"), F.lit(False))
     g = r.groupBy(*keys).agg(
-        F.min(F.when(fail, F.struct(F.col("_vi").alias("vi"), F.col("version").alias("version"),
+        F.min(F.when(fail, F.struct(F.col("_vi").cast("int").alias("vi"), F.col("version").alias("version"),
                                     F.col("verdict").alias("verdict"),
-                                    F.col("failed_test").alias("failed_test")))).alias("_stop"),
+                                    F.col("failed_test").cast("int").alias("failed_test")))).alias("_stop"),
+        F.collect_set(F.col("_vi").cast("int")).alias("_seen"),
         F.count_if(F.col("verdict") != K.COMPILE_ERROR).alias("_tested"),
         F.count(F.lit(1)).alias("versions_seen"))
+    # Versions are few, so the set of those seen is a bounded list per key.
+    missing = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(len(versions))), F.col("_seen")))
+    absent = F.struct(missing.cast("int").alias("vi"), F.element_at(vers, missing.cast("int")).alias("version"),
+                      F.lit(K.SYSTEM_ERROR).alias("verdict"), F.lit(None).cast("int").alias("failed_test"))
+    g = g.withColumn("_stop", F.when(missing.isNotNull() & (F.col("_stop").isNull() | (missing < F.col("_stop.vi"))), absent)
+                     .otherwise(F.col("_stop")))
     stop = F.col("_stop")
     return g.select(
         *keys,
@@ -139,7 +147,7 @@ def version_consensus(results: DataFrame, versions: Sequence[str] = tuple(K.CPP_
         stop.version.alias("stopped_at"),
         stop.verdict.alias("fail_verdict"),
         stop.failed_test.alias("failed_test"),
-        (F.col("_tested") == 0).alias("untestable"),
+        (stop.isNull() & (F.col("_tested") == 0)).alias("untestable"),
         # A5: versions that failed and were not CE, up to the stop
         F.when(stop.isNull(), F.array().cast("array<string>"))
          .otherwise(F.array(stop.version)).alias("failed_versions"),
@@ -247,11 +255,12 @@ def list_problems(df: DataFrame) -> DataFrame:
 def case_ordinal(testcases: DataFrame, group_cols: Sequence[str] = ("problem_id",),
                  stem_col: str = "stem") -> tuple[DataFrame, DataFrame]:
     """Number cases 1..n per group by numeric stem (2 before 10);
-    non-numeric stems go to rejects. (good, rejects)."""
+    non-numeric stems go to rejects. (good, rejects). Stems of any length
+    compare as numbers: by their digits without leading zeroes, shorter first."""
     group_cols = list(group_cols)
-    numeric = F.col(stem_col).rlike("^[0-9]{1,18}$")
-    good = testcases.where(numeric).withColumn("_n", F.col(stem_col).try_cast("bigint"))
-    w = Window.partitionBy(*group_cols).orderBy("_n", stem_col)
+    numeric = F.col(stem_col).rlike("^[0-9]+\\z")
+    good = testcases.where(numeric).withColumn("_n", F.ltrim(F.col(stem_col), F.lit("0")))
+    w = Window.partitionBy(*group_cols).orderBy(F.length("_n"), "_n", stem_col)
     good = good.withColumn("ordinal", F.row_number().over(w).cast("bigint")).drop("_n")
     rejects = testcases.where(~numeric | F.col(stem_col).isNull()).withColumn(
         "reject_reason", F.lit("non-numeric test name"))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from judgelake import constants as K
 
-INT_RE = "^-?(0|[1-9][0-9]*)$"
-UINT_RE = "^(0|[1-9][0-9]*)$"
-LOOSE_DOUBLE_RE = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
-STRICT_DOUBLE_RE = "^-?(0|[1-9][0-9]*)(\\.[0-9]+)?$"
+INT_RE = "^-?(0|[1-9][0-9]*)\\z"
+UINT_RE = "^(0|[1-9][0-9]*)\\z"
+LOOSE_DOUBLE_RE = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"
+STRICT_DOUBLE_RE = "^-?(0|[1-9][0-9]*)(\\.[0-9]+)?\\z"
 
 
 def int_violation(tok: Column, lo, hi) -> Column:
@@ -71,10 +71,10 @@ def validate_tokens(tokens: DataFrame, kind: str, lo, hi, token_col: str = "toke
 
 def pattern_to_regex(pattern: str) -> str:
     """T4: translate a validator pattern (char sets, ? * + {a} {a,b},
-    groups, '|'; blanks ignored unless escaped) into a Java regex that
-    matches greedily without backtracking: quantifiers are possessive and
-    groups atomic, so ``[0-9]?1`` does not match ``1``. Top-level
-    alternatives each match the whole text."""
+    groups, '|'; unescaped blanks ignored everywhere, also inside sets) into
+    a Java regex whose quantifiers are possessive, so ``[0-9]?1`` does not
+    match ``1``. Alternatives, in groups too, are each tried to the end of
+    the text."""
     out, i, n = [], 0, len(pattern)
     specials = set("\\^$.|?*+()[]{}")
 
@@ -87,7 +87,7 @@ def pattern_to_regex(pattern: str) -> str:
             out.append(lit(pattern[i + 1]))
             i += 2
             continue
-        if c.isspace():
+        if c == " ":
             i += 1
             continue
         if c == "[":
@@ -102,13 +102,16 @@ def pattern_to_regex(pattern: str) -> str:
                     j += 2
                     continue
                 ch = pattern[j]
+                if ch == " ":
+                    j += 1
+                    continue
                 body.append(ch if ch == "-" or ch.isalnum() else "\\" + ch)
                 j += 1
             out.append("[" + "".join(body) + "]")
             i = j + 1
             continue
         if c == "(":
-            out.append("(?>")
+            out.append("(?:")
             i += 1
             continue
         if c in ")|":
@@ -126,7 +129,7 @@ def pattern_to_regex(pattern: str) -> str:
             continue
         out.append(lit(c))
         i += 1
-    return "^(?:" + "".join(out) + ")$"
+    return "^(?:" + "".join(out) + ")\\z"
 
 
 def validate_pattern(tokens: DataFrame, patterns: dict[str, str], token_col: str = "token") -> DataFrame:
@@ -185,23 +188,39 @@ def compare_token_lists(expected: Column, found: Column) -> Column:
 # A13-A16 validator reports
 # --------------------------------------------------------------------------
 
-def bounds_hit_report(values: DataFrame, constraints: DataFrame) -> DataFrame:
+def analyzable(name: Column) -> Column:
+    """Variables whose name holds a digit or a control character are left out of the reports."""
+    return ~name.rlike("[0-9\\x00-\\x1f]")
+
+
+def _marked(name: Column) -> Column:
+    return (F.length(name) >= 2) & (name != "~~")
+
+
+def bare_variable(name: Column) -> Column:
+    """A variable's name without the one '~' before and the one after it."""
+    return F.when(_marked(name), F.regexp_replace(F.regexp_replace(name, "^~", ""), "~\\z", "")).otherwise(name)
+
+
+def bounds_hit_report(values: DataFrame, constraints: DataFrame, max_variables: int | None = None) -> DataFrame:
     """Per variable, was the minimum reached and was the maximum
-    reached (OR over all reads). A '~' before the minimum or after the
-    maximum marks that bound as ignored (counts as hit). Names with digits
-    are skipped; at most 255 variables (the first 255 by name). Integers by
-    equality, doubles by a delta under 1e-12.
-
-    ``values``: variable, value (double); ``constraints``: variable, lo,
-    hi (text, possibly with '~'), is_int. The constraint table is capped at
-    255 rows before the broadcast, so its size is bounded."""
-    c = (constraints.where(~F.col("variable").rlike("[0-9]"))
-                    .orderBy("variable").limit(K.MAX_BOUND_VARIABLES)
-                    .select("variable", "is_int",
-                            F.col("lo").startswith("~").alias("lo_ign"), F.col("hi").endswith("~").alias("hi_ign"),
-                            F.regexp_replace("lo", "~", "").cast("double").alias("lo"),
-                            F.regexp_replace("hi", "~", "").cast("double").alias("hi")))
-    j = values.join(F.broadcast(c), "variable")
+    reached (OR over all reads). A '~' before a variable's name marks its
+    minimum as ignored, one after it its maximum (an ignored bound counts as
+    hit); ``~n``, ``n~`` and ``n`` are one variable. Names with digits or
+    control characters are skipped. Integers by equality, doubles by a delta
+    under 1e-12. ``max_variables`` keeps the first so many names, None all.
+
+    ``values``: variable, value (double); ``constraints``: variable, lo, hi
+    (text), is_int. Spark picks the join by the sizes it sees."""
+    name = F.col("variable")
+    c = constraints.where(analyzable(name)).select(
+        name.alias("_raw"), bare_variable(name).alias("_name"), "is_int",
+        (_marked(name) & name.startswith("~")).alias("lo_ign"), (_marked(name) & name.endswith("~")).alias("hi_ign"),
+        F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    if max_variables is not None:
+        first = c.select("_name").distinct().orderBy("_name").limit(max_variables)
+        c = c.join(first, "_name", "left_semi")
+    j = values.join(c, values["variable"] == c["_raw"]).withColumn("variable", F.col("_name"))
     v = F.col("value")
     hit_lo = F.when(F.col("is_int"), v == F.col("lo")).otherwise(F.abs(v - F.col("lo")) < K.BOUND_DELTA)
     hit_hi = F.when(F.col("is_int"), v == F.col("hi")).otherwise(F.abs(v - F.col("hi")) < K.BOUND_DELTA)
@@ -214,7 +233,8 @@ def bounds_hit_report(values: DataFrame, constraints: DataFrame) -> DataFrame:
 def constant_bounds_report(reads: DataFrame) -> DataFrame:
     """Per variable the lower / upper bound if it was the same on
     every read, else '?'; a variable whose both bounds vary is dropped;
-    bound texts of 32+ characters count as broken ('?')."""
+    bound texts of 32+ characters count as broken ('?'). Names as in A13."""
+    reads = reads.where(analyzable(F.col("variable"))).withColumn("variable", bare_variable(F.col("variable")))
     g = reads.groupBy("variable").agg(
         F.count_distinct("lower").alias("_nl"), F.count_distinct("upper").alias("_nu"),
         F.max("lower").alias("_l"), F.max("upper").alias("_u"),
@@ -239,5 +259,6 @@ def feature_coverage(declared: DataFrame, hits: DataFrame) -> tuple[DataFrame, D
 
 
 def variable_inventory(reads: DataFrame) -> DataFrame:
-    """The sorted distinct variable names read."""
-    return reads.select("variable").distinct().orderBy("variable")
+    """The sorted distinct variable names read, as in A13."""
+    named = reads.where(analyzable(F.col("variable")))
+    return named.select(bare_variable(F.col("variable")).alias("variable")).distinct().orderBy("variable")

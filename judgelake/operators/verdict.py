@@ -30,11 +30,13 @@ def checker_message(stderr: Column, stdout: Column) -> Column:
 def checker_outcome(df: DataFrame, exit_col: str = "checker_exit",
                     elapsed_col: str = "checker_elapsed_s", stem_col: str = "stem") -> DataFrame:
     """V3: checker exit 0 -> Accepted, any other code -> Wrong Answer with
-    the checker's text; a run past the 10 s timeout -> System Error."""
+    the checker's text; a run past the 10 s timeout, or one without an exit
+    code (the checker did not run) -> System Error."""
     timeout = _col_or(df, elapsed_col, F.lit(None).cast("double")) > K.CHECKER_TIMEOUT_S
     ex = F.col(exit_col)
     status = (F.when(F.coalesce(timeout, F.lit(False)), F.lit(K.SYSTEM_ERROR))
                .when(ex == 0, F.lit(K.ACCEPTED))
+               .when(ex.isNull(), F.lit(K.SYSTEM_ERROR))
                .otherwise(F.lit(K.WRONG_ANSWER)))
     message = (F.when(F.coalesce(timeout, F.lit(False)),
                       F.format_string(K.MSG_CHECKER_TIMEOUT, F.col(stem_col)))
@@ -50,8 +52,7 @@ def case_verdict(runs: DataFrame) -> DataFrame:
     error -> SE; killed past limit + 500 ms -> TLE (time = limit); exit <> 0
     -> RE (before the elapsed test); elapsed > limit -> TLE; output over
     10 MiB -> RE; checker (V3) or output compare (V2) -> AC / WA.
-    Expects the run-log columns of ``schemas.RUNS``; output comparison uses
-    ``output_ok`` if present, else (``output``, ``expected``)."""
+    Output comparison uses ``output_ok`` if present, else (``output``, ``expected``)."""
     elapsed = F.col("elapsed_ms")
     limit = F.col("time_limit")
     killed = _col_or(runs, "killed", elapsed > limit + K.KILL_GRACE_MS)
@@ -162,24 +163,26 @@ def outcome_dimension(spark: SparkSession, unexpected_eof_enabled: bool = False)
 def checker_outcome_detail(df: DataFrame, exit_col: str = "checker_exit", dialect: str = "default",
                            unexpected_eof_enabled: bool = False) -> DataFrame:
     """V4: full decode of a checker exit code under a dialect. Codes at or
-    above a non-zero partial base are "partially correct (k)"; with base 0
-    partial codes overlap the plain ones, so pctype stays NULL there."""
+    above a non-zero partial base are "partially correct (k)". With base 0
+    partial codes overlap the plain ones: an unlisted code is a partial one
+    of unknown k (Fail has a code of its own), so pctype stays NULL there."""
     spark = df.sparkSession
     dim = (outcome_dimension(spark, unexpected_eof_enabled)
            .where(F.col("dialect") == dialect).drop("dialect")
            .withColumnRenamed("exit_code", "_dim_code"))
     base = K.PARTIAL_BASE[dialect]
     j = df.join(F.broadcast(dim), F.col(exit_col) == F.col("_dim_code"), "left").drop("_dim_code")
-    j = j.withColumn("_partial", F.lit(base > 0) & F.col("outcome").isNull() & (F.col(exit_col) >= base))
+    j = j.withColumn("_partial", F.col("outcome").isNull() & F.coalesce(F.col(exit_col) >= base, F.lit(False)))
     partial = F.col("_partial")
-    pctype = F.when(partial, F.col(exit_col) - base)
+    pctype = F.when(partial & F.lit(base > 0), F.col(exit_col) - base)
     return (j.withColumn("pctype", pctype.cast("int"))
              .withColumn("outcome", F.when(partial, F.lit("partially"))
                          .otherwise(F.coalesce(F.col("outcome"), F.lit("fail"))))
              .withColumn("reported", F.when(partial, F.lit("partially"))
                          .otherwise(F.coalesce(F.col("reported"), F.lit("fail"))))
              .withColumn("outcome_text",
-                         F.when(partial, F.format_string("partially correct (%d)", F.col("pctype")))
+                         F.when(partial & F.lit(base > 0), F.format_string("partially correct (%d)", F.col("pctype")))
+                          .when(partial, F.lit("partially correct"))
                           .otherwise(F.coalesce(F.col("outcome_text"), F.lit("FAIL"))))
              .withColumn("judge_status",
                          F.when(F.col("reported") == "ok", F.lit(K.ACCEPTED))
@@ -189,9 +192,11 @@ def checker_outcome_detail(df: DataFrame, exit_col: str = "checker_exit", dialec
 
 def trailing_output_check(df: DataFrame, outcome_col: str = "outcome",
                           remainder_col: str = "remainder") -> DataFrame:
-    """V5: an otherwise-ok result with non-blank text left unread in the
-    output becomes "wrong output format: Extra information in the output file"."""
-    dirty = (F.col(outcome_col) == "ok") & (F.length(F.trim(F.coalesce(F.col(remainder_col), F.lit("")))) > 0)
+    """V5: an ok, points or partial result with text other than blanks, tabs
+    and line ends left unread in the output becomes "wrong output format:
+    Extra information in the output file"."""
+    unread = F.coalesce(F.col(remainder_col), F.lit("")).rlike("[^ \\t\\n\\r]")
+    dirty = F.col(outcome_col).isin("ok", "points", "partially") & unread
     return (df.withColumn("final_outcome", F.when(dirty, F.lit("pe")).otherwise(F.col(outcome_col)))
               .withColumn("final_message", F.when(dirty, F.lit(K.MSG_EXTRA_OUTPUT))))
 
@@ -229,8 +234,11 @@ def differential_verdict(user: DataFrame, std: DataFrame, keys: Sequence[str] =
     out = F.coalesce(F.col("output"), F.lit(""))
     exp = F.coalesce(F.col("std_output"), F.lit(""))
     chk_msg = checker_message(F.col("checker_stderr"), F.col("checker_stdout"))
+    late = F.coalesce(_col_or(j, "checker_elapsed_s", F.lit(None).cast("double")) > K.CHECKER_TIMEOUT_S, F.lit(False))
+    broken = has_std & F.col("has_checker") & (late | F.col("checker_exit").isNull())
     status = (F.when(F.col("run_status") != K.ACCEPTED, F.col("run_status"))
                .when(has_std & (F.col("std_status") != K.ACCEPTED), F.lit(K.SYSTEM_ERROR))
+               .when(broken, F.lit(K.SYSTEM_ERROR))
                .when(has_std & F.col("has_checker"),
                      F.when(F.col("checker_exit") == 0, F.lit(K.ACCEPTED)).otherwise(F.lit(K.WRONG_ANSWER)))
                .when(has_std, F.when(output_equal(F.col("output"), F.col("std_output")), F.lit(K.ACCEPTED))

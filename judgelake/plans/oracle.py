@@ -256,12 +256,12 @@ dec AS (
   FROM counts c CROSS JOIN dialects d
   LEFT JOIN dim m ON m.dialect = d.dialect AND m.exit_code = c.exit_code)""") + """
 SELECT dialect, exit_code,
-       CASE WHEN partial THEN 'partially' ELSE coalesce(o, 'fail') END AS outcome,
-       CASE WHEN partial THEN 'partially' ELSE coalesce(r, 'fail') END AS reported,
+       CASE WHEN partial THEN 'partially' ELSE coalesce(o, 'partially') END AS outcome,
+       CASE WHEN partial THEN 'partially' ELSE coalesce(r, 'partially') END AS reported,
        CAST(CASE WHEN partial THEN exit_code - base END AS INTEGER) AS pctype,
        CASE WHEN partial THEN 'partially correct (' || CAST(exit_code - base AS VARCHAR) || ')'
-            ELSE coalesce(ot, 'FAIL') END AS outcome_text,
-       CASE WHEN NOT partial AND coalesce(r, 'fail') = 'ok' THEN 'Accepted' ELSE 'Wrong Answer' END AS judge_status,
+            ELSE coalesce(ot, 'partially correct') END AS outcome_text,
+       CASE WHEN NOT partial AND coalesce(r, 'partially') = 'ok' THEN 'Accepted' ELSE 'Wrong Answer' END AS judge_status,
        CAST(n AS BIGINT) AS n
 FROM dec"""
 
@@ -273,8 +273,8 @@ e AS (SELECT doc_id, found, CASE WHEN doc_id % 3 = 0 THEN found[1:len(found) - 1
 o AS (SELECT doc_id, CASE WHEN found[1:len(expected)] = expected THEN 'ok' ELSE 'wa' END AS outcome,
              array_to_string(found[len(expected) + 1:], ' ') AS remainder FROM e)
 SELECT doc_id, outcome,
-       CASE WHEN outcome = 'ok' AND length(trim(remainder)) > 0 THEN 'pe' ELSE outcome END AS final_outcome,
-       CASE WHEN outcome = 'ok' AND length(trim(remainder)) > 0 THEN 'Extra information in the output file' END AS final_message
+       CASE WHEN outcome = 'ok' AND regexp_matches(remainder, '[^ \t\n\r]') THEN 'pe' ELSE outcome END AS final_outcome,
+       CASE WHEN outcome = 'ok' AND regexp_matches(remainder, '[^ \t\n\r]') THEN 'Extra information in the output file' END AS final_message
 FROM o"""
 
 SQL["numeric_compare"] = _with(A.NUMERIC_PAIRS_SQL) + f"""
@@ -352,6 +352,15 @@ FROM p JOIN vr2 v ON v.code_id = p.code_id AND v.version = p.version AND v.try_n
 # A2-A12, A18
 # --------------------------------------------------------------------------
 
+def _every_version(src: str) -> str:
+    """Results of ``src`` with a System Error for each version that a code has no result of."""
+    return f"""SELECT c.code_id, k.version_no, ['c++14', 'c++17', 'c++20', 'c++23'][k.version_no] AS version,
+              coalesce(v.verdict, 'System Error') AS verdict, coalesce(v.passed, false) AS passed, v.failed_test,
+              v.code_id IS NOT NULL AS present
+       FROM (SELECT DISTINCT code_id FROM {src}) c, (SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(version_no)) k
+       LEFT JOIN {src} v ON v.code_id = c.code_id AND v.version_no = k.version_no"""
+
+
 _LABELLED = SUBMISSION_RESULT_SQL + A.SUBMISSION_LISTS_SQL + """,
 labelled AS (
   SELECT s.problem_id, s.kind AS label, s.pos, s.code, r.status AS verdict, r.status IS NOT NULL AS success
@@ -378,13 +387,14 @@ FROM labelled WHERE success AND verdict = 'Accepted' GROUP BY problem_id, label"
 
 SQL["version_consensus"] = _with(A._BASE_SQL, A.VERSION_RESULTS_SQL, """,
 v1 AS (SELECT * FROM version_results WHERE try_no = 1),
+full1 AS (""" + _every_version("v1") + """),
 st AS (SELECT code_id, min(version_no) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) AS stop_no,
-              count(*) FILTER (WHERE verdict <> 'Compile Error') AS tested, count(*) AS seen
-       FROM v1 GROUP BY code_id)""") + """
+              count(*) FILTER (WHERE verdict <> 'Compile Error') AS tested, count(*) FILTER (WHERE present) AS seen
+       FROM full1 GROUP BY code_id)""") + """
 SELECT s.code_id, s.stop_no IS NULL AS all_passed, v.version AS stopped_at, v.verdict AS fail_verdict,
        v.failed_test, s.tested = 0 AS untestable, coalesce(v.version, '') AS failed_versions,
        CAST(s.seen AS BIGINT) AS versions_seen
-FROM st s LEFT JOIN v1 v ON v.code_id = s.code_id AND v.version_no = s.stop_no"""
+FROM st s LEFT JOIN full1 v ON v.code_id = s.code_id AND v.version_no = s.stop_no"""
 
 _COMPILES = A.PROBLEMS_SQL + A.COMPILE_LOG_SQL + """,
 compiles AS (SELECT code_hash, bool_or(ok) AS compiles FROM compile_log GROUP BY code_hash)"""
@@ -521,7 +531,8 @@ LEFT JOIN submission_lists sc ON sc.problem_id = k.problem_id AND sc.kind = 'cor
 
 SQL["passed_incorrect_single"] = _with(SUBMISSION_RESULT_SQL, A.SUBMISSION_LISTS_SQL, _COMPILES, _ELIGIBLE, f""",
 chk AS (SELECT el.id FROM el LEFT JOIN compiles c ON c.code_hash = md5(el.checker)
-        WHERE NOT ({_NONBLANK.format(x='el.checker')}) OR coalesce(c.compiles, false)),
+        WHERE el.checker IS NULL OR el.checker = ''
+           OR ({_NONBLANK.format(x='el.checker')} AND coalesce(c.compiles, false))),
 inc AS (SELECT s.problem_id, s.pos, s.code FROM submission_lists s JOIN chk ON chk.id = s.problem_id
         JOIN submission_result r ON r.submission_id = s.submission_id
         WHERE s.kind = 'incorrect' AND s.language = 'cpp' AND r.status = 'Accepted'),
@@ -537,7 +548,7 @@ cor AS (SELECT s.problem_id, min(s.pos) AS first_pos FROM submission_lists s JOI
 _C2 = A._BASE_SQL + A.VERSION_RESULTS_SQL + A.PROBLEMS_SQL + A.SUBMISSION_LISTS_SQL + _ELIGIBLE + f""",
 v1 AS (SELECT * FROM version_results WHERE try_no = 1),
 cons AS (SELECT code_id, count(*) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) = 0 AS all_passed
-         FROM v1 GROUP BY code_id),
+         FROM ({_every_version("v1")}) GROUP BY code_id),
 inc2 AS (SELECT s.problem_id, s.pos, s.code, s.submission_id FROM submission_lists s JOIN el ON el.id = s.problem_id
          JOIN cons c ON c.code_id = s.submission_id
          WHERE s.kind = 'incorrect' AND s.language = 'cpp' AND c.all_passed),
@@ -565,11 +576,12 @@ rtp AS (SELECT f.code_id, f.version,
         FROM rtf f JOIN rt r ON r.code_id = f.code_id AND r.version = f.version AND r.t <= 2
         GROUP BY f.code_id, f.version, f.first_v),
 rt2 AS (SELECT r.* FROM rtp p JOIN rt r ON r.code_id = p.code_id AND r.version = p.version AND r.t = p.chosen),
+rt4 AS (""" + _every_version("rt2") + """),
 rstop AS (SELECT code_id, min(version_no) FILTER (WHERE verdict <> 'Compile Error' AND NOT passed) AS stop_no
-          FROM rt2 GROUP BY code_id),
+          FROM rt4 GROUP BY code_id),
 rc AS (SELECT s.code_id, s.stop_no IS NULL AS all_passed, v.version AS stopped_at, v.verdict AS fail_verdict,
               v.failed_test
-       FROM rstop s LEFT JOIN rt2 v ON v.code_id = s.code_id AND v.version_no = s.stop_no),
+       FROM rstop s LEFT JOIN rt4 v ON v.code_id = s.code_id AND v.version_no = s.stop_no),
 reg AS (SELECT DISTINCT problem_id FROM slow_checks WHERE timeout OR elapsed_s > 10),
 tagged AS (SELECT k.problem_id, k.idx, k.code, coalesce(rc.all_passed, false) AS ok, rc.stopped_at,
                   coalesce(rc.fail_verdict, 'System Error') AS fail_verdict, rc.failed_test
@@ -806,10 +818,10 @@ WITH v AS (SELECT 'quantity' AS variable, l_quantity AS value FROM lineitem
            UNION ALL SELECT 'discount', l_discount FROM lineitem
            UNION ALL SELECT 'tax', l_tax FROM lineitem
            UNION ALL SELECT 'linenumber', CAST(l_linenumber AS DOUBLE) FROM lineitem
-           UNION ALL SELECT 'price', l_extendedprice FROM lineitem),
+           UNION ALL SELECT 'price', l_extendedprice FROM lineitem UNION ALL SELECT 'plain', l_tax FROM lineitem),
 c AS (SELECT * FROM (VALUES ('quantity', 1.0, 50.0, true, false, false), ('discount', 0.0, 0.1, false, false, false),
                             ('tax', 0.0, 0.08, false, false, false), ('linenumber', 1.0, 7.0, true, false, false),
-                            ('price', 0.0, 1000000.0, false, true, false))
+                            ('price', 0.0, 1000000.0, false, true, false), ('plain', 1.0, 0.08, false, false, false))
       AS t(variable, lo, hi, is_int, lo_ign, hi_ign))
 SELECT c.variable,
        bool_or(CASE WHEN c.is_int THEN v.value = c.lo ELSE abs(v.value - c.lo) < 1e-12 END) OR bool_or(c.lo_ign) AS min_hit,
@@ -820,7 +832,8 @@ _READS = """
 rd AS (SELECT 'quantity' AS variable, '1' AS lower, '50' AS upper FROM lineitem
        UNION ALL SELECT 'price', '0', CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) FROM lineitem
        UNION ALL SELECT 'window', CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 10 AS VARCHAR) FROM lineitem
-       UNION ALL SELECT 'longname', repeat('9', 40), '5' FROM lineitem)"""
+       UNION ALL SELECT 'longname', repeat('9', 40), '5' FROM lineitem
+       UNION ALL SELECT 'window', '1', '11' FROM lineitem)"""
 
 SQL["constant_bounds_report"] = _with(_READS, """,
 g AS (SELECT variable,

@@ -797,12 +797,13 @@ def _bound_values(spark, sf):
     l = A.table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice")
     pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(c).cast("double").alias("value")) for n, c in
                       [("quantity", "l_quantity"), ("discount", "l_discount"), ("tax", "l_tax"),
-                       ("linenumber", "l_linenumber"), ("price", "l_extendedprice"), ("l2", "l_tax")]])
+                       ("linenumber", "l_linenumber"), ("~price", "l_extendedprice"), ("l2", "l_tax"), ("plain", "l_tax")]])
     return l.select(F.explode(pairs).alias("v")).select("v.*")
 
 
 BOUNDS = [("quantity", "1", "50", True), ("discount", "0", "0.1", False), ("tax", "0", "0.08", False),
-          ("linenumber", "1", "7", True), ("price", "~0", "1000000", False), ("l2", "0", "5", False)]
+          ("linenumber", "1", "7", True), ("~price", "0", "1000000", False), ("l2", "0", "5", False),
+          ("plain", "1", "0.08", False)]
 
 
 @query("bounds_hit_report")
@@ -819,8 +820,10 @@ def _bound_reads(spark, sf):
                  F.floor("l_extendedprice").cast("bigint").cast("string").alias("upper")),
         F.struct(F.lit("window").alias("variable"), F.col("l_linenumber").cast("string").alias("lower"),
                  (F.col("l_linenumber") + 10).cast("string").alias("upper")),
-        F.struct(F.lit("longname").alias("variable"), F.repeat(F.lit("9"), 40).alias("lower"),
-                 F.lit("5").alias("upper")))
+        F.struct(F.lit("longname~").alias("variable"), F.repeat(F.lit("9"), 40).alias("lower"),
+                 F.lit("5").alias("upper")),
+        F.struct(F.lit("~window~").alias("variable"), F.lit("1").alias("lower"), F.lit("11").alias("upper")),
+        F.struct(F.lit("a1").alias("variable"), F.lit("1").alias("lower"), F.lit("2").alias("upper")))
     return l.select(F.explode(reads).alias("r")).select("r.*")
 
 
