@@ -63,11 +63,10 @@ CHECKER_EXIT = {
 }
 UNEXPECTED_EOF_EXIT = 8
 PARTIAL_BASE = {"default": 0, "ejudge": 0, "contester": 0, "testsys": 50}
-# scorer verdict codes, in file order
-TEST_RESULT_VERDICTS = ["SKIPPED", "OK", "COMPILATION_ERROR", "WRONG_ANSWER",
-                        "PRESENTATION_ERROR", "TIME_LIMIT_EXCEEDED",
-                        "MEMORY_LIMIT_EXCEEDED", "IDLENESS_LIMIT_EXCEEDED",
-                        "RUNTIME_ERROR", "CRASHED", "FAILED"]
+# verdicts of result lines
+TEST_RESULT_VERDICTS = ["SKIPPED", "OK", "WRONG_ANSWER", "RUNTIME_ERROR", "TIME_LIMIT_EXCEEDED",
+                        "IDLENESS_LIMIT_EXCEEDED", "MEMORY_LIMIT_EXCEEDED", "COMPILATION_ERROR",
+                        "CRASHED", "FAILED"]
 
 # ---- fixed values: numeric comparison ----
 DOUBLE_EPS_EXTRA = 1e-15
@@ -76,7 +75,6 @@ DOUBLE_ABS_ONLY_BELOW = 1e-9
 POINTS_EPS = 1e-8
 POINTS_MAX = 1e6
 BOUND_DELTA = 1e-12
-MAX_BOUND_VARIABLES = 255
 MAX_CONST_BOUND_CHARS = 32
 
 # ---- fixed values: token limits ----

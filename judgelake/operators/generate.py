@@ -76,6 +76,8 @@ def sample_distinct(values: DataFrame, col: str, k: int, seed) -> DataFrame:
     """K distinct values of ``col`` (error if fewer exist): the k
     smallest hashes. A top-k of size k: the limit is the feature."""
     d = values.select(col).distinct()
+    if d.limit(k).count() < k:
+        raise ValueError(f"fewer than {k} distinct values")
     return (d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("distinct"), F.col(col).cast("string"))))
              .orderBy("_h", col).limit(k).drop("_h"))
 
@@ -93,9 +95,9 @@ def random_partition(groups: DataFrame, seed, key: str = "group_id") -> DataFram
     """Per group split ``total`` into ``size`` parts, each >=
     ``min_part``: draw size-1 distinct cut points in [1, total - size *
     min_part + size - 1] (the smallest hashes), sort them, and take the
-    gaps. Groups with total < size * min_part are rejected (no rows).
-    Rows per group = size (a parameter of that group)."""
-    g = groups.where(F.col("total") >= F.col("size") * F.col("min_part"))
+    gaps. Groups with total < size * min_part, or with size 0, are rejected
+    (no rows). Rows per group = size (a parameter of that group)."""
+    g = groups.where((F.col("size") > 0) & (F.col("total") >= F.col("size") * F.col("min_part")))
     g = g.withColumn("_free", F.col("total") - F.col("size") * F.col("min_part"))
     span = F.col("_free") + F.col("size") - 1
     # candidate cut points: all values 1..span is too many for a big total,

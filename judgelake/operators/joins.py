@@ -34,13 +34,13 @@ def exclude_problematic(df: DataFrame, registry: DataFrame, key: str = "id") ->
 def exclude_failed_codes(codes: DataFrame, failed: DataFrame,
                          problem_col: str = "problem_id", code_col: str = "code") -> DataFrame:
     """Drop codes whose full text equals a stored failure of the same
-    problem (every equal duplicate goes). The shuffle key is the md5 of the
-    text, never the text; equal hashes are then confirmed on the text."""
-    f = (failed.select(F.col(problem_col).alias("_fp"), F.col(code_col).alias("_ft"))
-               .withColumn("_fh", F.md5(F.col("_ft"))).distinct())
-    c = codes.withColumn("_h", F.md5(F.col(code_col)))
-    cond = ((c[problem_col] == f["_fp"]) & (c["_h"] == f["_fh"]) & (c[code_col] == f["_ft"]))
-    return c.join(f, cond, "left_anti").drop("_h")
+    problem (every equal duplicate goes). Texts are compared by SHA-256 and
+    length; the failures' texts stay out of the shuffle."""
+    f = failed.select(F.col(problem_col).alias("_fp"), F.sha2(F.col(code_col), 256).alias("_fh"),
+                      F.length(code_col).alias("_fn")).distinct()
+    c = codes.withColumn("_h", F.sha2(F.col(code_col), 256)).withColumn("_n", F.length(code_col))
+    cond = (c[problem_col] == f["_fp"]) & (c["_h"] == f["_fh"]) & (c["_n"] == f["_fn"])
+    return c.join(f, cond, "left_anti").drop("_h", "_n")
 
 
 def submission_lookup(subs: DataFrame, problems: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,16 +70,19 @@ def scan_dir_lineage(spark: SparkSession, directory: str, suffix: str = ".parque
 def scan_tolerant(spark: SparkSession, directory: str, schema: T.StructType | None = None
                   ) -> tuple[DataFrame, DataFrame]:
     """SRC3: unreadable files are skipped and reported; the job goes on.
-    Returns (rows, skipped files). The listing is the file system's, the
-    read uses ``ignoreCorruptFiles``; skipped = listed - read."""
+    Returns (rows, skipped files). A Parquet file ends with the length of its
+    footer and the mark PAR1: every listed file is judged by those, so a
+    valid file without rows is not reported."""
     r = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet")
     if schema is not None:
         r = r.schema(schema)
     rows = r.parquet(directory).withColumn("source_file", F.col("_metadata.file_path"))
     listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory)
-              .select(F.col("path").alias("source_file")))
-    seen = rows.select("source_file").distinct()
-    skipped = listed.join(seen, "source_file", "left_anti").withColumn("reason", F.lit("unreadable"))
+              .select(F.col("path").alias("source_file"), "length", F.right("content", F.lit(8)).alias("end")))
+    # The length is little-endian: its four bytes in reverse order read as hex.
+    size = F.conv(F.concat(*[F.hex(F.substring(F.col("end"), i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("bigint")
+    good = (F.col("length") >= 12) & (F.substring("end", 5, 4) == F.lit(b"PAR1")) & (size <= F.col("length") - 12)
+    skipped = listed.where(~F.coalesce(good, F.lit(False))).select("source_file", F.lit("unreadable").alias("reason"))
     return rows, skipped
 
 
@@ -158,7 +161,9 @@ def export_test_results(df: DataFrame) -> DataFrame:
 
 
 def parse_test_result_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC5 body: (good, bad) from a frame of ``value`` lines."""
+    """SRC5 body: (good, bad) from a frame of ``value`` lines. A line of
+    another number of fields, an unknown verdict or a field that is no
+    number where one is due is bad."""
     v = lines.where(F.col("value") != "")
     masked = F.regexp_replace(F.regexp_replace("value", "\\\\\\\\", _BS), "\\\\;", _SC)
     items = F.split(masked, ";", -1)
@@ -170,16 +175,24 @@ def parse_test_result_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     x = v.select("value", items.alias("_i"))
     ok = (F.size("_i") == 12) & ~F.col("value").contains(_BS) & ~F.col("value").contains(_SC)
-    good = x.where(ok).select(*[
+    good = x.where(ok).select("value", *[
         (restore(F.col("_i")[i]) if f in ("testset", "group", "input", "output", "answer", "checkerComment")
          else F.col("_i")[i]).alias(f) for i, f in enumerate(RESULT_FIELDS)])
-    good = good.select(
+    whole = "^[+-]?[0-9]+\\z"
+    numbers = (F.col("testIndex").rlike(whole) & F.col("testIndex").try_cast("int").isNotNull()
+               & F.col("timeConsumed").rlike(whole) & F.col("timeConsumed").try_cast("bigint").isNotNull()
+               & F.col("memoryConsumed").rlike(whole) & F.col("memoryConsumed").try_cast("bigint").isNotNull()
+               & F.col("exitCode").rlike(whole) & F.col("exitCode").try_cast("int").isNotNull()
+               & ((F.col("points") == "") | F.col("points").try_cast("double").isNotNull()))
+    valid = F.coalesce(numbers & F.col("verdict").isin(K.TEST_RESULT_VERDICTS), F.lit(False))
+    broken = good.where(~valid).select("value", F.lit(12).alias("n_items"))
+    good = good.where(valid).select(
         F.col("testIndex").try_cast("int").alias("testIndex"), "testset", "group", "verdict",
         F.when(F.col("points") == "", F.lit(None).cast("double")).otherwise(F.col("points").try_cast("double")).alias("points"),
         F.col("timeConsumed").try_cast("bigint").alias("timeConsumed"),
         F.col("memoryConsumed").try_cast("bigint").alias("memoryConsumed"),
         "input", "output", "answer", F.col("exitCode").try_cast("int").alias("exitCode"), "checkerComment")
-    bad = x.where(~ok).select("value", F.size("_i").alias("n_items"))
+    bad = x.where(~ok).select("value", F.size("_i").alias("n_items")).unionByName(broken)
     return good, bad
 
 
