@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgelake import constants as K
+from judgelake.session import checkpoint_dir
 from judgelake.functions.text import nonblank
 
 FIELDS = ["title", "time_limit", "memory_limit", "has_checker", "test_case_count"]
@@ -95,6 +96,7 @@ def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out: str = "ordinal"
     one row per partition, so collecting it is bounded by the partition
     count, not the data. ``order_cols`` must be unique for stable ids."""
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                 .withColumn("_pid", F.spark_partition_id())

@@ -26,18 +26,19 @@ def submission_result(cases: DataFrame, keys: Sequence[str] = ("submission_id",)
                       case_col: str = "case_no") -> DataFrame:
     """A1: roll resolved cases up to one row per submission.
 
-    ``cases``: keys, case_col (numeric case order), has_expected, status,
-    time_used, message. Stop at the first non-AC case that has an expected
+    ``cases``: keys, case_col (numeric case order, unique per key), has_expected,
+    status, time_used, message. Stop at the first non-AC case that has an expected
     output: status, time and message come from it, failed_case is its
     ordinal among all cases, score = floor(passed * 100 / total). If there
     is none: Accepted, score 100, time = max over accepted cases and the
     message ``Passed p/n test cases``. Cases without expected output are in
     the total but neither passed nor failing.
 
-    Two aggregates and no window: (1) per submission the first failure as a
-    min over structs, counts and max time; (2) the failing submissions'
-    ordinal and passed count, from their cases joined to the failing case
-    number. Both are partial-aggregated before their shuffle.
+    No window, and no text in an aggregate: (1) per submission the first
+    failing case number, counts and max time; (2) the failing submissions'
+    ordinal and passed count, from their cases joined to that number; (3)
+    status, time and message from the failing row itself. ``cases`` is read
+    three times: pass a written table.
     """
     keys = list(keys)
     has_exp = F.coalesce(F.col("has_expected"), F.lit(True))
@@ -47,18 +48,17 @@ def submission_result(cases: DataFrame, keys: Sequence[str] = ("submission_id",)
         F.count(F.lit(1)).alias("total_cases"),
         F.count_if(~has_exp).alias("skipped_cases"),
         F.count_if(accepted).alias("accepted_cases"),
-        F.min(F.when(failing, F.struct(F.col(case_col).alias("case"), F.col("status").alias("status"),
-                                       F.col("time_used").alias("time_used"),
-                                       F.col("message").alias("message")))).alias("first_fail"),
+        F.min(F.when(failing, F.col(case_col))).alias("_fail_case"),
         F.max(F.when(accepted, F.col("time_used"))).alias("max_ac_time"),
     )
-    fail_at = stats.where(F.col("first_fail").isNotNull()).select(
-        *keys, F.col("first_fail.case").alias("_fail_case"))
-    pos = (cases.join(fail_at, keys)
-                .groupBy(*keys)
+    fail_at = stats.where(F.col("_fail_case").isNotNull()).select(*keys, "_fail_case")
+    failed = cases.join(fail_at, keys)
+    rows = failed.where(failing & (F.col(case_col) == F.col("_fail_case"))).select(
+        *keys, F.struct("status", "time_used", "message").alias("first_fail"))
+    pos = (failed.groupBy(*keys)
                 .agg(F.count_if(F.col(case_col) <= F.col("_fail_case")).alias("_ordinal"),
                      F.count_if(accepted & (F.col(case_col) < F.col("_fail_case"))).alias("_passed")))
-    j = stats.join(pos, keys, "left")
+    j = stats.join(pos, keys, "left").join(rows, keys, "left")
     ff = F.col("first_fail")
     ok = ff.isNull()
     return j.select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.operators import joins, rollup, verdict
 from judgelake.sources import adapters as A
+from judgelake.session import written
 
 Q: dict = {}
 
@@ -67,7 +68,8 @@ def cases_with_expected(spark, sf):
 
 
 def submission_results(spark, sf):
-    return rollup.submission_result(cases_with_expected(spark, sf))
+    """A1 over the resolved cases, which are computed and written once."""
+    return rollup.submission_result(written(cases_with_expected(spark, sf), "cases"))
 
 
 # --------------------------------------------------------------------------
