@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgelake import constants as K
+from judgelake.operators.ordered import running_sum
 from judgelake.functions.text import nonblank
 
 
@@ -260,8 +261,9 @@ def case_ordinal(testcases: DataFrame, group_cols: Sequence[str] = ("problem_id"
     group_cols = list(group_cols)
     numeric = F.col(stem_col).rlike("^[0-9]+\\z")
     good = testcases.where(numeric).withColumn("_n", F.ltrim(F.col(stem_col), F.lit("0")))
-    w = Window.partitionBy(*group_cols).orderBy(F.length("_n"), "_n", stem_col)
-    good = good.withColumn("ordinal", F.row_number().over(w).cast("bigint")).drop("_n")
+    good = good.withColumn("_len", F.length("_n"))
+    good = running_sum(good, group_cols, ["_len", "_n", stem_col], F.lit(1), "_before_it")
+    good = good.withColumn("ordinal", F.col("_before_it") + 1).drop("_n", "_len", "_before_it")
     rejects = testcases.where(~numeric | F.col(stem_col).isNull()).withColumn(
         "reject_reason", F.lit("non-numeric test name"))
     return good, rejects
@@ -270,7 +272,5 @@ def case_ordinal(testcases: DataFrame, group_cols: Sequence[str] = ("problem_id"
 def cumulative_pass(cases: DataFrame, group_cols: Sequence[str] = ("submission_id",),
                     case_col: str = "case_no") -> DataFrame:
     """Cases passed before each case (the partial score curve)."""
-    w = (Window.partitionBy(*group_cols).orderBy(case_col)
-               .rowsBetween(Window.unboundedPreceding, -1))
     passed = F.when(F.col("status") == K.ACCEPTED, 1).otherwise(0)
-    return cases.withColumn("passed_before", F.coalesce(F.sum(passed).over(w), F.lit(0)).cast("bigint"))
+    return running_sum(cases, group_cols, [case_col], passed, "passed_before")

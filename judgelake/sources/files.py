@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from judgelake import constants as K
+from judgelake.operators.ordered import running_sum
 
 SUB_LIST = T.ArrayType(T.StructType([T.StructField("language", T.StringType()),
                                      T.StructField("code", T.StringType())]))
@@ -237,7 +238,6 @@ def skip_existing_output(files: DataFrame, done: DataFrame) -> DataFrame:
 
 def write_rejects(failed: DataFrame) -> DataFrame:
     """SNK4: failing codes numbered 1..n per problem in list order, with
-    where and how they failed. Persist with
-    ``.write.partitionBy('problem_id')``."""
-    w = Window.partitionBy("problem_id").orderBy("pos")
-    return failed.withColumn("reject_no", F.row_number().over(w))
+    where and how they failed."""
+    numbered = running_sum(failed, ["problem_id"], ["pos"], F.lit(1), "_before_it")
+    return numbered.withColumn("reject_no", (F.col("_before_it") + 1).cast("int")).drop("_before_it")
