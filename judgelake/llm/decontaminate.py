@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +48,44 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """White-space word -> (literal code, value code, type before context, capital, ends a sentence).
+    """White-space word -> its row in the tables of literal code, value code, type before
+    context, capital, and whether it ends a sentence.
 
     A word of punctuation alone has type -1: it is no token, but may end a sentence."""
 
-    def __missing__(self, w):
-        if len(self) >= 300_000:
+    def __init__(self):
+        super().__init__()
+        self._room(1 << 16)
+
+    def _room(self, n: int) -> None:
+        old = getattr(self, "literal", None)
+        for name, kind in (("literal", np.uint64), ("value", np.uint64), ("kind", np.int8), ("capital", bool), ("stop", bool)):
+            new = np.zeros(n, kind)
+            if old is not None:
+                new[:len(old)] = getattr(self, name)
+            setattr(self, name, new)
+
+    def begin(self) -> None:
+        """Before a batch: forget all words if there are many."""
+        if len(self) > 400_000:
             self.clear()
+
+    def __missing__(self, w):
+        n = len(self)
+        if n == len(self.literal):
+            self._room(2 * n)
         core = _EDGE.sub("", w)
         low = core.lower()
         if not core:
             kind = -1
-        elif any(c.isdigit() for c in core) or low in NUMBER_WORDS:
-            kind = NUMBER
-        elif low in UNIT_WORDS:
-            kind = UNIT
+        elif low.isalpha():
+            kind = NUMBER if low in NUMBER_WORDS else UNIT if low in UNIT_WORDS else LITERAL
         else:
-            kind = LITERAL
-        v = self[w] = (_code(low), _code(core), kind, kind == LITERAL and core[0].isupper(), bool(_STOP.search(w)))
-        return v
+            kind = NUMBER if any(c.isdigit() for c in core) else LITERAL
+        self.literal[n], self.value[n], self.kind[n] = _code(low), _code(core), kind
+        self.capital[n], self.stop[n] = kind == LITERAL and core[0].isupper(), bool(_STOP.search(w))
+        self[w] = n
+        return n
 
 
 class Templates:
@@ -80,13 +100,10 @@ class Templates:
         A capitalised word is a name unless it begins the text or follows the end of a sentence."""
         split = [(t or "").split() for t in texts]
         at = np.repeat(np.arange(len(split)), [len(x) for x in split])
-        flat = [self.words[w] for x in split for w in x]
-        if not flat:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
-        literal, value, kind, capital, stop = zip(*flat)
-        literal, value = np.array(literal, np.uint64), np.array(value, np.uint64)
-        kind, capital, stop = np.array(kind), np.array(capital), np.array(stop)
+        words = self.words
+        words.begin()
+        row = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, len(at))
+        literal, value, kind, capital, stop = (t[row] for t in (words.literal, words.value, words.kind, words.capital, words.stop))
         begins = np.ones(len(at), bool)
         begins[1:] = (at[1:] != at[:-1]) | stop[:-1]
         kind = np.where(capital & ~begins, NAME, kind)
