@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -116,3 +117,9 @@ def cogrouped(left: DataFrame, right: DataFrame, key: str, fn, schema: str) -> D
     anew on both, as frames of one origin would share its column."""
     sides = [df.withColumn(key, F.col(key) + F.lit(0)) for df in (left, right)]
     return sides[0].groupBy(key).cogroup(sides[1].groupBy(key)).applyInPandas(fn, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it follows the collectors of both sides."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
