@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -14,15 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgelake.llm.common import cogrouped, crc_mod, cut, map_arrow, one_row, table, text_batches, tree_merge
+from judgelake.llm.common import cogrouped, crc_mod, cut, map_arrow, one_row, release, table, text_batches, tree_merge
 
 #: Word classes; class 0 is the end token's and the last one that of rare and unknown words.
 CLASSES = 32
 #: Words seen less often stay in the rare class, where they share their context's probability.
-MIN_COUNT = 4
+MIN_COUNT = 32
 SWEEPS = 2
 #: Tokens in a block of documents; a block's dictionary is what a task looks words up in.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 DISCOUNT = 0.75
 #: Pseudo-transitions that the classes' shares lend to a class.
 ALPHA = 5.0
@@ -134,64 +133,64 @@ def exchange_gain(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, own:
 
 
 def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: int) -> DataFrame:
-    """One sweep of the exchange algorithm: (word, cls) with every clustered word in its best class.
+    """One sweep of the exchange algorithm: ``entries`` with every clustered word in its best class.
 
     ``entries`` (block, lid, word, cls) are the clustered words of each block. The
-    words' neighbour counts are summed by word, and all words move against the same class counts."""
+    words' neighbour counts are summed by word, and all words move against the same
+    class counts. Each count carries its block along, so that the new class goes
+    back there without another join."""
     rare = classes - 1
-    schema = "word string, cls int, profile binary"
+    schema = "word string, cls int, at long, lid int, profile binary"
     width = 2 * classes
 
     def profile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["word", "cls", "at", "lid", "profile"]
         if not len(left):
-            return pd.DataFrame({"word": [], "cls": [], "profile": []})
+            return pd.DataFrame({n: [] for n in names})
         row = next(left.itertuples())
         lids, _, token, before, train = _block_classes(row, right, rare)
         after = np.concatenate((token[1:], [0]))
-        size = int(lids.max()) + 1
-        ok = train & (lids > 0)
-        counts = (np.bincount(lids[ok] * width + before[ok], minlength=size * width)
-                  + np.bincount(lids[ok] * width + classes + after[ok], minlength=size * width)).reshape(size, width).astype("<i4")
+        own = right["lid"].to_numpy()
+        place = np.full(int(lids.max()) + 1, -1)  # row of a clustered word among the block's
+        place[own] = np.arange(len(own))
+        ok = train & (place[lids] >= 0)
+        at = place[lids[ok]] * width
+        counts = np.bincount(at + before[ok], minlength=len(own) * width)
+        counts += np.bincount(at + classes + after[ok], minlength=len(own) * width)
+        data, size = counts.astype("<i4").tobytes(), 4 * width
         matrix = np.bincount(before[train] * classes + token[train], minlength=classes * classes)
-        at = right["lid"].to_numpy()
-        seen = counts[at].any(axis=1)
-        own = counts[at[seen]]
-        return pd.DataFrame({"word": [None, *right["word"].to_numpy()[seen]], "cls": [0, *right["cls"].to_numpy()[seen]],
-                             "profile": [zstandard.compress(matrix.astype(np.int64).tobytes()), *map(bytes, own)]})
+        return pd.DataFrame({"word": [None, *right["word"]], "cls": [0, *right["cls"]], "at": row.block, "lid": [0, *own],
+                             "profile": [zstandard.compress(matrix.astype(np.int64).tobytes()),
+                                         *(data[i:i + size] for i in range(0, len(data), size))]})
 
     rows = cut(cogrouped(blocks.select("block", "held", "sizes", "lids"), entries, "block", profile, schema), "lm-profiles")
+    release(blocks.sparkSession)
     matrix = _matrix(rows.where("word is null").select(F.col("profile").alias("z")), classes)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, cls, total = _Ids(), [], np.zeros((1024, width), np.int64)
+        places, total, cls = _Ids(), np.zeros((1024, width), np.int64), np.zeros(1024, np.int64)
+        held = []
         for b in batches:
             words = b.column(0).to_pylist()
             at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
             while len(places) > len(total):
-                total = np.concatenate((total, np.zeros_like(total)))
-            own = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i4").reshape(-1, width)
-            np.add.at(total, at, own)
-            cls = np.resize(cls, len(places)).astype(np.int64)
+                total, cls = np.concatenate((total, np.zeros_like(total))), np.concatenate((cls, np.zeros_like(cls)))
+            np.add.at(total, at, np.frombuffer(b"".join(b.column(4).to_pylist()), "<i4").reshape(-1, width))
             cls[at] = b.column(1).to_numpy()
-        if not places:
-            return
-        best, words = cls.copy(), list(places)
-        for i in range(0, len(words), 256):
-            part = slice(i, min(i + 256, len(words)))
+            held.append((at.astype(np.int32), b.column(2), b.column(3), b.column(0)))
+        best = cls.copy()
+        for i in range(0, len(places), 256):
+            part = slice(i, min(i + 256, len(places)))
             gain = exchange_gain(matrix, total[part, :classes], total[part, classes:], cls[part])
             gain[:, [0, rare]] = -np.inf
             to = gain.argmax(axis=1)
             better = gain[np.arange(len(to)), to] > 1e-9
             best[part] = np.where(better, to, cls[part])
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(best.astype(np.int32))], ["word", "cls"])
-
-    return cut(rows.where("word is not null").repartition("word").mapInArrow(summed, "word string, cls int"), f"lm-classes-{sweep}")
-
+        for at, block, lid, word in held:
+            yield pa.RecordBatch.from_arrays([block, lid, word, pa.array(best[at].astype(np.int32))], ["block", "lid", "word", "cls"])
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps: it follows the collectors of both sides."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    moved = rows.where("word is not null").repartition("word").mapInArrow(summed, "block long, lid int, word string, cls int")
+    return cut(moved, f"lm-classes-{sweep}")
 
 
 def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES,
@@ -216,6 +215,7 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "e")).select(
         "block", "lid", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     vocabulary = cut(entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-vocabulary")
+    release(spark)
     clustered = vocabulary.where((F.col("c") >= min_count) & (F.col("word") != END))
 
     # The most frequent words begin a class each, the others in one by hash.
@@ -223,11 +223,11 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     start = F.pmod(F.xxhash64("word"), F.lit(classes - 2)) + 1
     for i, w in enumerate(seeds):
         start = F.when(F.col("word") == w, F.lit(i + 1)).otherwise(start)
-    of_block = cut(entries.select("block", "lid", "word").join(clustered.select("word"), "word"), "lm-entries")
-    assigned = clustered.select("word", start.cast("int").alias("cls"))
+    placed = entries.select("block", "lid", "word").join(clustered.select("word", start.cast("int").alias("cls")), "word")
     for sweep in range(sweeps):
-        assigned = exchange_sweep(blocks, of_block.join(assigned, "word"), classes, sweep)
-        _release(spark)
+        placed = exchange_sweep(blocks, placed, classes, sweep)
+        release(spark)
+    assigned = placed.select("word", "cls").distinct()
 
     own_class = F.when(F.col("word") == END, F.lit(0)).otherwise(F.coalesce("cls", F.lit(rare)))
     model = cut(vocabulary.join(assigned, "word", "left").select("word", "c", own_class.alias("cls")), "lm-model")
@@ -272,7 +272,7 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     facts = entries.select("block", "lid", "word").join(model, "word").select("block", "lid", "c", "cls")
     parts = cut(cogrouped(blocks.select("block", "ids", "held", "sizes", "lids"), facts, "block", look_up, doc_schema), "lm-documents")
-    _release(spark)
+    release(spark)
     matrix = _matrix(parts.where("z is not null").select("z"), classes).astype(float)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes)
     log_move = np.log10((matrix + ALPHA * share) / (matrix.sum(axis=1, keepdims=True) + ALPHA)).reshape(-1)
