@@ -125,7 +125,7 @@ def _canonical_sql(x: str) -> str:
 
 def _without_copyright_sql(x: str) -> str:
     return (f"array_to_string(list_filter(string_split({x}, chr(10)), "
-            f"y -> NOT regexp_matches(lower(y), '{COPYRIGHT_LINE}')), chr(10))")
+            f"lambda y: NOT regexp_matches(lower(y), '{COPYRIGHT_LINE}')), chr(10))")
 
 
 def oracle() -> str:
