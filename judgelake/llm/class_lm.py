@@ -223,7 +223,8 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     start = F.pmod(F.xxhash64("word"), F.lit(classes - 2)) + 1
     for i, w in enumerate(seeds):
         start = F.when(F.col("word") == w, F.lit(i + 1)).otherwise(start)
-    placed = entries.select("block", "lid", "word").join(clustered.select("word", start.cast("int").alias("cls")), "word")
+    placed = cut(entries.select("block", "lid", "word").join(clustered.select("word", start.cast("int").alias("cls")), "word"), "lm-entries")
+    release(spark)
     for sweep in range(sweeps):
         placed = exchange_sweep(blocks, placed, classes, sweep)
         release(spark)
@@ -270,7 +271,8 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total["z"] = [zstandard.compress(matrix.tobytes())]
         return pd.concat([out, total.astype({"doc_id": "Int64"})], ignore_index=True)
 
-    facts = entries.select("block", "lid", "word").join(model, "word").select("block", "lid", "c", "cls")
+    facts = cut(entries.select("block", "lid", "word").join(model, "word").select("block", "lid", "c", "cls"), "lm-facts")
+    release(spark)
     parts = cut(cogrouped(blocks.select("block", "ids", "held", "sizes", "lids"), facts, "block", look_up, doc_schema), "lm-documents")
     release(spark)
     matrix = _matrix(parts.where("z is not null").select("z"), classes).astype(float)
