@@ -18,7 +18,7 @@ from judgelake.llm.common import cogrouped, crc_mod, cut, map_arrow, one_row, re
 #: Word classes; class 0 is the end token's and the last one that of rare and unknown words.
 CLASSES = 32
 #: Words seen less often stay in the rare class, where they share their context's probability.
-MIN_COUNT = 32
+MIN_COUNT = 4
 SWEEPS = 2
 #: Tokens in a block of documents; a block's dictionary is what a task looks words up in.
 BLOCK_TOKENS = 2_000_000

@@ -240,6 +240,14 @@ def test_class_lm_odd_rows(spark):
     assert class_lm.class_lm_scores(docs.limit(0)).count() == 0
 
 
+def test_class_lm_tells_words_seen_ten_times_apart(spark):
+    texts = [(i, f"x{i % 10} y{i // 10}") for i in range(100)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    got = {r.doc_id: r for r in class_lm.class_lm_scores(frame(spark, texts + [(held[0], "x0 y1"), (held[1], "y1 x0")])).collect()}
+    assert got[held[0]].held_out and got[held[1]].held_out
+    assert got[held[0]].score > got[held[1]].score + 0.5  # in one rare class both orders of the words score alike
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
