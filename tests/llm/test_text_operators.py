@@ -113,6 +113,17 @@ def test_line_dedup_stage(spark):
     assert out[2].n_chars == len(f"{b}\nshort") and set(out[1].asDict()) == set(docs.columns)
 
 
+def test_line_dedup_query_compares_short_lines(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [" ".join(rng.sample("abcdefg", rng.randint(1, 6))) for _ in range(80)] + ["p q r s t", "p q r s", "u", "", "U u", " "]
+    texts = [(i, "\n".join(lines[i * 2:i * 2 + 2])) for i in range(len(lines) // 2)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, int(j)) for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect() for j in r.removed_lines.split(",") if j}
+    sets = [set(x.lower().split()) for x in lines]
+    gone = {(n // 2, n % 2) for n, s in enumerate(sets) if s and any(len(s & r) * 5 >= 4 * len(s | r) for r in sets[:n])}
+    assert got == gone and (41 - 1, 1) in gone and (42, 0) in gone
+
+
 QUESTION = ("Yesterday Maria bought 12 apples for 3 dollars each and then Maria gave 5 apples to Peter. "
             "How many apples does the girl have left at the end of the day?")
 
