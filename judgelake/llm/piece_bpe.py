@@ -62,8 +62,9 @@ class PieceCoder:
     One pass fills the table of last pieces; walking it backwards gives the ids.
 
     Texts are cut first where no merge can reach over: no piece has a blank after
-    another character, and a character in no longer piece stays alone. Both are
-    read from the vocabulary; models without these traits, or that normalise, are refused.
+    another character, none has a mark (of a set closed under this rule) after a letter or digit,
+    and a character in no longer piece stays alone. All three are read from the
+    vocabulary; models without the first, or that normalise, are refused.
     """
 
     def __init__(self, path: str):
@@ -100,8 +101,14 @@ class PieceCoder:
         for p in {*self.score, *joined, SPACE}:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        letters = "".join(map(re.escape, joined))
-        self.cut = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]" if letters else f"{SPACE}+|[^{SPACE}]", re.S)
+        marks = {c for c in joined if not (c.isalpha() or c.isdecimal())}
+        after = [(a, b) for p in self.score for a, b in zip(p, p[1:]) if a != SPACE]
+        while inner := {b for a, b in after if b in marks and a not in marks}:
+            marks -= inner
+        mark, rest = (f"[{''.join(map(re.escape, sorted(s)))}]" if s else "(?!)" for s in (marks, set(joined) - marks))
+        self.cut = re.compile(f"{SPACE}*(?:{mark}*{rest}+|{mark}+)|{SPACE}+|.", re.S)
+        # the bytes that a piece, or a character of no piece, adds to a row of ids
+        self.coded = {p: np.array([i], "<i4").tobytes() for p, i in self.ids.items()}
         self.starts_blank = frozenset(i for p, i in self.ids.items() if p.startswith(SPACE))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.segments: dict[str, bytes] = {}
@@ -122,22 +129,23 @@ class PieceCoder:
 
     def may_follow(self, before: str, piece: str) -> bool:
         """Does merging both strings give these two pieces? ``before`` is empty at the start."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            known = self.merged(before + piece) == ([before, piece] if before else [piece])
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[before, piece] = known
-        return known
+        fits = self.merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[before, piece] = fits
+        return fits
 
     def split(self, segment: str) -> list[str]:
         """The pieces of one segment from its prefix table."""
-        last = [""] * (len(segment) + 1)
+        last, pairs = [""] * (len(segment) + 1), self.pairs
         for end, piece in self.automaton.iter(segment):
             end += 1
-            if not last[end]:
-                if self.may_follow(last[end - len(piece)], piece):
-                    last[end] = piece
+            if last[end]:
+                continue
+            before = last[end - len(piece)]
+            fits = pairs.get((before, piece))
+            if self.may_follow(before, piece) if fits is None else fits:
+                last[end] = piece
         out, end = [], len(segment)
         while end:
             out.append(last[end])
@@ -147,17 +155,17 @@ class PieceCoder:
     def _segment(self, segment: str) -> bytes:
         known = self.segments.get(segment)
         if known is None:
-            ids: list[int] = []
-            for p in self.split(segment) if segment[0] in self.automaton else [segment]:
-                i = self.ids.get(p)
-                ids.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
-            known = np.array(ids, "<i4").tobytes()
+            pieces = self.split(segment) if segment[0] in self.automaton else [segment]
+            known = b"".join([self.coded.get(p) or self._bytes(p) for p in pieces])
             if len(segment) <= MAX_REMEMBERED:
                 if len(self.segments) >= MAX_SEGMENTS:
                     self.segments.clear()
                 self.segments[segment] = known
         return known
 
+    def _bytes(self, char: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in char.encode()], "<i4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers; null counts as empty."""
         if not text:
