@@ -84,6 +84,29 @@ INT64_MIN = -9223372036854775808
 INT64_MAX = 9223372036854775807
 UINT64_MAX = 18446744073709551615
 
+# ---- fixed values: messages of token checks ----
+MSG_EXPECTED = "Expected %s, but \"%s\" found"
+MSG_EXPECTED_NUL = "Expected %s, but \"%s\" found (it contains \\0)"
+MSG_EXPECTED_EOF = "Unexpected end of file - %s expected"
+MSG_DIGITS_AFTER_POINT = "strict double with number of digits after point in range [%s,%s]"
+MSG_REDUNDANT_MINUS = "Redundant minus in \"%s\" found"
+# of a range violation; 1 label, 2 name, 3 index, 4 value, 5 and 6 bounds
+MSG_RANGE = "%1$s %4$s violates the range [%5$s, %6$s]"
+MSG_RANGE_NAME = "%1$s parameter [name=%2$s] equals to %4$s, violates the range [%5$s, %6$s]"
+MSG_RANGE_INDEX = "%1$s element [index=%3$s] equals to %4$s, violates the range [%5$s, %6$s]"
+MSG_RANGE_NAME_INDEX = "%1$s element %2$s[%3$s] equals to %4$s, violates the range [%5$s, %6$s]"
+# kind -> (expected what, at the end of the text, label of a range violation)
+TOKEN_KINDS = {
+    "int": ("integer", "int64", "Integer"),
+    "uint": ("unsigned integer", "int64", "Unsigned integer"),
+    "double": ("double", "double", "Double"),
+    "strict": ("strict double", "strict double", "Strict double"),
+}
+# a shown token keeps so many characters; a longer one its first 30 and last 31
+SHOWN_TOKEN_CHARS, SHOWN_HEAD, SHOWN_TAIL = 64, 30, 31
+# bounds with at least so many trailing zeroes are shown as powers of ten
+SHOWN_ZEROES = 7
+
 # characters Python's str.isspace() accepts below U+D800; Java's \s is
 # narrower, so right-strips use this explicit class
 PY_SPACE_CLASS = ("[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a"

@@ -55,3 +55,55 @@ def points_normalise(points: Column) -> Column:
     value = F.when(failed, F.lit(None).cast("double")).otherwise(clamped)
     text = F.when(failed, F.lit(None).cast("string")).otherwise(strip_trailing_zeroes(fixed_text(clamped, 10)))
     return F.struct(value.alias("points"), text.alias("text"), failed.alias("failed"), reason.alias("reason"))
+
+
+def general_text(x: Column) -> Column:
+    """A double with six significant digits: plain from 1e-4 to below 1e6, else with an
+    exponent of two digits or more; trailing zeroes are cut, infinities are ``inf``.
+    Halves go to the even digit, and what is a half is told from the exact value (from
+    0.001 on; below, from the shortest decimal form)."""
+    seen = F.struct(F.abs(x).alias("size"), F.format_string("%.5e", x).alias("shown"))
+    return _with(seen, lambda v: _with(_scaled(v["size"], v["shown"]), lambda w: _with(
+        F.struct(w["exponent"].alias("exponent"), w["shown"].alias("shown"), w["size"].alias("size"), _six_digits(w).alias("digits")),
+        _placed)))
+
+
+def _with(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _scaled(size: Column, shown: Column) -> Column:
+    """The value with the places after its sixth digit as a fraction: rounded down, and how it is scaled."""
+    exponent = F.substring_index(shown, "e", -1).try_cast("int")
+    k = F.lit(5) - exponent
+    scale = F.pow(F.lit(10.0), F.abs(k))
+    below = F.floor(F.when(k >= 0, size * scale).otherwise(size / scale))
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    return F.struct(size.alias("size"), shown.alias("shown"), exponent.alias("exponent"), k.alias("k"), scale.alias("scale"),
+                    below.alias("below"), high.alias("high"))
+
+
+def _six_digits(w: Column) -> Column:
+    size, k, scale, below, high = (w[c] for c in ("size", "k", "scale", "below", "high"))
+    # twice the scaled value less the odd number between two results; both halves of a split value multiply exactly
+    odd = below * 2.0 + 1
+    rest = F.when(k >= 0, (high * (scale * 2.0) - odd) + (size - high) * (scale * 2.0)).otherwise(size - odd * (scale / 2.0))
+    exact = below.cast("bigint") + F.when(rest > 0, F.lit(1)).when(rest == 0, below.cast("bigint") % 2).otherwise(F.lit(0))
+    return F.when(k.between(-9, 7) & (below >= 99_999) & (below < 999_999), exact.cast("string")).otherwise(
+        F.regexp_replace(F.substring_index(w["shown"], "e", 1), "[-.]", ""))
+
+
+def _placed(w: Column) -> Column:
+    exponent, shown, digits = w["exponent"], w["shown"], w["digits"]
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(-exponent, F.lit(0))), digits)
+    whole = F.greatest(exponent, F.lit(0)) + 1
+    plain = F.concat(F.left(padded, whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))
+    power = F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), F.lit(5)))
+    text = F.when(w["size"] == float("inf"), F.lit("inf")).when(exponent.between(-4, 5), _cut_zeroes(plain)).otherwise(
+        F.concat(_cut_zeroes(power), F.lit("e"), F.substring_index(shown, "e", -1)))
+    return F.concat(F.when(shown.startswith("-"), F.lit("-")).otherwise(F.lit("")), text)
+
+
+def _cut_zeroes(text: Column) -> Column:
+    return F.regexp_replace(text, "\\.?0*\\z", "")

@@ -991,3 +991,68 @@ FROM outputs"""
 SQL["evaluator_hook"] = _with(SUBMISSION_RESULT_SQL, A.SUBMISSION_LISTS_SQL) + """
 SELECT s.submission_id AS request_id, r.status AS verdict, r.status IS NOT NULL AS success
 FROM submission_lists s LEFT JOIN submission_result r ON r.submission_id = s.submission_id"""
+
+
+# --------------------------------------------------------------------------
+# T1-T3 with a constraint table
+# --------------------------------------------------------------------------
+
+_TEXTS = """
+ot AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 13 AS m, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS set_id,
+              CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+o2 AS (SELECT *, (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS two FROM ot),
+texts AS (SELECT k AS text_id, set_id, concat_ws(' ', k,
+              CASE m WHEN 2 THEN '+' || c WHEN 3 THEN repeat(CAST(c AS VARCHAR), 40) ELSE CAST(c AS VARCHAR) END,
+              year(d), CASE m WHEN 1 THEN lpad(CAST(month(d) AS VARCHAR), 2, '0') ELSE CAST(month(d) AS VARCHAR) END, day(d),
+              CASE m WHEN 4 THEN two || '0' WHEN 5 THEN '-0.00' WHEN 6 THEN '0' || two WHEN 7 THEN '-' || two ELSE two END,
+              CASE m WHEN 8 THEN 'nan' WHEN 9 THEN NULL ELSE two[1:1] || '.' || cents || 'e' || (k % 9 - 2) END) AS text FROM o2),
+sets AS (SELECT o_orderpriority AS set_id, max(o_custkey) AS c, max(year(CAST(o_orderdate AS DATE))) AS y FROM orders GROUP BY 1),
+cons AS (SELECT set_id, 1 AS first, 1 AS last, 'uint' AS kind, '2' AS lo, '30000000' AS hi, '' AS name, NULL AS base, NULL AS a, NULL AS b FROM sets
+         UNION ALL SELECT set_id, 2, 2, 'int', '1', CAST(c // 2 AS VARCHAR), 'customer', NULL, NULL, NULL FROM sets
+         UNION ALL SELECT set_id, 3, 5, 'int', '2', CAST(y - 1 AS VARCHAR), 'date', 1, NULL, NULL FROM sets
+         UNION ALL SELECT set_id, 4, 4, 'int', '-10000000', '11', '', 0, NULL, NULL FROM sets
+         UNION ALL SELECT set_id, 6, 6, 'strict', '0', '200000.5', 'price', NULL, 2, 2 FROM sets
+         UNION ALL SELECT set_id, 6, NULL, 'double', '0.00002', '1234567.5', 'value', 0, NULL, NULL FROM sets
+         UNION ALL SELECT set_id, 7, 8, 'double', '0', '1e9', '', 1, NULL, NULL FROM sets),
+split AS (SELECT text_id, set_id, list_append(string_split(text, ' '), NULL) AS s FROM texts),
+tok AS (SELECT text_id, set_id, unnest(s) AS token, unnest(range(1, len(s) + 1)) AS position FROM split),
+j AS (SELECT t.*, c.kind, c.name, c.base + t.position - c.first AS index, c.lo, c.hi, c.a, c.b,
+             CASE WHEN length(token) <= 64 THEN token ELSE token[1:30] || '...' || token[-31:] END AS shown,
+             TRY_CAST(token AS DOUBLE) AS v, TRY_CAST(lo AS DOUBLE) AS vlo, TRY_CAST(hi AS DOUBLE) AS vhi,
+             TRY_CAST(token AS BIGINT) AS n, CASE WHEN contains(token, '.') THEN length(split_part(token, '.', 2)) ELSE 0 END AS after
+      FROM tok t JOIN cons c ON t.set_id = c.set_id AND t.position >= c.first AND (c.last IS NULL OR t.position <= c.last)
+      WHERE t.token IS NOT NULL OR c.last IS NOT NULL),
+f AS (SELECT *,
+        CASE kind WHEN 'int' THEN CASE WHEN NOT regexp_full_match(token, '-?(0|[1-9][0-9]*)') OR token = '-0' OR length(token) > 20
+                                            OR n IS NULL THEN 'integer' END
+                  WHEN 'uint' THEN CASE WHEN NOT regexp_full_match(token, '0|[1-9][0-9]*') OR length(token) > 20 THEN 'unsigned integer' END
+                  WHEN 'double' THEN CASE WHEN NOT regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+                                          THEN 'double' END
+                  ELSE CASE WHEN NOT regexp_full_match(token, '-?[0-9]+(\\.[0-9]+)?') THEN 'strict double'
+                            WHEN after < a OR after > b THEN 'strict double with number of digits after point in range [2,2]'
+                            WHEN regexp_matches(token, '^-?0[0-9]') THEN 'strict double' END END AS fault,
+        CASE kind WHEN 'int' THEN n < CAST(vlo AS BIGINT) OR n > CAST(vhi AS BIGINT)
+                  WHEN 'uint' THEN n < CAST(vlo AS BIGINT) OR n > CAST(vhi AS BIGINT) ELSE v < vlo OR v > vhi END AS outside,
+        CASE kind WHEN 'int' THEN 'Integer' WHEN 'uint' THEN 'Unsigned integer' WHEN 'double' THEN 'Double' ELSE 'Strict double' END AS label,
+        CASE WHEN kind IN ('int', 'uint') THEN token ELSE format('{:g}', v) END AS shown_value,
+        CASE WHEN kind IN ('int', 'uint') THEN CASE lo WHEN '-10000000' THEN '-10^7' ELSE lo END ELSE format('{:g}', vlo) END AS shown_lo,
+        CASE WHEN kind IN ('int', 'uint') THEN CASE hi WHEN '30000000' THEN '3*10^7' ELSE hi END ELSE format('{:g}', vhi) END AS shown_hi
+      FROM j),
+viol AS (SELECT text_id, set_id, position, token, kind, name, index,
+        CASE WHEN token IS NULL THEN 'unexpected_eof' WHEN fault IS NOT NULL THEN 'pe'
+             WHEN kind = 'strict' AND starts_with(token, '-') AND v >= 0 THEN 'pe' WHEN outside THEN 'wa' END AS outcome,
+        CASE WHEN token IS NULL THEN 'Unexpected end of file - ' || CASE kind WHEN 'int' THEN 'int64' WHEN 'uint' THEN 'int64'
+                                                                    WHEN 'strict' THEN 'strict double' ELSE 'double' END || ' expected'
+             WHEN fault IS NOT NULL THEN 'Expected ' || fault || ', but "' || shown || '" found'
+             WHEN kind = 'strict' AND starts_with(token, '-') AND v >= 0 THEN 'Redundant minus in "' || shown || '" found'
+             WHEN outside THEN label || CASE WHEN name <> '' AND index IS NOT NULL THEN ' element ' || name || '[' || index || '] equals to ' || shown_value || ','
+                                             WHEN index IS NOT NULL THEN ' element [index=' || index || '] equals to ' || shown_value || ','
+                                             WHEN name <> '' THEN ' parameter [name=' || name || '] equals to ' || shown_value || ','
+                                             ELSE ' ' || shown_value END
+                  || ' violates the range [' || shown_lo || ', ' || shown_hi || ']' END AS message FROM f),
+found AS (SELECT * FROM viol WHERE message IS NOT NULL)"""
+
+SQL["validate_constraints"] = _with(_TEXTS) + "SELECT * FROM found"
+
+SQL["first_violations"] = _with(_TEXTS) + """
+SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY text_id, set_id ORDER BY position, kind, name, message) = 1"""

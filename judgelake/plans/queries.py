@@ -1154,3 +1154,62 @@ def q_evaluator_hook(spark, sf):
     req = A.submission_lists(spark, sf).select(F.col("submission_id").alias("request_id"), "problem_id", "code",
                                                "language")
     return ev.evaluate(req)
+
+
+# --------------------------------------------------------------------------
+# T1-T3 with a constraint table
+# --------------------------------------------------------------------------
+
+from judgelake.operators import constraints as CON  # noqa: E402
+
+
+def order_texts(spark, sf):
+    """One judge input per order: id, customer, date parts, price, then one
+    number in other forms; some rows are faulty by their key."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    two = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    m = key % 13
+    date = F.col("o_orderdate").cast("date")
+    month = F.when(m == 1, F.lpad(F.month(date).cast("string"), 2, "0")).otherwise(F.month(date).cast("string"))
+    customer = F.when(m == 2, F.concat(F.lit("+"), F.col("o_custkey"))).when(m == 3, F.repeat(F.col("o_custkey").cast("string"), 40)) \
+        .otherwise(F.col("o_custkey").cast("string"))
+    price = (F.when(m == 4, F.concat(two, F.lit("0"))).when(m == 5, F.lit("-0.00")).when(m == 6, F.concat(F.lit("0"), two))
+              .when(m == 7, F.concat(F.lit("-"), two)).otherwise(two))
+    last = F.when(m == 8, F.lit("nan")).when(m == 9, F.lit(None).cast("string")).otherwise(
+        F.concat(F.substring(two, 1, 1), F.lit("."), cents.cast("string"), F.lit("e"), (key % 9 - 2).cast("string")))
+    text = F.concat_ws(" ", key.cast("string"), customer, F.year(date).cast("string"), F.concat(month, F.lit(" \n"), F.dayofmonth(date)),
+                       price, last)
+    return o.select(key.alias("text_id"), F.col("o_orderpriority").alias("set_id"), text.alias("text"))
+
+
+def order_constraints(spark, sf):
+    """Per order priority the bounds of the orders that have it."""
+    o = A.table(spark, sf, "orders")
+    g = o.groupBy(F.col("o_orderpriority").alias("set_id")).agg(
+        F.max("o_custkey").alias("c"), F.max(F.year(F.col("o_orderdate").cast("date"))).alias("y"))
+    c, y = F.col("c"), F.col("y")
+    rows = [  # first, last, kind, lo, hi, name, index_base, min_digits, max_digits
+        (1, 1, "uint", F.lit("2"), F.lit("30000000"), None, None, None, None),
+        (2, 2, "int", F.lit("1"), F.floor(c / 2).cast("string"), "customer", None, None, None),
+        (3, 5, "int", F.lit("2"), (y - 1).cast("string"), "date", 1, None, None),
+        (4, 4, "int", F.lit("-10000000"), F.lit("11"), "", 0, None, None),
+        (6, 6, "strict", F.lit("0"), F.lit("200000.5"), "price", None, 2, 2),
+        (6, None, "double", F.lit("0.00002"), F.lit("1234567.5"), "value", 0, None, None),
+        (7, 8, "double", F.lit("0"), F.lit("1e9"), "", 1, None, None),
+    ]
+    kinds = ("bigint", "bigint", "string", "string", "string", "string", "bigint", "int", "int")
+    names = ("first", "last", "kind", "lo", "hi", "name", "index_base", "min_digits", "max_digits")
+    made = F.array(*[F.struct(*[(v if hasattr(v, "cast") else F.lit(v)).cast(t).alias(n) for v, t, n in zip(r, kinds, names)])
+                     for r in rows])
+    return g.select("set_id", F.explode(made).alias("_r")).select("set_id", "_r.*")
+
+
+@query("validate_constraints")
+def q_validate_constraints(spark, sf):
+    return CON.validate_constraints(order_texts(spark, sf), order_constraints(spark, sf), by=["set_id"])
+
+
+@query("first_violations")
+def q_first_violations(spark, sf):
+    return CON.first_violations(q_validate_constraints(spark, sf), ["text_id", "set_id"])
