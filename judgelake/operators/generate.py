@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgelake.operators.patterns import drawn
 from judgelake.operators.registry import dense_ordinal
 
 TWO60 = float(2 ** 60)
@@ -123,50 +124,10 @@ def random_partition(groups: DataFrame, seed, key: str = "group_id") -> DataFram
 
 
 def gen_strings(df: DataFrame, key: str, pattern: str, seed, out: str = "text") -> DataFrame:
-    """Strings from a simple pattern: a sequence of literal characters
-    or classes ``[a-z0-9...]`` each with an optional ``{a}`` / ``{a,b}``
-    count; ``*`` and ``+`` are rejected (unbounded). The pattern is parsed
-    once on the driver into a column expression of hashed draws."""
-    if "*" in pattern or "+" in pattern:
-        raise ValueError("'*' and '+' are not allowed when generating")
-    items, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "[":
-            j = pattern.index("]", i)
-            body, chars, t = pattern[i + 1:j], [], 0
-            while t < len(body):
-                if t + 2 < len(body) and body[t + 1] == "-":
-                    chars.extend(chr(x) for x in range(ord(body[t]), ord(body[t + 2]) + 1))
-                    t += 3
-                else:
-                    chars.append(body[t])
-                    t += 1
-            alphabet, i = "".join(chars), j + 1
-        elif c == "\\":
-            alphabet, i = pattern[i + 1], i + 2
-        else:
-            alphabet, i = c, i + 1
-        lo = hi = 1
-        if i < len(pattern) and pattern[i] == "{":
-            j = pattern.index("}", i)
-            nums = pattern[i + 1:j].split(",")
-            lo, hi = int(nums[0]), int(nums[-1])
-            i = j + 1
-        items.append((alphabet, lo, hi))
-    parts = []
-    for n, (alphabet, lo, hi) in enumerate(items):
-        length = uniform_int(seed, F.col(key), lo, hi, salt=f"len{n}") if hi > lo else F.lit(lo)
-        seqn = F.when(length > 0, F.sequence(F.lit(1), length.cast("int"))).otherwise(F.array().cast("array<int>"))
-        chars = F.transform(seqn, _char_draw(seed, key, n, alphabet))
-        parts.append(F.array_join(chars, ""))
-    return df.withColumn(out, F.concat(*parts) if parts else F.lit(""))
-
-
-def _char_draw(seed, key: str, n: int, alphabet: str):
-    """One character of ``alphabet`` per position j of item n."""
-    def pick(j):
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(f"ch{n}"), F.col(key).cast("string"), j.cast("string")))
-        idx = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % len(alphabet) + 1
-        return F.substring(F.lit(alphabet), idx.cast("int"), 1)
-    return pick
+    """Strings of a pattern (``patterns``): groups, alternatives, ``?``, counts, escapes and
+    negated sets; ``*`` and ``+`` are rejected (unbounded). The pattern is parsed once on the
+    driver into a column expression of hashed draws."""
+    def at(salt: str, j: Column) -> Column:
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col(key).cast("string"), j.cast("string")))
+        return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+    return df.withColumn(out, drawn(pattern, lambda salt: draw(seed, F.col(key), salt), at))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgelake import constants as K
+from judgelake.operators.patterns import matches
 
 INT_RE = "^-?(0|[1-9][0-9]*)\\z"
 UINT_RE = "^(0|[1-9][0-9]*)\\z"
@@ -69,76 +70,13 @@ def validate_tokens(tokens: DataFrame, kind: str, lo, hi, token_col: str = "toke
 # T4 patterns
 # --------------------------------------------------------------------------
 
-def pattern_to_regex(pattern: str) -> str:
-    """T4: translate a validator pattern (char sets, ? * + {a} {a,b},
-    groups, '|'; unescaped blanks ignored everywhere, also inside sets) into
-    a Java regex whose quantifiers are possessive, so ``[0-9]?1`` does not
-    match ``1``. Alternatives, in groups too, are each tried to the end of
-    the text."""
-    out, i, n = [], 0, len(pattern)
-    specials = set("\\^$.|?*+()[]{}")
-
-    def lit(ch):
-        return "\\" + ch if ch in specials or ch == "-" else ch
-
-    while i < n:
-        c = pattern[i]
-        if c == "\\" and i + 1 < n:
-            out.append(lit(pattern[i + 1]))
-            i += 2
-            continue
-        if c == " ":
-            i += 1
-            continue
-        if c == "[":
-            j = i + 1
-            body = []
-            if j < n and pattern[j] == "^":
-                body.append("^")
-                j += 1
-            while j < n and pattern[j] != "]":
-                if pattern[j] == "\\" and j + 1 < n:
-                    body.append("\\" + pattern[j + 1])
-                    j += 2
-                    continue
-                ch = pattern[j]
-                if ch == " ":
-                    j += 1
-                    continue
-                body.append(ch if ch == "-" or ch.isalnum() else "\\" + ch)
-                j += 1
-            out.append("[" + "".join(body) + "]")
-            i = j + 1
-            continue
-        if c == "(":
-            out.append("(?:")
-            i += 1
-            continue
-        if c in ")|":
-            out.append(c)
-            i += 1
-            continue
-        if c in "?*+":
-            out.append(c + "+")
-            i += 1
-            continue
-        if c == "{":
-            j = pattern.index("}", i)
-            out.append("{" + pattern[i + 1:j].replace(" ", "") + "}+")
-            i = j + 1
-            continue
-        out.append(lit(c))
-        i += 1
-    return "^(?:" + "".join(out) + ")\\z"
-
-
 def validate_pattern(tokens: DataFrame, patterns: dict[str, str], token_col: str = "token") -> DataFrame:
     """T4: one row per (token, pattern id) with ``matched``. The pattern set
     is a fixed literal list, so each pattern is its own ``rlike`` column
     (no join); the results are unpivoted with ``stack``."""
     tok = F.col(token_col)
     checks = F.array(*[F.struct(F.lit(pid).alias("pattern_id"),
-                                tok.rlike(pattern_to_regex(p)).alias("matched"))
+                                matches(tok, p).alias("matched"))
                        for pid, p in patterns.items()])
     return tokens.withColumn("_c", F.explode(checks)).select("*", "_c.*").drop("_c")
 

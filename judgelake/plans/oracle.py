@@ -940,6 +940,27 @@ d AS (SELECT c_custkey AS draw_id,
       FROM customer, n)
 SELECT d.draw_id, od.o_orderkey FROM d JOIN od ON od.ord = d.ord"""
 
+def _drawn(n: int, alphabet: str, size: str, key: str) -> str:
+    """Characters 1..size of item n, each drawn by its place."""
+    pick = f"CAST('0x' || substr(md5('20240601:ch{n}:' || CAST({key} AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15) AS BIGINT)"
+    return f"array_to_string(list_transform(range(1, CAST({size} AS BIGINT) + 1), lambda j: '{alphabet}'[1 + {pick} % {len(alphabet)}]), '')"
+
+
+SQL["gen_strings"] = f"""
+SELECT c_custkey, {_drawn(0, 'abcdefghijklmnopqrstuvwxyz', '(3 + ' + _draw('len0', 'c_custkey') + ' % 6)', 'c_custkey')} || '_'
+       || {_drawn(2, '0123456789', '2', 'c_custkey')} AS text FROM customer"""
+
+SQL["gen_strings_grouped"] = f"""
+WITH t AS (SELECT o_orderkey, {_drawn(0, 'cdefgh', '(2 + ' + _draw('len0', 'o_orderkey') + ' % 3)', 'o_orderkey')}
+  || CASE {_draw('alt0', 'o_orderkey')} % 4
+     WHEN 0 THEN 'x' || {_drawn(2, '0123456789', '(' + _draw('len2', 'o_orderkey') + ' % 4)', 'o_orderkey')}
+     WHEN 1 THEN '(' || {_drawn(4, '-', '(' + _draw('len4', 'o_orderkey') + ' % 2)', 'o_orderkey')}
+     WHEN 2 THEN {_drawn(5, '-aab', '2', 'o_orderkey')}
+     ELSE {_drawn(6, '0123456789', '3', 'o_orderkey')}
+          || CASE {_draw('alt6', 'o_orderkey')} % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'v' ELSE 'w|' END END AS text FROM orders)
+SELECT o_orderkey, text, true AS own, regexp_full_match(text, '[c-h]+x[0-9]*') AS plain,
+       regexp_full_match(text, '[c-h]{{2}}(\\(|x|ab)') AS short FROM t"""
+
 SQL["random_partition"] = """
 WITH g AS (SELECT o_custkey AS group_id, count(*) AS size, CAST(sum(floor(o_totalprice / 10000)) AS BIGINT) AS total,
                   2 AS min_part FROM orders GROUP BY o_custkey),

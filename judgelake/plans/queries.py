@@ -980,6 +980,20 @@ def q_gen_strings(spark, sf):
     return GEN.gen_strings(c, "c_custkey", "[a-z]{3,8}_[0-9]{2}", SEED)
 
 
+#: Groups in a group, alternatives, ``?``, escapes, a choice written twice, a negated set.
+DRAWN_PATTERN = "[c-h]{2, 4}(x[0-9]{0,3}|\\(\\-?|[aab\\-]{2}|[^\x01-/:-\x7f]{3}(u|v|w\\|))"
+
+
+@query("gen_strings_grouped")
+def q_gen_strings_grouped(spark, sf):
+    """Drawn from and matched against the same tree."""
+    c = GEN.gen_strings(A.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", DRAWN_PATTERN, SEED)
+    checks = {"own": DRAWN_PATTERN, "plain": "[c-h]+x[0-9]*", "short": "[c-h]{2}(\\(|x|ab)"}
+    v = VAL.validate_pattern(c, checks, token_col="text")
+    return v.groupBy("o_orderkey", "text").agg(*[
+        F.max(F.when(F.col("pattern_id") == p, F.col("matched"))).alias(p) for p in checks])
+
+
 # --------------------------------------------------------------------------
 # S1-S6 streaming (run to completion with availableNow, then read the sink)
 # --------------------------------------------------------------------------
