@@ -63,12 +63,12 @@ def general_text(x: Column) -> Column:
     Halves go to the even digit, and what is a half is told from the exact value (from
     0.001 on; below, from the shortest decimal form)."""
     seen = F.struct(F.abs(x).alias("size"), F.format_string("%.5e", x).alias("shown"))
-    return _with(seen, lambda v: _with(_scaled(v["size"], v["shown"]), lambda w: _with(
+    return once(seen, lambda v: once(_scaled(v["size"], v["shown"]), lambda w: once(
         F.struct(w["exponent"].alias("exponent"), w["shown"].alias("shown"), w["size"].alias("size"), _six_digits(w).alias("digits")),
         _placed)))
 
 
-def _with(value: Column, fn) -> Column:
+def once(value: Column, fn) -> Column:
     """``fn`` of a value that is computed once, however often ``fn`` uses it."""
     return F.element_at(F.transform(F.array(value), fn), 1)
 

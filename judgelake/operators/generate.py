@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from judgelake.functions.numeric import once
+from judgelake.operators.ordered import previous_row
 from judgelake.operators.patterns import drawn
 from judgelake.operators.registry import dense_ordinal
 
@@ -92,35 +94,68 @@ def sample_rows(df: DataFrame, key: str, draws: DataFrame, n_rows: int, seed, wt
     return idx.join(ordered, "_ord").drop("_ord")
 
 
+#: Rounds of the keyed permutation (even): small spans need more to reach all orders about as often.
+SMALL_SPAN, SMALL_ROUNDS, ROUNDS = 4096, 16, 8
+#: How often a value outside the span is sent on.
+WALKS = 64
+#: Draws that one row of a group's work makes.
+DRAW_BLOCK = 65_536
+
+
+def _div(x: Column, y: Column) -> Column:
+    """Whole quotient of two longs, x >= 0, without a double in between."""
+    return F.call_function("div", x, y)
+
+
+def keyed_permutation(value: Column, span: Column, seed, key: Column) -> Column:
+    """The place of ``value`` (0 to span - 1) in a permutation of 0 .. span - 1 chosen by (seed, key).
+
+    A Feistel network over pairs (value mod a, value div a) with a near the root of the span permutes
+    a little more than the span; a value that leaves it is sent through again until it is
+    back. Fewer than a values lie outside, so spans up to WALKS squared always come back within
+    WALKS steps; for larger ones a longer walk has a chance under WALKS ** -WALKS, and raises."""
+    a = F.greatest(F.ceil(F.sqrt(span.cast("double"))), F.lit(1)).cast("bigint")
+
+    def step(x: Column, f: Column) -> Column:
+        ends = F.struct((x % f["a"]).alias("l"), _div(x, f["a"]).alias("r"))
+
+        def turn(s: Column, k: Column) -> Column:
+            h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("perm"), k.cast("string"), key.cast("string"), s["r"].cast("string")))
+            add = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+            return F.struct(s["r"].alias("l"), ((s["l"] + add) % F.when(k % 2 == 0, f["a"]).otherwise(f["b"])).alias("r"))
+        last = F.when(f["span"] < SMALL_SPAN, SMALL_ROUNDS - 1).otherwise(ROUNDS - 1)
+        return F.aggregate(F.sequence(F.lit(0), last), ends, turn, lambda s: s["r"] * f["a"] + s["l"])
+
+    def walk(x: Column, f: Column) -> Column:
+        on = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), x, lambda y, _: F.when(y < f["span"], y).otherwise(step(y, f)))
+        return F.when(x < f["span"], x).otherwise(on)
+
+    def whole(f: Column) -> Column:
+        return once(step(value.cast("bigint"), f), lambda x: once(walk(x, f), lambda y: F.when(y < f["span"], y).otherwise(
+            F.raise_error(F.lit("the permutation did not come back into its span")).cast("bigint"))))
+    return once(F.struct(span.cast("bigint").alias("span"), a.alias("a")), lambda f: once(
+        F.struct(f["span"].alias("span"), f["a"].alias("a"), _div(f["span"] + f["a"] - 1, f["a"]).alias("b")), whole))
+
+
 def random_partition(groups: DataFrame, seed, key: str = "group_id") -> DataFrame:
-    """Per group split ``total`` into ``size`` parts, each >=
-    ``min_part``: draw size-1 distinct cut points in [1, total - size *
-    min_part + size - 1] (the smallest hashes), sort them, and take the
-    gaps. Groups with total < size * min_part, or with size 0, are rejected
-    (no rows). Rows per group = size (a parameter of that group)."""
+    """Per group split ``total`` into ``size`` parts, each >= ``min_part``: size - 1 distinct cut points
+    in [1, total - size * min_part + size - 1], sorted; the parts are the gaps. The cut points are
+    the first size - 1 values of a keyed permutation of all, so only they are made. Groups with
+    total < size * min_part, or with size 0, are rejected (no rows).
+
+    Columns: ``key``, part_no (from 0), part. A group's draws are dealt in blocks and its cut points
+    by range, so one group may be of any size."""
     g = groups.where((F.col("size") > 0) & (F.col("total") >= F.col("size") * F.col("min_part")))
-    g = g.withColumn("_free", F.col("total") - F.col("size") * F.col("min_part"))
-    span = F.col("_free") + F.col("size") - 1
-    # candidate cut points: all values 1..span is too many for a big total,
-    # so rank (size-1) hashed draws of distinct positions via rejection-free
-    # sampling: draw index i -> position by hashing (i, retry) is replaced by
-    # taking the size-1 smallest-hash positions among 1..span.
-    cand = g.select(key, "size", "min_part", "_free",
-                    F.explode(F.when(span > 0, F.sequence(F.lit(1).cast("bigint"), span.cast("bigint")))
-                              .otherwise(F.array().cast("array<bigint>"))).alias("cut"))
-    cand = cand.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"),
-                                                   F.col("cut").cast("string"))))
-    w = Window.partitionBy(key).orderBy("_h", "cut")
-    cuts = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("size") - 1)
-    ends = cuts.select(key, "cut").unionByName(
-        g.select(key, (F.col("_free") + F.col("size")).cast("bigint").alias("cut"))).unionByName(
-        g.select(key, F.lit(0).cast("bigint").alias("cut")))
-    w2 = Window.partitionBy(key).orderBy("cut")
-    parts = (ends.withColumn("_prev", F.lag("cut").over(w2))
-                 .where(F.col("_prev").isNotNull())
-                 .withColumn("part_no", F.row_number().over(w2) - 1))
-    return (parts.join(g.select(key, "min_part"), key)
-                 .select(key, "part_no", (F.col("cut") - F.col("_prev") - 1 + F.col("min_part")).alias("part")))
+    g = g.select(key, F.col("size").cast("bigint").alias("size"), F.col("min_part").cast("bigint").alias("min_part"),
+                 (F.col("total") - F.col("size") * F.col("min_part")).cast("bigint").alias("_free"))
+    n = F.col("size") - 1  # draws
+    blocks = g.where(n > 0).withColumn("_block", F.explode(F.sequence(F.expr("0L"), _div(n - 1, F.lit(DRAW_BLOCK).cast("bigint")))))
+    first = F.col("_block") * DRAW_BLOCK
+    draws = blocks.repartition(key, "_block").withColumn("_i", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, n) - 1)))
+    cut = keyed_permutation(F.col("_i"), F.col("_free") + n, seed, F.col(key)) + 1
+    ends = g.select(key, "min_part", (F.col("_free") + F.col("size")).alias("cut"))
+    cuts = previous_row(draws.select(key, "min_part", cut.alias("cut")).unionByName(ends), [key], "cut", "part_no", "_prev")
+    return cuts.select(key, "part_no", (F.col("cut") - F.coalesce("_prev", F.lit(0)) - 1 + F.col("min_part")).alias("part"))
 
 
 def gen_strings(df: DataFrame, key: str, pattern: str, seed, out: str = "text") -> DataFrame:

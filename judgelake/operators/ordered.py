@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 from judgelake.session import written
 
 
+def _dealt(df: DataFrame, keys: list[str], order_cols: list[str], name: str) -> DataFrame:
+    """Rows dealt by range of (keys, order) and written once, with their part as ``_part``."""
+    return written(df.repartitionByRange(*keys, *order_cols).withColumn("_part", F.spark_partition_id()), name)
+
+
+def previous_row(df: DataFrame, keys: Sequence[str], order_col: str, rank: str, previous: str) -> DataFrame:
+    """Adds ``rank``, the number of earlier rows of the same keys, and ``previous``, the value of
+    ``order_col`` in the row before (NULL in the first). A large key spreads over many parts, as in
+    ``running_sum``; ``order_col`` must be unique per key and not NULL."""
+    keys = list(keys)
+    dealt = _dealt(df, keys, [order_col], "previous-row")
+    inside = Window.partitionBy(*keys, "_part").orderBy(order_col)
+    own = dealt.withColumn("_own", F.row_number().over(inside) - 1).withColumn("_lag", F.lag(order_col).over(inside))
+    parts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.max(order_col).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.max("_last").over(earlier).alias("_carried"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (own.join(before, on).withColumn(rank, (F.col("_own") + F.col("_before")).cast("bigint"))
+            .withColumn(previous, F.coalesce("_lag", "_carried"))
+            .drop("_part", "_own", "_lag", "_before", "_carried", "_p", *[f"_k{i}" for i in range(len(keys))]))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the earlier rows of the same keys.
 
@@ -18,8 +43,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], v
     with one row per key and part. The dealt rows are written once, so that a
     lost executor cannot deal them anew. ``order_cols`` must be unique per key."""
     keys, order_cols = list(keys), list(order_cols)
-    dealt = written(df.withColumn("_value", value).repartitionByRange(*keys, *order_cols)
-                    .withColumn("_part", F.spark_partition_id()), "running-sum")
+    dealt = _dealt(df.withColumn("_value", value), keys, order_cols, "running-sum")
     earlier = Window.unboundedPreceding, -1
     inside = Window.partitionBy(*keys, "_part").orderBy(*order_cols).rowsBetween(*earlier)
     own = dealt.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))

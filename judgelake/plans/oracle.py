@@ -961,15 +961,26 @@ WITH t AS (SELECT o_orderkey, {_drawn(0, 'cdefgh', '(2 + ' + _draw('len0', 'o_or
 SELECT o_orderkey, text, true AS own, regexp_full_match(text, '[c-h]+x[0-9]*') AS plain,
        regexp_full_match(text, '[c-h]{{2}}(\\(|x|ab)') AS short FROM t"""
 
-SQL["random_partition"] = """
-WITH g AS (SELECT o_custkey AS group_id, count(*) AS size, CAST(sum(floor(o_totalprice / 10000)) AS BIGINT) AS total,
-                  2 AS min_part FROM orders GROUP BY o_custkey),
-g2 AS (SELECT *, total - size * min_part AS free FROM g WHERE total >= size * min_part),
-cand AS (SELECT group_id, size, unnest(range(1, free + size)) AS cut FROM g2 WHERE free + size - 1 > 0),
-ranked AS (SELECT group_id, cut, size,
-                  row_number() OVER (PARTITION BY group_id ORDER BY md5('20240601:' || CAST(group_id AS VARCHAR) || ':' || CAST(cut AS VARCHAR)), cut) AS r
-           FROM cand),
-ends AS (SELECT group_id, cut FROM ranked WHERE r <= size - 1
+def _turned(x: str) -> str:
+    """x after 16 rounds (span under 4096) or 8 of the keyed permutation over pairs (mod a, div a), as v2."""
+    def add(k, r):
+        return f"CAST('0x' || substr(md5('20240601:perm:{k}:' || CAST(group_id AS VARCHAR) || ':' || CAST({r} AS VARCHAR)), 1, 15) AS BIGINT)"
+    cols = [f"{x} % a AS l0", f"{x} // a AS r0"]
+    for k in range(16):
+        cols.append(f"({'l0' if k == 0 else f'r{k - 1}'} + {add(k, f'r{k}')}) % {'ab'[k % 2]} AS r{k + 1}")
+    return ", ".join([*cols, "CASE WHEN span < 4096 THEN r16 * a + r15 ELSE r8 * a + r7 END AS v2"])
+
+
+SQL["random_partition"] = f"""
+WITH RECURSIVE g AS (SELECT o_custkey AS group_id, count(*) AS size, CAST(sum(floor(o_totalprice / 10000)) AS BIGINT) AS total,
+                            2 AS min_part FROM orders GROUP BY o_custkey),
+g2 AS (SELECT *, total - size * min_part AS free, free + size - 1 AS span FROM g WHERE total >= size * min_part),
+g3 AS (SELECT *, CAST(greatest(ceil(sqrt(span)), 1) AS BIGINT) AS a, (span + a - 1) // a AS b FROM g2),
+draws AS (SELECT group_id, span, a, b, unnest(range(0, size - 1)) AS i FROM g3),
+walk AS (SELECT group_id, span, a, b, i, v2 AS v FROM (SELECT *, {_turned('i')} FROM draws)
+         UNION ALL
+         SELECT group_id, span, a, b, i, v2 AS v FROM (SELECT *, {_turned('v')} FROM walk WHERE v >= span)),
+ends AS (SELECT group_id, v + 1 AS cut FROM walk WHERE v < span
          UNION ALL SELECT group_id, free + size FROM g2 UNION ALL SELECT group_id, 0 FROM g2),
 gaps AS (SELECT group_id, cut, lag(cut) OVER (PARTITION BY group_id ORDER BY cut) AS prev,
                 row_number() OVER (PARTITION BY group_id ORDER BY cut) - 2 AS part_no FROM ends)
