@@ -56,3 +56,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], v
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (own.join(before, on).withColumn(out, (F.col("_own") + F.col("_before")).cast("bigint"))
             .drop("_value", "_part", "_own", "_before", "_p", *[f"_k{i}" for i in range(len(keys))]))
+
+
+def running_last(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the last ``value`` that is not NULL among the earlier rows of the same keys
+    (NULL if there is none). Parts and uniqueness as in ``running_sum``."""
+    keys, order_cols = list(keys), list(order_cols)
+    dealt = _dealt(df.withColumn("_value", value), keys, order_cols, "running-last")
+    earlier = Window.unboundedPreceding, -1
+    own = dealt.withColumn("_own", F.last("_value", ignorenulls=True).over(
+        Window.partitionBy(*keys, "_part").orderBy(*order_cols).rowsBetween(*earlier)))
+    last = F.max(F.when(F.col("_value").isNotNull(), F.struct(F.struct(*order_cols).alias("at"), F.col("_value").alias("v"))))
+    parts = dealt.groupBy(*keys, "_part").agg(last.alias("_last"))
+    before = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+                          F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(*earlier))["v"]
+                          .alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (own.join(before, on).withColumn(out, F.coalesce("_own", "_before"))
+            .drop("_value", "_part", "_own", "_before", "_p", *[f"_k{i}" for i in range(len(keys))]))

@@ -997,11 +997,51 @@ SQL["stream_submission_status"] = _with(A.LIFECYCLE_SQL) + """
 SELECT submission_id, arg_max(status, (ts, seq)) AS status FROM lifecycle GROUP BY submission_id"""
 SQL["stream_early_finish"] = _with(SUBMISSION_RESULT_SQL) + """
 SELECT submission_id, status, time_used, score, message, failed_case FROM submission_result"""
-SQL["stream_slow_checkers"] = SQL["slow_checker_registry"].replace(
-    ", epoch_us(f.first_seen) AS first_seen_us", "")
+SQL["stream_slow_checkers"] = SQL["slow_checker_registry"]
 SQL["stream_registry_upsert"] = SQL["upsert_problems"]
 
 
+def _upsert_step(old: str, chg: str, new: str) -> str:
+    fields = ", ".join(f"CASE WHEN l.id IS NOT NULL THEN l.{f} ELSE r.{f} END AS {f}" for f in (
+        "title", "time_limit", "memory_limit", "has_checker", "test_case_count"))
+    return (f"{new} AS (SELECT coalesce(l.id, r.id) AS id, {fields}, coalesce(r.created_at, l.created_at) AS created_at "
+            f"FROM {old} r FULL OUTER JOIN ({chg}) l ON l.id = r.id)")
+
+
+def _patch_step(old: str, chg: str, new: str) -> str:
+    return (f"{new} AS (SELECT r.id, coalesce(p.title, r.title) AS title, coalesce(p.time_limit, r.time_limit) AS time_limit, r.memory_limit, "
+            f"r.has_checker OR coalesce(p.checker_set, false) AS has_checker, r.test_case_count, r.created_at "
+            f"FROM {old} r LEFT JOIN ({chg}) p ON p.id = r.id)")
+
+
+_FIRST_UPSERT = ("SELECT id, upper(title) AS title, time_limit + 100 AS time_limit, memory_limit, has_checker, test_case_count, "
+                 "{} AS created_at FROM pp WHERE p_size % 5 = 0")
+_SECOND_UPSERT = ("SELECT id, 'v2 ' || title AS title, 2000 AS time_limit, 512 AS memory_limit, true AS has_checker, 9 AS test_case_count, "
+                  "1700000000 AS created_at FROM pp WHERE p_size % 10 = 0")
+_NEW_UPSERT = ("SELECT 'X' || id AS id, title, time_limit, memory_limit, has_checker, test_case_count, 1700000000 AS created_at "
+               "FROM pp WHERE partkey % 50 = 0")
+# M1-M3 one after the other
+_LOG = _REGT + """,
+pt AS (SELECT id, CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'patched ' || title END AS title,
+              CASE WHEN partkey % 4 = 1 THEN NULL ELSE time_limit * 2 END AS time_limit, partkey % 9 = 1 AS checker_set
+       FROM problems WHERE partkey % 3 = 1
+       UNION ALL SELECT 'Z' || id, 'ghost', NULL, false FROM problems WHERE partkey % 100 = 1),
+""" + ", ".join([
+    _upsert_step("regt", _FIRST_UPSERT.format(1700000000), "t10"),
+    _patch_step("t10", "SELECT * FROM pt", "t15"),
+    _upsert_step("t15", _SECOND_UPSERT, "t20"),
+    "t25 AS (SELECT * FROM t20 WHERE id NOT IN (SELECT id FROM pp WHERE p_size % 7 = 0))",
+    _upsert_step("t25", _NEW_UPSERT, "t30"),
+    _patch_step("t30", "SELECT id, 'late ' || id AS title, time_limit, checker_set FROM pt", "t33"),
+    _upsert_step("t33", _FIRST_UPSERT.format(1800000000) + " AND right(id, 1) IN ('A', 'B')", "t40"),
+    _patch_step("t40", "SELECT id, CAST(NULL AS VARCHAR) AS title, 77 AS time_limit, checker_set FROM pt", "t45")])
+
+SQL["stream_registry_changes"] = _with(_LOG) + "SELECT " + _reg_cols("t45") + " FROM t45"
+SQL["registry_rejects"] = _with(_LOG) + " UNION ALL ".join(
+    f"SELECT id, {seq} AS seq, 'Problem not found' AS reject_reason FROM pt WHERE id NOT IN (SELECT id FROM {before})"
+    for seq, before in ((15, "t10"), (33, "t30"), (45, "t40")))
+
+
 # --------------------------------------------------------------------------
 # SRC1-SRC3, SNK2, SNK3, U1, U4
 # --------------------------------------------------------------------------

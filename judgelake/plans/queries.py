@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from judgelake import constants as K
 from judgelake.operators import joins, rollup, verdict
@@ -998,7 +999,9 @@ def q_gen_strings_grouped(spark, sf):
 # S1-S6 streaming (run to completion with availableNow, then read the sink)
 # --------------------------------------------------------------------------
 
-from judgelake.streaming import jobs as ST  # noqa: E402
+from judgelake.operators import changes as CH, ordered  # noqa: E402
+from judgelake.streaming import deltas, jobs as ST  # noqa: E402
+from judgelake.streaming.early_finish import stream_early_finish  # noqa: E402
 
 
 def _paths(spark, name):
@@ -1014,12 +1017,6 @@ def _stage(df, path, files=4):
     return df.schema
 
 
-def _complete_to(path):
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(path)
-    return write
-
-
 @query("stream_candidates")
 def q_stream_candidates(spark, sf):
     src, sink, ckpt = _paths(spark, "candidates")
@@ -1046,21 +1043,26 @@ def q_stream_submission_status(spark, sf):
     src, sink, ckpt = _paths(spark, "status")
     schema = _stage(A.lifecycle(spark, sf), src)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    (ST.stream_submission_status(s).writeStream.outputMode("complete").foreachBatch(_complete_to(sink))
-       .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(sink)
+    out = ST.stream_submission_status(s)
+    ST.run_available(out.writeStream.outputMode("update").foreachBatch(deltas.sink(sink, ["submission_id"], out.schema, 3)), ckpt)
+    return deltas.latest(spark, sink, ["submission_id"], out.schema)
+
+
+def _ordinal_cases(spark, sf):
+    """Cases with their place among the submission's cases and the number of these."""
+    c = cases_with_expected(spark, sf).select("submission_id", "case_no", "has_expected", "status", "time_used", "message")
+    c = written(ordered.running_sum(c, ["submission_id"], ["case_no"], F.lit(1), "n_before"), "ordinal-cases")
+    totals = c.groupBy("submission_id").agg(F.count(F.lit(1)).alias("total"))
+    return c.join(totals, "submission_id").select("submission_id", (F.col("n_before") + 1).alias("ordinal"), "total", "has_expected",
+                                                  "status", F.col("time_used").cast("bigint").alias("time_used"), "message")
 
 
 @query("stream_early_finish")
 def q_stream_early_finish(spark, sf):
     src, sink, ckpt = _paths(spark, "early")
-    c = cases_with_expected(spark, sf).select("submission_id", "case_no", "has_expected", "status",
-                                              "time_used", "message")
-    totals = c.groupBy("submission_id").agg(F.array_sort(F.collect_list("case_no")).alias("all_cases"))
-    schema = _stage(c.join(totals, "submission_id"), src, files=6)
+    schema = _stage(_ordinal_cases(spark, sf), src, files=6)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
-    (ST.stream_early_finish(s).writeStream.format("parquet").option("path", sink)
-       .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    ST.run_available(stream_early_finish(s).writeStream.format("parquet").option("path", sink), ckpt)
     r = spark.read.parquet(sink)
     return r.select("submission_id", "status", "time_used", "score", "message", "failed_case")
 
@@ -1070,14 +1072,12 @@ def q_stream_slow_checkers(spark, sf):
     src, sink, ckpt = _paths(spark, "slow")
     schema = _stage(A.slow_checks(spark, sf), src)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    (ST.stream_slow_checkers(s).writeStream.outputMode("complete").foreachBatch(_complete_to(sink))
-       .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
-    from judgelake.functions.text import fixed_text
-    l = F.col("_l")
-    return spark.read.parquet(sink).select(
-        "problem_id", "case_stem", F.when(l.timeout, F.lit("timeout")).otherwise(F.lit("slow")).alias("status"),
-        F.when(l.timeout, F.lit(">10s")).otherwise(F.concat(fixed_text(l.elapsed_s, 2), F.lit("s"))).alias("time"),
-        F.unix_micros(l.seen_at.cast("timestamp")).alias("last_seen_us"))
+    out = ST.stream_slow_checkers(s)
+    keys = ["problem_id", "case_stem"]
+    ST.run_available(out.writeStream.outputMode("update").foreachBatch(deltas.sink(sink, keys, out.schema, 3)), ckpt)
+    r = ST.slow_checkers_now(spark, sink, out.schema)
+    return r.select("problem_id", "case_stem", "status", "time", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_seen_us"),
+                    F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_seen_us"))
 
 
 @query("stream_registry_upsert")
@@ -1086,7 +1086,42 @@ def q_stream_registry_upsert(spark, sf):
     schema = _stage(_changes(spark, sf), src, files=1)
     s = spark.readStream.schema(schema).parquet(src)
     ST.stream_registry_upsert(s, sink, registry_table(spark, sf), ckpt).awaitTermination()
-    return _reg_out(spark.read.parquet(f"{sink}/v=1"))
+    return _reg_out(ST.registry_now(spark, sink))
+
+
+def registry_log(spark, sf):
+    """Upserts, patches and deletes of the registry in one log; ``seq`` orders them."""
+    def part(df, op, seq):
+        have = df.columns
+        return df.select(*[(F.lit(op) if f.name == "op" else F.lit(seq) if f.name == "seq" else F.col(f.name) if f.name in have
+                            else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(CH.CHANGE)])
+    ups = _changes(spark, sf)
+    gone = A.table(spark, sf, "part").where(F.col("p_size") % 7 == 0).select(A.problem_id_of(F.col("p_partkey")).alias("id"))
+    patches = _patches(spark, sf)
+    again = ups.where(F.col("seq") == 1).withColumn("created_at", F.lit(1800000000).cast("bigint"))
+    return (part(ups.where(F.col("seq") == 1), "upsert", 10).unionByName(part(patches, "patch", 15))
+            .unionByName(part(ups.where(F.col("seq") == 2), "upsert", 20)).unionByName(part(gone, "delete", 25))
+            .unionByName(part(ups.where(F.col("seq") == 3), "upsert", 30))
+            .unionByName(part(patches.withColumn("title", F.concat(F.lit("late "), "id")), "patch", 33))
+            .unionByName(part(again.where(F.substring("id", -1, 1).isin("A", "B")), "upsert", 40))
+            .unionByName(part(patches.withColumn("time_limit", F.lit(77)).withColumn("title", F.lit(None).cast("string")), "patch", 45)))
+
+
+@query("stream_registry_changes")
+def q_stream_registry_changes(spark, sf):
+    """The log in three batches, the second and third after a restart; compacted once in between."""
+    src, sink, ckpt = _paths(spark, "registry-log")
+    log = written(registry_log(spark, sf), "registry-log")
+    for lo, hi in ((0, 15), (16, 30), (31, 99)):
+        log.where(F.col("seq").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        ST.stream_registry_changes(s, sink, registry_table(spark, sf), ckpt, compact_every=2).awaitTermination()
+    return _reg_out(ST.registry_now(spark, sink))
+
+
+@query("registry_rejects")
+def q_registry_rejects(spark, sf):
+    return CH.rejected_patches(registry_table(spark, sf), registry_log(spark, sf)).select("id", "seq", "reject_reason")
 
 
 # --------------------------------------------------------------------------
@@ -1094,7 +1129,6 @@ def q_stream_registry_upsert(spark, sf):
 # --------------------------------------------------------------------------
 
 from judgelake.operators import udfs as UDF  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
 
 @query("scan_candidates")

@@ -1,22 +1,38 @@
 """Structured Streaming forms (S1-S6). Every job has a checkpoint location
 under the shared folder, so a restarted job resumes where it stopped;
-sinks are parquet (or versioned parquet written by ``foreachBatch``),
-never driver memory."""
+sinks are parquet (or deltas written by ``foreachBatch``), never driver memory."""
 
 from __future__ import annotations
 
-import json
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from judgelake import constants as K
+from judgelake.functions.text import fixed_text
+from judgelake.operators import changes as CH
 from judgelake.operators.curate import eligible_problems
+from judgelake.streaming import deltas
+
+
+def run_available(writer, checkpoint: str, timeout_s: int | None = None) -> StreamingQuery:
+    """Run a stream over what is there and end. Batches without rows are off for its time: with
+    processing-time timers there is always one more of them. Raises if it has not ended after ``timeout_s``."""
+    spark = writer._spark
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
+            q.stop()
+            raise TimeoutError(f"the stream had not ended after {timeout_s} s")
+        return q
+    finally:
+        spark.conf.set(key, before)
 
 
 def stream_candidates(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
@@ -34,107 +50,61 @@ def stream_dedup_processed(stream: DataFrame, key: str = "id") -> DataFrame:
 
 
 def stream_submission_status(events: DataFrame) -> DataFrame:
-    """S3: latest status per submission by (ts, seq); use with update or
-    complete output mode."""
+    """S3: latest status per submission by (ts, seq). In update mode a batch gives the submissions
+    that changed; ``deltas.sink`` keeps them and ``deltas.latest`` reads the table."""
     return events.groupBy("submission_id").agg(
         F.max(F.struct("ts", "seq", "status")).alias("_l")).select("submission_id", F.col("_l.status").alias("status"))
 
 
 def stream_slow_checkers(obs: DataFrame) -> DataFrame:
-    """The slow-checker registry kept up to date (last observation per
-    (problem, case))."""
+    """The slow-checker registry kept up to date, per (problem, case) the last observation and
+    the first time; in update mode for ``deltas.sink``. ``slow_checkers_now`` reads it."""
     rec = obs.where(F.col("timeout") | (F.col("elapsed_s") > K.CHECKER_TIMEOUT_S))
     return rec.groupBy("problem_id", "case_stem").agg(
-        F.max(F.struct("seen_at", "seq", "timeout", "elapsed_s")).alias("_l"))
-
+        F.max(F.struct("seen_at", "seq", "timeout", "elapsed_s")).alias("last"), F.min("seen_at").alias("first"))
 
-# --------------------------------------------------------------------------
-# S4 early finish with state
-# --------------------------------------------------------------------------
 
-EARLY_OUT = T.StructType([
-    T.StructField("submission_id", T.LongType()), T.StructField("status", T.StringType()),
-    T.StructField("time_used", T.LongType()), T.StructField("score", T.LongType()),
-    T.StructField("message", T.StringType()), T.StructField("failed_case", T.LongType())])
-EARLY_STATE = T.StructType([T.StructField("cases", T.StringType()), T.StructField("done", T.BooleanType())])
-
-
-def _early_finish(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the cases seen so far; finish once, at the first failing case
-    whose lower-numbered cases are all known, or when every case is in.
-    ``all_cases`` on every row lists the submission's case numbers (the
-    problem's test files), so out-of-order arrival is handled."""
-    if state.exists:
-        cases_json, done = state.get
-        if done:
-            return
-        cases = json.loads(cases_json)
-    else:
-        cases = {}
-    order = None
-    for b in batches:
-        order = sorted(int(x) for x in b["all_cases"].iloc[0])
-        for r in b.itertuples(index=False):
-            cases[str(int(r.case_no))] = [bool(r.has_expected), r.status, int(r.time_used), r.message]
-    order = order or []
-    total = len(order)
-    result = None
-    passed, max_time = 0, 0
-    for ordinal, c in enumerate(order, 1):
-        got = cases.get(str(c))
-        if got is None:
-            break
-        has_exp, status, t, msg = got
-        if not has_exp:
-            continue
-        if status != K.ACCEPTED:
-            result = (status, t, int(passed * 100 // total), msg, ordinal)
-            break
-        passed += 1
-        max_time = max(max_time, t)
-    else:
-        if len(cases) >= total:
-            result = (K.ACCEPTED, max_time, 100, K.MSG_PASSED % (passed, total), 0)
-    if result is None:
-        state.update((json.dumps(cases), False))
-        return
-    state.update(("{}", True))
-    s, t, score, msg, fc = result
-    yield pd.DataFrame([{"submission_id": int(key[0]), "status": s, "time_used": int(t), "score": int(score),
-                         "message": msg, "failed_case": int(fc)}])
-
-
-def stream_early_finish(cases: DataFrame) -> DataFrame:
-    """``cases`` (streaming): submission_id, case_no, all_cases,
-    has_expected, status, time_used, message. Append-mode output, one row
-    per submission, emitted once."""
-    return cases.groupBy("submission_id").applyInPandasWithState(
-        _early_finish, EARLY_OUT, EARLY_STATE, "append", GroupStateTimeout.NoTimeout)
+def slow_checkers_now(spark: SparkSession, base: str, schema) -> DataFrame:
+    """A12's columns from S5's deltas: a problem is seen first when its first case is."""
+    rows = deltas.latest(spark, base, ["problem_id", "case_stem"], schema)
+    first = rows.groupBy("problem_id").agg(F.min("first").alias("first_seen"))
+    last = F.col("last")
+    return rows.join(first, "problem_id").select(
+        "problem_id", "case_stem", F.when(last.timeout, F.lit("timeout")).otherwise(F.lit("slow")).alias("status"),
+        F.when(last.timeout, F.lit(">10s")).otherwise(F.concat(fixed_text(last.elapsed_s, 2), F.lit("s"))).alias("time"),
+        last.seen_at.alias("last_seen"), "first_seen")
 
 
 # --------------------------------------------------------------------------
-# S6 registry upsert per micro-batch
+# S6 registry changes as a log of deltas
 # --------------------------------------------------------------------------
 
-def stream_registry_upsert(changes: DataFrame, base: str, initial: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Apply each micro-batch of changes (M1) to the registry and write
-    version ``v=<batch_id + 1>``; a replayed batch finds its version already
-    written and does nothing (idempotent by batch id)."""
-    from judgelake.operators.registry import upsert_problems
-    spark = changes.sparkSession
-    initial.write.mode("ignore").parquet(f"{base}/v=0")
-    jvm_fs = spark._jvm.org.apache.hadoop.fs
+def registry_now(spark: SparkSession, base: str) -> DataFrame:
+    """The registry after all batches written so far: the snapshot with the later changes folded in."""
+    snap, rows = deltas.read(spark, base, CH.CHANGE, CH.TABLE)
+    return CH.apply_changes(snap, CH.fold_changes(rows, ("batch", "seq")))
 
-    def exists(path: str) -> bool:
-        p = jvm_fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_fs.Path(path + "/_SUCCESS"))
+
+def stream_registry_changes(changes: DataFrame, base: str, initial: DataFrame, checkpoint: str,
+                            compact_every: int = deltas.COMPACT_EVERY) -> StreamingQuery:
+    """A stream of upserts, patches and deletes (columns of ``changes.CHANGE``, ``seq`` unique per id and
+    batch). A batch writes its own changes and nothing else; every ``compact_every`` batches the log is
+    folded into a snapshot. ``initial`` is the table before the first batch. Batches count in
+    their order, changes of one batch by ``seq``."""
+    spark = changes.sparkSession
+    first = f"{base}/snapshot/upto=-1"
+    if deltas.state_of(spark, base)[0] is None:
+        initial.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(CH.TABLE)]).write.mode("overwrite").parquet(first)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        target = f"{base}/v={batch_id + 1}"
-        if exists(target):
-            return
-        current = spark.read.parquet(f"{base}/v={batch_id}")
-        upsert_problems(current, batch).write.mode("overwrite").parquet(target)
+        if deltas.append(batch, batch_id, base) and len(deltas.state_of(spark, base)[1]) >= compact_every:
+            deltas.compact(spark, base, lambda: registry_now(spark, base))
 
-    return (changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    cols = [F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(CH.CHANGE)]
+    return (changes.select(*cols).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def stream_registry_upsert(changes: DataFrame, base: str, initial: DataFrame, checkpoint: str) -> StreamingQuery:
+    """S6 for upserts alone (M1's columns); ``registry_now`` reads the table."""
+    return stream_registry_changes(changes.withColumn("op", F.lit(CH.UPSERT)).withColumn("checker_set", F.lit(False)), base, initial, checkpoint)
