@@ -100,15 +100,22 @@ def license_scan(docs: DataFrame, known=KNOWN_LICENSES, id_col: str = "doc_id",
     known_df = (spark.createDataFrame(list(known), "license string, t string")
                 .select("license", F.sha2(canonical(without_copyright(F.col("t"))), 256).alias("digest")).distinct())
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"))
-    lines = rows.select("doc_id", F.explode(F.split("t", "\n", -1)).alias("u"))
-    sentences = (lines.select("doc_id", F.split("u", SENTENCE_END, -1).alias("s")).where(F.size("s") > 1)
-                 .select("doc_id", F.lit("sentence").alias("scope"), F.explode("s").alias("u")))
-    units = (rows.select("doc_id", F.lit("text").alias("scope"), without_copyright(F.col("t")).alias("u"))
-             .union(lines.select("doc_id", F.lit("line"), "u")).union(sentences))
-    canon = units.select("doc_id", "scope", canonical(F.col("u")).alias("c")).where("c <> ''")
-    digests = canon.select("doc_id", "scope", F.sha2("c", 256).alias("digest"))
-    return (digests.join(known_df, "digest").groupBy("doc_id", "scope", "license")
+    # one pass: each line is made canonical once, for itself and for the whole text (no spelling reaches over a line's end)
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(
+        F.lower(x).rlike(COPYRIGHT_LINE).alias("claim"), canonical(x).alias("c"), F.split(x, SENTENCE_END, -1).alias("s")))
+
+    def unit(scope, c):
+        return F.struct(F.lit(scope).alias("scope"), c.alias("c"))
+    whole = lambda ls: F.array_join(F.transform(F.filter(ls, lambda x: ~x["claim"] & (x["c"] != "")), lambda x: x["c"]), " ")
+    units = lambda ls: F.filter(F.concat(
+        F.array(unit("text", whole(ls))), F.transform(ls, lambda x: unit("line", x["c"])),
+        F.flatten(F.transform(F.filter(ls, lambda x: F.size(x["s"]) > 1),
+                              lambda x: F.transform(x["s"], lambda y: unit("sentence", canonical(y)))))), lambda u: u["c"] != "")
+    found = F.element_at(F.transform(F.array(lines), units), 1)  # the lines once, however often the units name them
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(found).alias("u"))
+    digests = rows.select("doc_id", "u.scope", F.sha2("u.c", 256).alias("digest"))
+    # the known digests are a parameter of fixed size: they meet the units before any exchange
+    return (digests.join(F.broadcast(known_df), "digest").groupBy("doc_id", "scope", "license")
             .agg(F.count("*").alias("n")))
 
 
