@@ -119,6 +119,18 @@ def cogrouped(left: DataFrame, right: DataFrame, key: str, fn, schema: str) -> D
     return sides[0].groupBy(key).cogroup(sides[1].groupBy(key)).applyInPandas(fn, schema)
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """A broadcast of ``value`` as a function that gives it in tasks. It travels with the definitions of
+    this package's classes, so a worker without the package can read it."""
+    box, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(box.value))
+        return held[0]
+    return get
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps: it follows the collectors of both sides."""
     gc.collect()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from judgelake.llm.common import cut, table, text_batches
+from judgelake.llm.common import cut, share, table, text_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -331,7 +331,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     pieces = cut(document_pieces(docs, id_col, text_col, path, capacity, end_id), "pieces")
     counts = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(plan_sequences(histogram, capacity))
+    plan = share(spark, plan_sequences(histogram, capacity))
     before = counts.select("part", "length", (F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).select(
@@ -339,7 +339,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
+        p = plan()
         for b in batches:
             rows = []
             for rank, doc, start, length, total, ids in zip(*(c.to_pylist() for c in b.columns)):
