@@ -2,10 +2,10 @@
 gate (A8), evaluate-once (A9), the passed-incorrect jobs (C1, C2), the
 re-filter job (C3), resume (C4) and the report (A11).
 
-The wide columns (test_cases, description, checker) never enter a shuffle:
-codes are exploded with their position to a narrow (problem, pos, code
-hash) frame, decisions are aggregated on ids, and the wide columns are
-joined back once at the end.
+Lists are exploded once, to narrow rows (problem, kind, position); decisions
+are aggregated to positions per problem, and the records take their codes
+out of the problem's own lists in one join on its id. No code text enters
+another shuffle or an aggregate.
 """
 
 from __future__ import annotations
@@ -98,12 +98,40 @@ def evaluate_distinct(df: DataFrame, text_col: str,
 # C1 / C2 passed-incorrect curation
 # --------------------------------------------------------------------------
 
-def _wide_record(problems: DataFrame, kept: DataFrame, correct: DataFrame) -> DataFrame:
-    out = (kept.join(problems, "id")
-               .join(correct, "id", "left"))
-    return out.select(
-        "id", "incorrect_codes", "correct_code", "description", "checker", "test_cases",
-        hack_url(F.col("id")).alias("hack_url"))
+def listed_submissions(problems: DataFrame, *extra: Column) -> DataFrame:
+    """P2 + P3 over both lists in one explode: (id, kind, pos, language, ``extra``) of the cpp entries,
+    the correct ones only with a non-blank code. ``extra`` are expressions of ``code``, so that the
+    text itself need not be carried."""
+    def tagged(col: str, kind: str) -> Column:
+        entries = F.transform(F.col(col), lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.cast("int").alias("pos"), x["language"].alias("language"), x["code"].alias("code")))
+        return F.coalesce(entries, F.array().cast("array<struct<kind:string,pos:int,language:string,code:string>>"))
+    rows = problems.select("id", F.explode(F.concat(tagged("incorrect_submissions", "incorrect"),
+                                                    tagged("correct_submissions", "correct"))).alias("_s")).select("id", "_s.*")
+    return (rows.where((F.col("language") == "cpp") & ((F.col("kind") == "incorrect") | nonblank(F.col("code"))))
+                .select("id", "kind", "pos", "language", *extra))
+
+
+def _records(problems: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Accepted (id, kind, pos) -> one record per problem with at least one incorrect code among them;
+    ``incorrect_positions`` are these codes' places in the problem's list."""
+    per_id = accepted.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "incorrect", F.col("pos")))).alias("incorrect_positions"),
+        F.min(F.when(F.col("kind") == "correct", F.col("pos"))).alias("_first")).where(F.size("incorrect_positions") > 0)
+    j = problems.join(per_id, "id")
+    codes = F.transform("incorrect_positions", lambda p: F.get(F.col("incorrect_submissions"), p)["code"])
+    return j.select("id", codes.alias("incorrect_codes"), F.get(F.col("correct_submissions"), F.col("_first"))["code"].alias("correct_code"),
+                    "description", "checker", "test_cases", hack_url(F.col("id")).alias("hack_url"), "incorrect_positions")
+
+
+def _judged_single(el: DataFrame, compile_log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(eligible problems with a usable checker, compiles per code hash)."""
+    compiles = compiles_any_standard(compile_log)
+    chk = (el.select("id", F.md5(F.col("checker")).alias("code_hash"), "checker")
+             .join(compiles, "code_hash", "left")
+             .where(checker_usable(F.col("checker"), F.col("compiles")))
+             .select("id"))
+    return el.join(chk, "id", "left_semi"), compiles
 
 
 def passed_incorrect_single(problems: DataFrame, verdicts: DataFrame, compile_log: DataFrame) -> DataFrame:
@@ -113,54 +141,37 @@ def passed_incorrect_single(problems: DataFrame, verdicts: DataFrame, compile_lo
 
     ``verdicts``: (id, kind, pos, verdict) for each listed submission.
     ``compile_log``: code_hash, standard, ok."""
-    el = eligible_problems(problems)
-    compiles = compiles_any_standard(compile_log)
-    chk = (el.select("id", F.md5(F.col("checker")).alias("code_hash"), "checker")
-             .join(compiles, "code_hash", "left")
-             .where(checker_usable(F.col("checker"), F.col("compiles")))
-             .select("id"))
-    el = el.join(chk, "id", "left_semi")
-    narrow = el.select("id", "incorrect_submissions", "correct_submissions")
-    inc = explode_submissions(narrow, "incorrect_submissions", "incorrect").where(F.col("language") == "cpp")
-    cor = explode_submissions(narrow, "correct_submissions", "correct").where(
-        (F.col("language") == "cpp") & nonblank(F.col("code")))
-    v = verdicts.select("id", "kind", "pos", "verdict")
-    inc = inc.join(v, ["id", "kind", "pos"], "left")
-    kept = (inc.where(F.col("verdict") == K.ACCEPTED)
-               .groupBy("id")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_k"))
-               .select("id", F.transform("_k", lambda x: x["code"]).alias("incorrect_codes")))
-    cor = (cor.withColumn("code_hash", F.md5("code"))
-              .join(compiles, "code_hash", "left")
-              .join(v, ["id", "kind", "pos"], "left"))
-    good = F.coalesce(F.col("compiles"), F.lit(False)) & (F.col("verdict") == K.ACCEPTED)
-    correct = cor.groupBy("id").agg(
-        F.min(F.when(good, F.struct("pos", "code"))).alias("_c")).select(
-        "id", F.col("_c.code").alias("correct_code"))
-    wide = el.select("id", "description", "checker", "test_cases")
-    return _wide_record(wide, kept, correct)
-
-
-def passed_incorrect_multi(problems: DataFrame, consensus: DataFrame) -> DataFrame:
+    el, compiles = _judged_single(eligible_problems(problems), compile_log)
+    # a correct code must compile too; only its hash is carried
+    subs = listed_submissions(el, F.when(F.col("kind") == "correct", F.md5("code")).alias("code_hash"))
+    accepted = subs.join(verdicts.where(F.col("verdict") == K.ACCEPTED).select("id", "kind", "pos"), ["id", "kind", "pos"], "left_semi")
+    accepted = accepted.join(compiles, "code_hash", "left").where(
+        (F.col("kind") == "incorrect") | F.coalesce(F.col("compiles"), F.lit(False)))
+    return _records(el, accepted).drop("incorrect_positions")
+
+
+def passed_incorrect_evaluated(problems: DataFrame, evaluator, compile_log: DataFrame) -> DataFrame:
+    """C1 with an evaluator (U4) in place of known verdicts: every listed cpp code of an eligible problem is
+    a request (request_id ``<id>:<kind>:<pos>``); a failed request counts as not accepted."""
+    el, compiles = _judged_single(eligible_problems(problems), compile_log)
+    key = F.concat_ws(":", "id", "kind", F.col("pos").cast("string"))
+    subs = listed_submissions(el, F.col("code")).withColumn("request_id", key)
+    judged = evaluator.evaluate(subs.select("request_id", F.col("id").alias("problem_id"), "code", "language"))
+    accepted = subs.select("request_id", "id", "kind", "pos", F.when(F.col("kind") == "correct", F.md5("code")).alias("code_hash")).join(
+        judged.where(F.col("success") & (F.col("verdict") == K.ACCEPTED)).select("request_id"), "request_id", "left_semi")
+    accepted = accepted.join(compiles, "code_hash", "left").where(
+        (F.col("kind") == "incorrect") | F.coalesce(F.col("compiles"), F.lit(False)))
+    return _records(el, accepted).drop("incorrect_positions")
+
+
+def passed_incorrect_multi(problems: DataFrame, consensus: DataFrame, positions: bool = False) -> DataFrame:
     """As C1 with the multi-version consensus (A4) as the verdict and
-    no compile gate. ``consensus``: (id, kind, pos, all_passed)."""
+    no compile gate. ``consensus``: (id, kind, pos, all_passed). ``positions`` also gives the
+    kept codes' places in the problem's list."""
     el = eligible_problems(problems)
-    narrow = el.select("id", "incorrect_submissions", "correct_submissions")
-    c = consensus.select("id", "kind", "pos", "all_passed")
-    inc = (explode_submissions(narrow, "incorrect_submissions", "incorrect")
-           .where(F.col("language") == "cpp").join(c, ["id", "kind", "pos"], "left"))
-    kept = (inc.where(F.coalesce(F.col("all_passed"), F.lit(False)))
-               .groupBy("id")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_k"))
-               .select("id", F.transform("_k", lambda x: x["code"]).alias("incorrect_codes")))
-    cor = (explode_submissions(narrow, "correct_submissions", "correct")
-           .where((F.col("language") == "cpp") & nonblank(F.col("code")))
-           .join(c, ["id", "kind", "pos"], "left"))
-    correct = cor.groupBy("id").agg(
-        F.min(F.when(F.coalesce(F.col("all_passed"), F.lit(False)), F.struct("pos", "code"))).alias("_c")
-    ).select("id", F.col("_c.code").alias("correct_code"))
-    wide = el.select("id", "description", "checker", "test_cases")
-    return _wide_record(wide, kept, correct)
+    passed = consensus.where(F.coalesce(F.col("all_passed"), F.lit(False))).select("id", "kind", "pos")
+    out = _records(el, listed_submissions(el).join(passed, ["id", "kind", "pos"], "left_semi"))
+    return out if positions else out.drop("incorrect_positions")
 
 
 # --------------------------------------------------------------------------
@@ -181,17 +192,16 @@ def refilter_codes(curated: DataFrame, consensus: DataFrame, registry: DataFrame
     if registry is not None:
         c = c.join(registry.select(F.col("problem_id").alias("id")).distinct(), "id", "left_anti")
     c = c.where(_size0(F.col("incorrect_codes")) > 0)
-    codes = c.select("id", F.posexplode("incorrect_codes").alias("pos", "code"))
-    tagged = codes.join(consensus, ["id", "pos"], "left")
+    places = c.select("id", F.explode(F.sequence(F.lit(0), F.size("incorrect_codes") - 1)).alias("pos"))
+    tagged = places.join(consensus, ["id", "pos"], "left")
     passed = F.coalesce(F.col("all_passed"), F.lit(False))
-    kept_codes = (tagged.where(passed).groupBy("id")
-                  .agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_k"))
-                  .select("id", F.transform("_k", lambda x: x["code"]).alias("_kept")))
-    kept = (c.join(kept_codes, "id")
-             .withColumn("incorrect_codes", F.col("_kept")).drop("_kept"))
+    kept_places = tagged.where(passed).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("_kept"))
+    kept = (c.join(kept_places, "id")
+             .withColumn("incorrect_codes", F.transform("_kept", lambda p: F.get(F.col("incorrect_codes"), p))).drop("_kept"))
     from judgelake.sources.files import write_rejects
-    rejects = write_rejects(tagged.where(~passed).select(
-        F.col("id").alias("problem_id"), "pos", "code", "stopped_at", "fail_verdict", "failed_test"))
+    failing = tagged.where(~passed).join(c.select("id", F.col("incorrect_codes").alias("_codes")), "id")
+    rejects = write_rejects(failing.select(
+        F.col("id").alias("problem_id"), "pos", F.get(F.col("_codes"), F.col("pos")).alias("code"), "stopped_at", "fail_verdict", "failed_test"))
     return kept, rejects
 
 

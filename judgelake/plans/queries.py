@@ -484,44 +484,40 @@ def _flat_record(df):
         F.size("test_cases").cast("bigint").alias("n_test_cases"), "hack_url")
 
 
+def curation_problems(spark, sf):
+    """The nested curation input, built and written once."""
+    return written(A.curation_input(spark, sf), "curation-input")
+
+
 def _verdicts_by_position(spark, sf):
-    s = A.submission_lists(spark, sf)
+    s = A.submission_places(spark, sf)
     r = submission_results(spark, sf).select("submission_id", F.col("status").alias("verdict"))
     return s.join(r, "submission_id", "left").select(F.col("problem_id").alias("id"), "kind", "pos", "verdict")
 
 
 def _consensus_by_position(spark, sf):
     c = rollup.version_consensus(A.version_results(spark, sf).where(F.col("try_no") == 1))
-    s = A.submission_lists(spark, sf)
+    s = A.submission_places(spark, sf)
     return s.join(c, s.submission_id == c.code_id, "left").select(
         F.col("problem_id").alias("id"), "kind", "pos", "all_passed", "submission_id")
 
 
 @query("passed_incorrect_single")
 def q_passed_incorrect_single(spark, sf):
-    out = curate.passed_incorrect_single(A.curation_input(spark, sf), _verdicts_by_position(spark, sf),
+    out = curate.passed_incorrect_single(curation_problems(spark, sf), _verdicts_by_position(spark, sf),
                                          A.compile_log(spark, sf))
     return _flat_record(out)
 
 
 def curated_multi(spark, sf):
-    return curate.passed_incorrect_multi(A.curation_input(spark, sf), _consensus_by_position(spark, sf))
+    """C2's records with the kept codes' places, written once."""
+    return written(curate.passed_incorrect_multi(curation_problems(spark, sf), _consensus_by_position(spark, sf), positions=True),
+                   "curated")
 
 
 @query("passed_incorrect_multi")
 def q_passed_incorrect_multi(spark, sf):
-    return _flat_record(curated_multi(spark, sf))
-
-
-def _curated_ids(spark, sf):
-    """Submission ids of the codes kept by C2, aligned with incorrect_codes."""
-    cons = _consensus_by_position(spark, sf)
-    el = curate.eligible_problems(A.curation_input(spark, sf)).select("id", "incorrect_submissions")
-    inc = (curate.explode_submissions(el, "incorrect_submissions", "incorrect")
-           .where(F.col("language") == "cpp")
-           .join(cons, ["id", "kind", "pos"], "left").where(F.coalesce("all_passed", F.lit(False))))
-    k = inc.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "submission_id"))).alias("_k"))
-    return k.select("id", F.transform("_k", lambda x: x["submission_id"]).alias("_ids"))
+    return _flat_record(curate.passed_incorrect_multi(curation_problems(spark, sf), _consensus_by_position(spark, sf)))
 
 
 def _retest_consensus(spark, sf):
@@ -532,15 +528,18 @@ def _retest_consensus(spark, sf):
     return rollup.version_consensus(v)
 
 
-def _refilter(spark, sf):
-    curated = curated_multi(spark, sf).join(_curated_ids(spark, sf), "id")
-    ids = curated.select("id", F.posexplode("_ids").alias("pos", "code_id"))
-    cons = (ids.join(_retest_consensus(spark, sf), "code_id", "left")
+def _refilter(spark, sf, curated=None):
+    """C3 over C2's records; a kept code is re-tested under its submission's id."""
+    curated = curated_multi(spark, sf) if curated is None else curated
+    places = curated.select("id", F.posexplode("incorrect_positions").alias("pos", "_at"))
+    ids = A.submission_places(spark, sf).where(F.col("kind") == "incorrect").select(
+        F.col("problem_id").alias("id"), F.col("pos").alias("_at"), F.col("submission_id").alias("code_id"))
+    cons = (places.join(ids, ["id", "_at"]).join(_retest_consensus(spark, sf), "code_id", "left")
                .select("id", "pos", F.coalesce("all_passed", F.lit(False)).alias("all_passed"),
                        "stopped_at", F.coalesce("fail_verdict", F.lit(K.SYSTEM_ERROR)).alias("fail_verdict"),
                        "failed_test"))
     reg = rollup.slow_checker_registry(A.slow_checks(spark, sf))
-    return curate.refilter_codes(curated.drop("_ids"), cons, reg)
+    return curate.refilter_codes(curated.drop("incorrect_positions"), written(cons, "retests"), reg)
 
 
 @query("refilter_codes")
@@ -563,14 +562,15 @@ def q_resume_curation(spark, sf):
     curated = curated_multi(spark, sf)
     state = processed_state(spark, sf)
     done = state.select(F.col("problem_id").alias("id"))
-    _, rejects = _refilter(spark, sf)
+    _, rejects = _refilter(spark, sf, curated)
+    curated = curated.drop("incorrect_positions")
     old = curated.join(done, "id", "left_semi")
     codes = old.select(F.col("id").alias("problem_id"), F.posexplode("incorrect_codes").alias("pos", "code"))
     left = joins.exclude_failed_codes(codes, rejects.select("problem_id", "code"))
     rebuilt = (left.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("_k"))
                    .select(F.col("problem_id").alias("id"), F.transform("_k", lambda x: x["code"]).alias("incorrect_codes")))
     recovered = old.drop("incorrect_codes").join(rebuilt, "id")
-    todo = curate.eligible_problems(A.curation_input(spark, sf))
+    todo = curate.eligible_problems(curation_problems(spark, sf))
     new = curated.join(done, "id", "left_anti")
     out, new_state = curate.resume_curation(todo, state, recovered, new)
     return _flat_record(out)
@@ -578,8 +578,9 @@ def q_resume_curation(spark, sf):
 
 @query("curation_report")
 def q_curation_report(spark, sf):
-    curated = curated_multi(spark, sf).withColumn("source_file", F.concat(F.lit("part-"), F.substring("id", -1, 1)))
-    kept, rejects = _refilter(spark, sf)
+    curated = curated_multi(spark, sf)
+    kept, rejects = _refilter(spark, sf, curated)
+    curated = curated.withColumn("source_file", F.concat(F.lit("part-"), F.substring("id", -1, 1)))
     files = curated.select("id", "source_file")
     kept = kept.join(files, "id")
     rejects = rejects.join(files.withColumnRenamed("id", "problem_id"), "problem_id")

@@ -216,26 +216,29 @@ problems AS (
 )"""
 
 
-def submission_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per listed submission: problem (part by o_custkey), kind,
-    language, 0-based list position and the code text. Documents have dense
-    ids from 0, so the order key modulo their number names one of them all."""
+def submission_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per listed submission, without its code: problem (part by o_custkey), kind,
+    language and 0-based list position."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs = max(1, d.count())  # read from the file footers
     kind = F.when(F.col("o_orderstatus") == "F", F.lit("correct")).otherwise(F.lit("incorrect"))
     o = o.withColumn("kind", kind)
     w = Window.partitionBy("o_custkey", "kind").orderBy("o_orderdate", "o_orderkey")
-    o = o.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
-    j = o.join(d, F.col("o_orderkey") % n_docs == F.col("doc_id"), "left")
-    return j.select(
+    return o.select(
         problem_id_of(F.col("o_custkey")).alias("problem_id"),
         F.col("o_orderkey").alias("submission_id"),
-        "kind", "pos",
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("python")).otherwise(F.lit("cpp")).alias("language"),
-        F.col("text").alias("code"),
-    )
+        "kind", (F.row_number().over(w) - 1).cast("int").alias("pos"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("python")).otherwise(F.lit("cpp")).alias("language"))
+
+
+def submission_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``submission_places`` with the code text. Documents have dense
+    ids from 0, so the order key modulo their number names one of them all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = max(1, d.count())  # read from the file footers
+    o = submission_places(spark, sf_dir)
+    j = o.join(d, F.col("submission_id") % n_docs == F.col("doc_id"), "left")
+    return j.select("problem_id", "submission_id", "kind", "pos", "language", F.col("text").alias("code"))
 
 
 SUBMISSION_LISTS_SQL = """,
