@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from judgelake import constants as K
 from judgelake.operators.patterns import matches
+from judgelake.session import small_side
 
 INT_RE = "^-?(0|[1-9][0-9]*)\\z"
 UINT_RE = "^(0|[1-9][0-9]*)\\z"
@@ -149,7 +150,7 @@ def bounds_hit_report(values: DataFrame, constraints: DataFrame, max_variables:
     under 1e-12. ``max_variables`` keeps the first so many names, None all.
 
     ``values``: variable, value (double); ``constraints``: variable, lo, hi
-    (text), is_int. Spark picks the join by the sizes it sees."""
+    (text), is_int. A constraint table of bounded size goes to the values; a larger one is left to Spark."""
     name = F.col("variable")
     c = constraints.where(analyzable(name)).select(
         name.alias("_raw"), bare_variable(name).alias("_name"), "is_int",
@@ -158,7 +159,7 @@ def bounds_hit_report(values: DataFrame, constraints: DataFrame, max_variables:
     if max_variables is not None:
         first = c.select("_name").distinct().orderBy("_name").limit(max_variables)
         c = c.join(first, "_name", "left_semi")
-    j = values.join(c, values["variable"] == c["_raw"]).withColumn("variable", F.col("_name"))
+    j = values.join(small_side(c), values["variable"] == c["_raw"]).withColumn("variable", F.col("_name"))
     v = F.col("value")
     hit_lo = F.when(F.col("is_int"), v == F.col("lo")).otherwise(F.abs(v - F.col("lo")) < K.BOUND_DELTA)
     hit_hi = F.when(F.col("is_int"), v == F.col("hi")).otherwise(F.abs(v - F.col("hi")) < K.BOUND_DELTA)

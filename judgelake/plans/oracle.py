@@ -562,6 +562,20 @@ c2 AS ({_record_select("kept2", "cor2")})"""
 
 SQL["passed_incorrect_multi"] = _with(_C2) + "SELECT * FROM c2"
 
+SQL["resume_batches"] = SQL["passed_incorrect_multi"]
+SQL["curation_state"] = _with(_C2) + """
+SELECT el.id AS problem_id, 'processed' AS state, c2.n_codes FROM el LEFT JOIN c2 ON c2.id = el.id"""
+
+# equal codes of one problem and language get the verdict of the first request
+SQL["evaluated_curation"] = SQL["passed_incorrect_single"].replace(
+    "JOIN submission_result r ON r.submission_id = s.submission_id", "JOIN shared r ON r.submission_id = s.submission_id").replace(
+    ",\ninc AS (", f""",
+shared AS (SELECT s.submission_id, first_value(r.status) OVER (
+             PARTITION BY s.problem_id, s.language, coalesce(s.code, '') ORDER BY s.problem_id || ':' || s.kind || ':' || s.pos) AS status
+           FROM submission_lists s JOIN chk ON chk.id = s.problem_id LEFT JOIN submission_result r ON r.submission_id = s.submission_id
+           WHERE s.language = 'cpp' AND (s.kind = 'incorrect' OR {_NONBLANK.format(x='s.code')})),
+inc AS (""", 1)
+
 _C3 = _C2 + A.SLOW_CHECKS_SQL + """,
 kidx AS (SELECT problem_id, submission_id, code, row_number() OVER (PARTITION BY problem_id ORDER BY pos) - 1 AS idx
          FROM inc2),

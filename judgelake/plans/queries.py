@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from judgelake import constants as K
-from judgelake.operators import joins, rollup, verdict
+from judgelake.operators import joins, resume as RESUME, rollup, verdict
 from judgelake.sources import adapters as A
 from judgelake.session import written
 
@@ -587,6 +587,45 @@ def q_curation_report(spark, sf):
     return curate.curation_report(curated, kept, rejects)
 
 
+def _candidate_files(spark, sf, parts=5):
+    """The curation input as several files, with its schema."""
+    src, _, _ = _paths(spark, "candidates")
+    problems = A.curation_input(spark, sf)
+    problems.repartition(parts, F.substring("id", -1, 1), "id").write.parquet(src)
+    return list(spark.read.parquet(src).inputFiles()), problems.schema, src
+
+
+def _batched_curation(spark, sf):
+    """C2 in committed batches: one batch, then a new run for the rest."""
+    files, schema, src = _candidate_files(spark, sf)
+    cons = written(_consensus_by_position(spark, sf), "consensus")
+    for limit in (1, None):
+        RESUME.resume_batches(spark, files, schema, f"{src}-state", lambda p: curate.passed_incorrect_multi(p, cons), limit=limit)
+    return f"{src}-state"
+
+
+@query("resume_batches")
+def q_resume_batches(spark, sf):
+    return _flat_record(RESUME.records(spark, _batched_curation(spark, sf)))
+
+
+@query("curation_state")
+def q_curation_state(spark, sf):
+    return RESUME.state(spark, _batched_curation(spark, sf))
+
+
+@query("evaluated_curation")
+def q_evaluated_curation(spark, sf):
+    """C1 through a store of results: the first run fills it, the second is answered by it."""
+    logged = _verdicts_by_position(spark, sf).select(
+        F.concat_ws(":", "id", "kind", F.col("pos").cast("string")).alias("request_id"), F.col("verdict").alias("status"))
+    store = UDF.StoredEvaluator(UDF.RunLogEvaluator(logged, "request_id"), _paths(spark, "results")[1])
+    problems = curation_problems(spark, sf)
+    for _ in range(2):
+        out = curate.passed_incorrect_evaluated(problems, store, A.compile_log(spark, sf))
+    return _flat_record(out)
+
+
 # --------------------------------------------------------------------------
 # M1-M6 registry maintenance
 # --------------------------------------------------------------------------

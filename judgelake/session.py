@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import judgelake
 
@@ -73,3 +74,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, which is counted; else as it is. For the
+    parameter-like side of a join, whose size Spark does not know when it comes from local rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
