@@ -1061,8 +1061,17 @@ SQL["registry_rejects"] = _with(_LOG) + " UNION ALL ".join(
 # --------------------------------------------------------------------------
 
 SQL["scan_candidates"] = SQL["eligible_problems"]
-SQL["scan_dir_lineage"] = _with(A.PROBLEMS_SQL) + "SELECT id, right(id, 1) AS letter FROM problems"
-SQL["scan_tolerant"] = _with(A.PROBLEMS_SQL) + "SELECT id FROM problems"
+SQL["scan_dir_lineage"] = _with(A.PROBLEMS_SQL) + "SELECT id, right(id, 1) AS letter, true AS has_source, true AS has_output FROM problems"
+SQL["scan_tolerant"] = _with(A.PROBLEMS_SQL) + "SELECT id FROM problems WHERE right(id, 1) IN ('A', 'B')"
+SQL["scan_skipped"] = """SELECT 'broken.parquet' AS file, CAST(NULL AS BIGINT) AS row_group, CAST(NULL AS BIGINT) AS n_rows,
+       'not a Parquet file' AS reason"""
+SQL["append_generations"] = _with(A.SUBMISSIONS_SQL) + """
+SELECT id, CASE WHEN id % 3 <> 1 THEN CAST(time_used AS BIGINT) END AS time_used, CASE WHEN id % 3 = 1 THEN status END AS status,
+       CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS no, CASE id % 3 WHEN 0 THEN CAST(time_used AS DOUBLE) WHEN 1 THEN time_used / 4 END AS ms,
+       CASE WHEN id % 3 = 1 THEN status END AS note FROM submissions"""
+SQL["ingest_rejects"] = "WITH lines AS (" + SQL["export_test_results"] + """),
+d AS (SELECT value AS v, length(value) % 5 AS n FROM lines)
+SELECT CASE n WHEN 0 THEN v || ';x' ELSE 'x' || v END AS value, CASE n WHEN 0 THEN 13 ELSE 12 END AS n_items FROM d WHERE n <= 1"""
 SQL["append_widening"] = _with(A.SUBMISSIONS_SQL) + """
 SELECT id, CAST(time_used AS BIGINT) AS time_used, CASE WHEN id % 2 = 0 THEN status END AS status FROM submissions"""
 SQL["skip_existing_output"] = _with(A.PROBLEMS_SQL) + """

@@ -1169,6 +1169,7 @@ def q_registry_rejects(spark, sf):
 # --------------------------------------------------------------------------
 
 from judgelake.operators import udfs as UDF  # noqa: E402
+from judgelake.sources import generations as GENS, tolerant as TOL  # noqa: E402
 
 
 @query("scan_candidates")
@@ -1183,32 +1184,78 @@ def q_scan_candidates(spark, sf):
 
 @query("scan_dir_lineage")
 def q_scan_dir_lineage(spark, sf):
+    """Every row with the file it came from and the name of the output made of that file."""
     src, _, _ = _paths(spark, "lineage")
     p = A.problems(spark, sf).select("id", "title", F.substring("id", -1, 1).alias("letter"))
     p.write.partitionBy("letter").parquet(src)
-    d = FILES.scan_dir_lineage(spark, src)
-    return d.select("id", F.regexp_extract(F.col("_metadata.file_path"), "letter=([A-Z])", 1).alias("letter"))
+    d = FILES.scan_dir_lineage(spark, src, rename_from="\\.zstd\\.parquet", rename_to="_filtered.parquet")
+    stem = F.regexp_replace("source_file", "\\.zstd\\.parquet$", "")
+    return d.select("id", F.regexp_extract(F.col("_metadata.file_path"), "letter=([A-Z])", 1).alias("letter"),
+                    F.col("source_file").rlike("^part-.*\\.parquet$").alias("has_source"),
+                    (F.col("output_file") == F.concat(stem, F.lit("_filtered.parquet"))).alias("has_output"))
 
 
-@query("scan_tolerant")
-def q_scan_tolerant(spark, sf):
+def _tolerant_input(spark, sf):
+    """Problems in two files, beside one that is no Parquet file."""
     src, _, _ = _paths(spark, "tolerant")
-    A.problems(spark, sf).select("id", "title").repartition(3).write.parquet(src)
+    p = A.problems(spark, sf).select("id", "title")
+    for letter in ("A", "B"):
+        p.where(F.col("id").endswith(letter)).coalesce(1).write.mode("append").parquet(src)
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{src}/broken.parquet")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(b"this is not a parquet file"))
     out.close()
-    rows, skipped = FILES.scan_tolerant(spark, src, schema=T.StructType.fromDDL("id string, title string"))
+    return src
+
+
+@query("scan_tolerant")
+def q_scan_tolerant(spark, sf):
+    rows, _ = TOL.scan_tolerant(spark, _tolerant_input(spark, sf), schema=T.StructType.fromDDL("id string, title string"))
     return rows.select("id")
 
 
+@query("scan_skipped")
+def q_scan_skipped(spark, sf):
+    _, skipped = TOL.scan_tolerant(spark, _tolerant_input(spark, sf), schema=T.StructType.fromDDL("id string, title string"))
+    return skipped.select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "row_group", "n_rows", "reason")
+
+
 @query("append_widening")
 def q_append_widening(spark, sf):
     s = A.submissions(spark, sf).select("id", "time_used", "status")
     old = s.where(F.col("id") % 2 == 0)
     new = s.where(F.col("id") % 2 == 1).withColumn("time_used", F.col("time_used").cast("bigint")).drop("status")
-    return FILES.append_widening(old, new).select("id", "time_used", "status")
+    return GENS.append_widening(old, new).select("id", "time_used", "status")
+
+
+@query("append_generations")
+def q_append_generations(spark, sf):
+    """Three appends with a list of structs whose fields grow and widen, read as one."""
+    base, _, _ = _paths(spark, "generations")
+    s = A.submissions(spark, sf).select("id", "time_used", "status")
+    t = F.col("time_used")
+    first = s.where(F.col("id") % 3 == 0).select("id", t.cast("int").alias("time_used"), F.array(
+        F.struct(F.lit(1).alias("no"), t.cast("int").alias("ms"))).alias("tests"))
+    second = s.where(F.col("id") % 3 == 1).select("id", "status", F.array(
+        F.struct((t / 4).cast("double").alias("ms"), F.col("status").alias("note"), F.lit(2).cast("bigint").alias("no"))).alias("tests"))
+    third = s.where(F.col("id") % 3 == 2).select("id", t.cast("bigint").alias("time_used"))
+    for g in (first, second, third):
+        GENS.append_generation(g, base)
+    one = F.get(F.col("tests"), 0)
+    return GENS.read_generations(spark, base).select(
+        "id", "time_used", "status", one["no"].alias("no"), one["ms"].alias("ms"), one["note"].alias("note"))
+
+
+@query("ingest_rejects")
+def q_ingest_rejects(spark, sf):
+    """Result lines, some damaged on the way: the lines that are no results."""
+    lines = FILES.export_test_results(test_results(spark, sf))
+    v = F.col("value")
+    n = F.length(v) % 5
+    damaged = lines.select(F.when(n == 0, F.concat(v, F.lit(";x"))).when(n == 1, F.concat(F.lit("x"), v)).otherwise(v).alias("value"))
+    _, bad = FILES.parse_test_result_lines(damaged)
+    return bad.select("value", F.col("n_items").cast("bigint").alias("n_items"))
 
 
 @query("skip_existing_output")

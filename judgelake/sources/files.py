@@ -1,16 +1,10 @@
 """Sources and sinks: candidate scans (SRC1), directory scans with lineage
-(SRC2), tolerant scans (SRC3), test-case archives (SRC4), scorer result
-files (SRC5 / SNK1), the slow-checker registry JSON (SRC6), widening append
-(SNK2), skip-existing (SNK3) and the rejects store (SNK4)."""
+(SRC2), scorer result files (SRC5 / SNK1), skip-existing (SNK3) and the rejects
+store (SNK4). Tolerant scans (SRC3) are in ``tolerant``, appends (SNK2) in ``generations``."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +34,7 @@ MULTI_COLUMNS = SINGLE_COLUMNS + ["time_limit", "memory_limit"]
 
 
 # --------------------------------------------------------------------------
-# SRC1-SRC3 parquet scans
+# SRC1, SRC2 parquet scans
 # --------------------------------------------------------------------------
 
 def scan_candidates(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:
@@ -68,68 +62,6 @@ def scan_dir_lineage(spark: SparkSession, directory: str, suffix: str = ".parque
     return df
 
 
-def scan_tolerant(spark: SparkSession, directory: str, schema: T.StructType | None = None
-                  ) -> tuple[DataFrame, DataFrame]:
-    """SRC3: unreadable files are skipped and reported; the job goes on.
-    Returns (rows, skipped files). A Parquet file ends with the length of its
-    footer and the mark PAR1: every listed file is judged by those, so a
-    valid file without rows is not reported."""
-    r = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet")
-    if schema is not None:
-        r = r.schema(schema)
-    rows = r.parquet(directory).withColumn("source_file", F.col("_metadata.file_path"))
-    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory)
-              .select(F.col("path").alias("source_file"), "length", F.right("content", F.lit(8)).alias("end")))
-    # The length is little-endian: its four bytes in reverse order read as hex.
-    size = F.conv(F.concat(*[F.hex(F.substring(F.col("end"), i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("bigint")
-    good = (F.col("length") >= 12) & (F.substring("end", 5, 4) == F.lit(b"PAR1")) & (size <= F.col("length") - 12)
-    skipped = listed.where(~F.coalesce(good, F.lit(False))).select("source_file", F.lit("unreadable").alias("reason"))
-    return rows, skipped
-
-
-# --------------------------------------------------------------------------
-# SRC4 test-case archives
-# --------------------------------------------------------------------------
-
-_MEMBERS = T.StructType([T.StructField("problem_id", T.StringType()), T.StructField("order", T.LongType()),
-                         T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()),
-                         T.StructField("stem", T.StringType()), T.StructField("content", T.StringType())])
-
-
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for pid, blob in zip(b["problem_id"], b["content"]):
-            with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                for i, info in enumerate(z.infolist()):
-                    base = info.filename.rsplit("/", 1)[-1]
-                    if info.is_dir() or "." not in base:
-                        continue
-                    stem, ext = base.rsplit(".", 1)
-                    if ext not in ("in", "out"):
-                        continue
-                    text = z.read(info).decode("utf-8", errors="replace")
-                    rows.append((pid, i, base, ext, stem, text))
-        yield pd.DataFrame(rows, columns=[f.name for f in _MEMBERS.fields])
-
-
-def ingest_testcase_archives(spark: SparkSession, pattern: str) -> DataFrame:
-    """SRC4: ZIP archives (one per problem, named <problem>.zip): keep the
-    ``.in`` / ``.out`` members at any depth, flatten to the base name (a
-    later duplicate wins), pair by stem; one row per (problem, stem) with
-    input and expected (NULL when the ``.out`` is missing). Each archive is
-    unpacked inside one task (an archive is one file); rows then shuffle by
-    problem like any other table."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(pattern)
-             .select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("problem_id"), "content"))
-    members = files.mapInPandas(_unzip, _MEMBERS)
-    w = Window.partitionBy("problem_id", "name").orderBy(F.col("order").desc())
-    last = members.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "order")
-    ins = last.where(F.col("kind") == "in").select("problem_id", "stem", F.col("content").alias("input"))
-    outs = last.where(F.col("kind") == "out").select("problem_id", "stem", F.col("content").alias("expected"))
-    return ins.join(outs, ["problem_id", "stem"], "left")
-
-
 # --------------------------------------------------------------------------
 # SRC5 / SNK1 scorer result lines
 # --------------------------------------------------------------------------
@@ -203,26 +135,9 @@ def ingest_test_results(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 # --------------------------------------------------------------------------
-# SRC6 slow registry JSON, SNK2 widening append, SNK3 skip existing, SNK4
+# SNK3 skip existing, SNK4
 # --------------------------------------------------------------------------
 
-_REGISTRY_JSON = ("map<string, struct<reason:string, first_seen:string, "
-                  "test_cases:map<string, struct<status:string, time:string, last_seen:string>>>>")
-
-
-def ingest_slow_registry(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: the registry JSON object -> the set of problem ids (keys)."""
-    whole = spark.read.option("wholetext", "true").text(path)
-    m = F.from_json(F.col("value"), _REGISTRY_JSON)
-    return whole.select(F.explode(F.map_keys(m)).alias("problem_id")).distinct()
-
-
-def append_widening(old: DataFrame, new: DataFrame) -> DataFrame:
-    """SNK2: union by name with missing columns as NULL; Spark widens the
-    column types to their common type (int + bigint -> bigint)."""
-    return old.unionByName(new, allowMissingColumns=True)
-
-
 def write_versioned(df: DataFrame, base: str, version: int, mode: str = "errorifexists") -> str:
     """Write one immutable version (``<base>/v=<n>``) instead of rewriting
     in place, so concurrent readers and retried jobs never see half a file."""
