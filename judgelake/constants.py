@@ -95,6 +95,16 @@ MSG_RANGE = "%1$s %4$s violates the range [%5$s, %6$s]"
 MSG_RANGE_NAME = "%1$s parameter [name=%2$s] equals to %4$s, violates the range [%5$s, %6$s]"
 MSG_RANGE_INDEX = "%1$s element [index=%3$s] equals to %4$s, violates the range [%5$s, %6$s]"
 MSG_RANGE_NAME_INDEX = "%1$s element %2$s[%3$s] equals to %4$s, violates the range [%5$s, %6$s]"
+# ---- fixed values: lines of a test overview ----
+LOG_BOUNDS = "\"%s\":%s%s"
+LOG_MIN_HIT, LOG_MAX_HIT = " min-value-hit", " max-value-hit"
+LOG_CONSTANT = "constant-bounds \"%s\": %s %s"
+LOG_FEATURE = "feature \"%s\":%s"
+LOG_FEATURE_HIT = " hit"
+LOG_VARIABLE = "variable \"%s\""
+ERR_FEATURE_TWICE, ERR_FEATURE_UNKNOWN = "feature declared twice", "feature not declared"
+
+# ---- fixed values: kinds of checked tokens ----
 # kind -> (expected what, at the end of the text, label of a range violation)
 TOKEN_KINDS = {
     "int": ("integer", "int64", "Integer"),

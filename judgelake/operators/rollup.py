@@ -175,16 +175,17 @@ def first_correct_code(subs: DataFrame, verdicts: DataFrame, compiles: DataFrame
     if compiles is not None:
         cand = cand.join(compiles.select("submission_id", "compiles"), "submission_id", "left")
         good = good & F.coalesce(F.col("compiles"), F.lit(False))
-    g = cand.groupBy(problem_col).agg(
-        F.min(F.when(good, F.struct(F.col("pos").alias("pos"), F.col("code").alias("code"),
-                                    F.col("submission_id").alias("sid")))).alias("_first"),
-        F.count(F.lit(1)).alias("_n_cpp"),
-        F.collect_list(F.col("pos")).alias("_positions"))
-    first = F.col("_first")
-    tried = F.when(first.isNull(), F.col("_n_cpp")).otherwise(
-        F.size(F.filter(F.col("_positions"), lambda p: p <= first.pos)))
-    return g.select(problem_col, first.code.alias("correct_code"), first.pos.alias("correct_pos"),
-                    first.sid.alias("correct_submission_id"), tried.cast("bigint").alias("attempts"))
+    # positions decide; the winner's code is joined at the end
+    narrow = cand.select(problem_col, "pos", "submission_id", good.alias("_good"))
+    first = narrow.groupBy(problem_col).agg(
+        F.min(F.when(F.col("_good"), F.struct(F.col("pos").alias("pos"), F.col("submission_id").alias("sid")))).alias("_first"))
+    tried = narrow.join(first, problem_col).groupBy(problem_col).agg(
+        F.count_if(F.col("_first").isNull() | (F.col("pos") <= F.col("_first.pos"))).alias("attempts"), F.first("_first").alias("_first"))
+    code = subs.select(F.col(problem_col).alias("_p"), F.col("submission_id").alias("_sid"), F.col("pos").alias("_pos"), "code")
+    j = tried.join(code, (F.col(problem_col) == F.col("_p")) & (F.col("_first.sid") == F.col("_sid"))
+                   & (F.col("_first.pos") == F.col("_pos")), "left")
+    return j.select(problem_col, F.col("code").alias("correct_code"), F.col("_first.pos").alias("correct_pos"),
+                    F.col("_first.sid").alias("correct_submission_id"), F.col("attempts").cast("bigint").alias("attempts"))
 
 
 # --------------------------------------------------------------------------

@@ -73,6 +73,7 @@ def register_validator(fn: Callable[[int, str], tuple[bool, str, list[tuple[str,
 def line_validator(tid: int, text: str):
     """A shipped validator: every line at most 1000 characters; reads the
     number of lines and words."""
+    text = text or ""
     lines = text.split("\n")
     long_line = next((i for i, l in enumerate(lines, 1) if len(l) > 1000), None)
     msg = "" if long_line is None else f"line {long_line} is longer than 1000 characters"

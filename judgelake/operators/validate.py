@@ -90,22 +90,23 @@ def strict_layout_check(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """T5: strict mode: every line ends with a line feed, single spaces
     between tokens, no leading / trailing blanks, no tabs or CR, no empty
     line before the end. Adds the first breach (line number and reason)."""
-    lines = texts.select("*", F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_i", "_l"),
-                         F.size(F.split(F.col(text_col), "\n", -1)).alias("_n"))
-    l = F.col("_l")
-    last = F.col("_i") + 1 == F.col("_n")
-    reason = (F.when(last, F.when(l != "", F.lit("missing final line feed")))
-               .when(l == "", F.lit("empty line"))
-               .when(l.contains("\r"), F.lit("carriage return"))
-               .when(l.startswith(" "), F.lit("leading space"))
-               .when(l.endswith(" "), F.lit("trailing space"))
-               .when(l.contains("  "), F.lit("double space"))
-               .when(l.contains("\t"), F.lit("tab")))
+    lines = F.split(F.col(text_col), "\n", -1)
+
+    def reason(l: Column) -> Column:
+        return (F.when(l == "", F.lit("empty line"))
+                 .when(l.contains("\r"), F.lit("carriage return"))
+                 .when(l.startswith(" "), F.lit("leading space"))
+                 .when(l.endswith(" "), F.lit("trailing space"))
+                 .when(l.contains("  "), F.lit("double space"))
+                 .when(l.contains("\t"), F.lit("tab")))
+    whole = F.slice(lines, F.lit(1), F.size(lines) - 1)  # what follows the last line feed is no line
+    found = F.filter(F.transform(whole, lambda l, i: F.struct((i + 1).cast("bigint").alias("line"), reason(l).alias("reason"))),
+                     lambda x: x["reason"].isNotNull())
+    last = F.struct(F.size(lines).cast("bigint").alias("line"), F.when(F.element_at(lines, -1) != "", F.lit("missing final line feed")).alias("reason"))
+    first = F.coalesce(F.get(found, F.lit(0)), F.when(last["reason"].isNotNull(), last))
     keys = [c for c in texts.columns if c != text_col]
-    g = lines.withColumn("_r", reason).groupBy(*keys).agg(
-        F.min(F.when(F.col("_r").isNotNull(), F.struct((F.col("_i") + 1).alias("line"),
-                                                      F.col("_r").alias("reason")))).alias("_b"))
-    return g.select(*keys, F.col("_b.line").cast("bigint").alias("bad_line"), F.col("_b.reason").alias("reason"))
+    # the generator keeps the rule from being evaluated once per field
+    return texts.select(*keys, F.explode(F.array(first)).alias("_b")).select(*keys, F.col("_b.line").alias("bad_line"), F.col("_b.reason").alias("reason"))
 
 
 def compare_token_lists(expected: Column, found: Column) -> Column:

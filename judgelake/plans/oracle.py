@@ -1151,3 +1151,36 @@ SQL["validate_constraints"] = _with(_TEXTS) + "SELECT * FROM found"
 
 SQL["first_violations"] = _with(_TEXTS) + """
 SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY text_id, set_id ORDER BY position, kind, name, message) = 1"""
+
+SQL["validator_udf"] = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
+w AS (SELECT doc_id, len(ls) AS n_lines, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n_words,
+             list_position(list_transform(ls, lambda x: length(x) > 1000), true) AS long_line FROM l)
+SELECT doc_id AS text_id, coalesce(long_line, 0) = 0 AS ok,
+       CASE WHEN coalesce(long_line, 0) = 0 THEN '' ELSE 'line ' || long_line || ' is longer than 1000 characters' END AS message,
+       v.variable, CAST(CASE v.variable WHEN 'n_lines' THEN n_lines ELSE n_words END AS DOUBLE) AS value
+FROM w, (VALUES ('n_lines'), ('n_words')) v(variable)"""
+
+SQL["validator_overview"] = """
+WITH d AS (SELECT doc_id, lang, text, len(string_split(text, chr(10))) AS lines,
+                  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents),
+o AS (SELECT bool_or(lines = 1) AS l1, bool_or(lines = 1000) AS l2, bool_or(words = 1) AS w1, bool_or(abs(words / 4 - 0.25) < 1e-12) AS s1,
+             count(DISTINCT lang = 'de') AS bounds, max(CASE WHEN lang = 'de' THEN '20000' ELSE '21000' END) AS most,
+             bool_or(lines > 1) AS several, bool_or(regexp_matches(text, '[0-9]')) AS digits FROM d)
+SELECT 'bounds' AS section, 'lines' AS name, '"lines":' || CASE WHEN l1 THEN ' min-value-hit' ELSE '' END
+       || CASE WHEN l2 THEN ' max-value-hit' ELSE '' END AS line FROM o
+UNION ALL SELECT 'bounds', 'words', '"words":' || CASE WHEN w1 THEN ' min-value-hit' ELSE '' END || ' max-value-hit' FROM o
+UNION ALL SELECT 'bounds', 'share', '"share":' || CASE WHEN s1 THEN ' min-value-hit' ELSE '' END FROM o
+UNION ALL SELECT 'constant', 'lines', 'constant-bounds "lines": 1 1000'
+UNION ALL SELECT 'constant', 'words', 'constant-bounds "words": 1 ' || CASE WHEN bounds = 1 THEN most ELSE '?' END FROM o
+UNION ALL SELECT 'constant', 'share', 'constant-bounds "share": 0.25 ?'
+UNION ALL SELECT 'feature', 'several lines', 'feature "several lines":' || CASE WHEN several THEN ' hit' ELSE '' END FROM o
+UNION ALL SELECT 'feature', 'digits', 'feature "digits":' || CASE WHEN digits THEN ' hit' ELSE '' END FROM o
+UNION ALL SELECT 'feature', 'never', 'feature "never":'
+UNION ALL SELECT 'variable', v.n, 'variable "' || v.n || '"' FROM (VALUES ('lines'), ('words'), ('share')) v(n)"""
+
+SQL["scorer_states"] = _with(_TR, """,
+pg AS (SELECT submission_id, "group", sum(coalesce(points, 0)) AS gp, bool_and(verdict = 'OK') AS all_ok, max(timeConsumed) AS slowest
+       FROM tr GROUP BY submission_id, "group")""") + """
+SELECT submission_id, round(sum(CASE WHEN all_ok THEN gp ELSE 0 END) - 0.25 * ceil(max(slowest) / 1000), 3) AS score
+FROM pg GROUP BY submission_id"""

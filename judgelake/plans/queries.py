@@ -1348,3 +1348,36 @@ def q_validate_constraints(spark, sf):
 @query("first_violations")
 def q_first_violations(spark, sf):
     return CON.first_violations(q_validate_constraints(spark, sf), ["text_id", "set_id"])
+
+
+# --------------------------------------------------------------------------
+# U2 -> A13-A16 in one state, U3 by states
+# --------------------------------------------------------------------------
+
+from judgelake.operators import overview as OV, scorers as SC  # noqa: E402
+
+
+def _text_overview(tid: int, text: str, testset: str, group: str) -> OV.Validation:
+    """Reads lines and words; the word bound of a group is that of its texts."""
+    lines, words = text.split("\n"), len(text.split())
+    most = "20000" if group == "de" else "21000"
+    found = [f for f, on in (("several lines", len(lines) > 1), ("digits", any(c in "0123456789" for c in text)), ("undeclared", tid % 50 == 0)) if on]
+    return OV.Validation(len(lines) <= 1000, "", [
+        OV.Read("lines", len(lines), "1", "1000"), OV.Read("words~", words, "1", most), OV.Read("a1", 1, "0", "1"),
+        OV.Read("share", words / 4, "0.25", "9" * 40, False)], found)
+
+
+@query("validator_overview")
+def q_validator_overview(spark, sf):
+    """All four reports of one pass over whole texts, in two states merged."""
+    d = A.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text", F.col("lang").alias("group"))
+    events = written(OV.register_overview_validator(_text_overview)(d), "events")
+    declared = spark.createDataFrame([("several lines",), ("digits",), ("digits",), ("never",)], "feature string")
+    odd = F.col("text_id") % 2 == 1
+    state = OV.merge_overviews(OV.overview(events.where(odd), declared), OV.overview(events.where(~odd)))
+    return OV.overview_log(state)
+
+
+@query("scorer_states")
+def q_scorer_states(spark, sf):
+    return SC.score(test_results(spark, sf), SC.GroupScorer(penalty=0.25))
