@@ -70,21 +70,25 @@ def insert_if_absent(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.unionByName(add, allowMissingColumns=True)
 
 
+def _last_upload(files: DataFrame) -> DataFrame:
+    """One row per file name: the last by ``seq`` where the upload has that column (an archive may hold a
+    base name several times), else the greatest content."""
+    order = F.col("seq").cast("long") if "seq" in files.columns else F.lit(0).cast("long")
+    return files.groupBy("problem_id", "name").agg(F.max(F.struct(order.alias("seq"), F.col("content").alias("content")))["content"].alias("content"))
+
+
 def merge_testcases(old: DataFrame, new: DataFrame) -> DataFrame:
-    """M5 (POST): files merge by base name; a new file replaces an old one
-    of the same name, old files not in the upload stay."""
-    o = old.withColumn("_v", F.lit(0))
-    n = new.withColumn("_v", F.lit(1))
-    both = o.unionByName(n)
-    last = both.groupBy("problem_id", "name").agg(F.max(F.struct("_v", "content"))["content"].alias("content"))
-    return last
+    """M5 (POST): files merge by base name; a new file replaces an old one of the same name, old files not in
+    the upload stay; of equal names in the upload the last wins."""
+    fresh = _last_upload(new)
+    return fresh.unionByName(old.select("problem_id", "name", "content").join(fresh, ["problem_id", "name"], "left_anti"))
 
 
 def replace_testcases(old: DataFrame, new: DataFrame) -> DataFrame:
-    """M5 (PATCH): a problem in the upload gets exactly the uploaded set."""
+    """M5 (PATCH): a problem in the upload gets exactly the uploaded set; of equal names the last wins."""
     touched = new.select("problem_id").distinct()
-    keep = old.join(touched, "problem_id", "left_anti")
-    return keep.unionByName(new.dropDuplicates(["problem_id", "name"]))
+    keep = old.select("problem_id", "name", "content").join(touched, "problem_id", "left_anti")
+    return keep.unionByName(_last_upload(new))
 
 
 def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out: str = "ordinal",

@@ -111,6 +111,15 @@ def passed_submissions(results: DataFrame, keys: Sequence[str] = ("problem_id",
                                              F.col("code").alias("code")))).alias("passed"))
 
 
+def passed_rows(results: DataFrame, keys: Sequence[str] = ("problem_id", "label"), index_col: str = "pos") -> DataFrame:
+    """A3 as rows: per accepted entry the keys, its ``index``, its ``place`` among the group's accepted entries (from 0)
+    and its code. No group is collected; a large one is numbered over range parts."""
+    keys = list(keys)
+    acc = results.where(F.coalesce(F.col("success"), F.lit(False)) & (F.col("verdict") == K.ACCEPTED))
+    narrow = acc.select(*keys, F.col(index_col).alias("index"), "code")
+    return running_sum(narrow, keys, ["index"], F.lit(1), "place").select(*keys, "index", "place", "code")
+
+
 # --------------------------------------------------------------------------
 # A4 / A5 multi-version consensus
 # --------------------------------------------------------------------------

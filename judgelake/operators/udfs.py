@@ -27,14 +27,20 @@ def _tokens(s: str) -> list[str]:
     return _WS.split(s) if s else []
 
 
-def register_checker(name: str, fn: Callable[[str, str, str], tuple[str, str, float | None]]):
-    """Register a checker (input, output, answer) -> (outcome, message,
-    points) and return it as a vectorised pandas UDF returning a struct."""
-    @F.pandas_udf(CHECK_RESULT)
-    def checker(inp: pd.Series, out: pd.Series, ans: pd.Series) -> pd.DataFrame:
-        rows = [fn(i, o, a) for i, o, a in zip(inp, out, ans)]
-        return pd.DataFrame(rows, columns=["outcome", "message", "points"])
-    return checker
+def register_checker(name: str, fn: Callable[..., tuple[str, str, float | None]], context: bool = False):
+    """A checker (input, output, answer) -> (outcome, message, points) as a vectorised pandas UDF returning a
+    struct. With ``context`` it also takes the test's testset and group. The UDF carries ``name``."""
+    def frame(rows) -> pd.DataFrame:
+        return pd.DataFrame([fn(*r) for r in rows], columns=["outcome", "message", "points"])
+
+    def plain(inp: pd.Series, out: pd.Series, ans: pd.Series) -> pd.DataFrame:
+        return frame(zip(inp, out, ans))
+
+    def placed(inp: pd.Series, out: pd.Series, ans: pd.Series, testset: pd.Series, group: pd.Series) -> pd.DataFrame:
+        return frame(zip(inp, out, ans, testset, group))
+    chosen = placed if context else plain
+    chosen.__name__ = name
+    return F.pandas_udf(chosen, CHECK_RESULT)
 
 
 def token_checker(inp: str, out: str, ans: str):

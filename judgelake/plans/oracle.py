@@ -385,6 +385,10 @@ SELECT problem_id, label, CAST(count(*) AS BIGINT) AS n_passed,
        md5(string_agg(md5(code), ',' ORDER BY pos)) AS codes_md5
 FROM labelled WHERE success AND verdict = 'Accepted' GROUP BY problem_id, label"""
 
+SQL["passed_rows"] = _with(_LABELLED) + """
+SELECT problem_id, label, CAST(pos AS BIGINT) AS index, row_number() OVER (PARTITION BY problem_id, label ORDER BY pos) - 1 AS place,
+       md5(code) AS code_md5 FROM labelled WHERE success AND verdict = 'Accepted'"""
+
 SQL["version_consensus"] = _with(A._BASE_SQL, A.VERSION_RESULTS_SQL, """,
 v1 AS (SELECT * FROM version_results WHERE try_no = 1),
 full1 AS (""" + _every_version("v1") + """),

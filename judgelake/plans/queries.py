@@ -312,6 +312,12 @@ def q_passed_submissions(spark, sf):
                     F.md5(F.array_join(F.transform("passed", lambda x: F.md5(x["code"])), ",")).alias("codes_md5"))
 
 
+@query("passed_rows")
+def q_passed_rows(spark, sf):
+    p = rollup.passed_rows(_labelled_results(spark, sf))
+    return p.select("problem_id", "label", F.col("index").cast("bigint").alias("index"), "place", F.md5("code").alias("code_md5"))
+
+
 @query("version_consensus")
 def q_version_consensus(spark, sf):
     v = A.version_results(spark, sf).where(F.col("try_no") == 1)

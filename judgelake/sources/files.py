@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from judgelake import constants as K
 from judgelake.operators.ordered import running_sum
+from judgelake.sources.generations import append_widening  # noqa: F401  # SNK2
+from judgelake.sources.tolerant import scan_tolerant  # noqa: F401  # SRC3
 
 SUB_LIST = T.ArrayType(T.StructType([T.StructField("language", T.StringType()),
                                      T.StructField("code", T.StringType())]))
@@ -156,3 +158,12 @@ def write_rejects(failed: DataFrame) -> DataFrame:
     where and how they failed."""
     numbered = running_sum(failed, ["problem_id"], ["pos"], F.lit(1), "_before_it")
     return numbered.withColumn("reject_no", (F.col("_before_it") + 1).cast("int")).drop("_before_it")
+
+
+def output_sizes(spark: SparkSession, directory: str, suffix: str = ".parquet") -> DataFrame:
+    """output_file, bytes of the files of an output folder, and their TOTAL; read from the listing, not the files."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(directory)
+             .select(F.element_at(F.split("path", "/"), -1).alias("output_file"), F.col("length").alias("bytes")))
+    r = files.rollup("output_file").agg(F.sum("bytes").alias("bytes"), F.grouping("output_file").alias("_g"))
+    return r.select(F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col("output_file")).alias("output_file"),
+                    F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from judgelake import constants as K
 from judgelake.functions import text as TXT
-from judgelake.operators import curate, generate, joins, rollup, validate, verdict
+from judgelake.operators import curate, generate, joins, registry, rollup, udfs, validate, verdict
 from judgelake.sources import files
 
 
@@ -121,3 +121,45 @@ def test_long_stems_are_numbers(spark):
 def test_equal_outputs_need_no_normal_form(spark):
     df = spark.createDataFrame([("a \r\n\r\n", "a"), (None, "a"), ("a", "a"), ("\r", "")], "a string, b string")
     assert [r[0] for r in df.select(TXT.output_equal(F.col("a"), F.col("b"))).collect()] == [True, False, True, True]
+
+
+def test_last_upload_of_a_name_wins(spark):
+    files = "problem_id string, name string, content string"
+    old = spark.createDataFrame([("p", "1.in", "old"), ("p", "2.in", "old"), ("q", "1.in", "old")], files)
+    new = spark.createDataFrame([("p", "1.in", "z", 1), ("p", "1.in", "a", 2), ("p", "3.in", "n", 0)], files + ", seq int")
+    merged = {(r.problem_id, r.name): r.content for r in registry.merge_testcases(old, new).collect()}
+    assert merged == {("p", "1.in"): "a", ("p", "2.in"): "old", ("p", "3.in"): "n", ("q", "1.in"): "old"}
+    replaced = {(r.problem_id, r.name): r.content for r in registry.replace_testcases(old, new).collect()}
+    assert replaced == {("p", "1.in"): "a", ("p", "3.in"): "n", ("q", "1.in"): "old"}
+
+
+def test_checker_sees_testset_and_group(spark):
+    df = spark.createDataFrame([("i", "o", "o", "tests", "g1"), ("i", "o", "x", "pre", "")], "a string, b string, c string, t string, g string")
+    chk = udfs.register_checker("placed", lambda i, o, a, t, g: ("ok" if o == a else "wa", f"{t}/{g}", 1.0), context=True)
+    got = [tuple(r[0]) for r in df.select(chk("a", "b", "c", "t", "g")).collect()]
+    assert got == [("ok", "tests/g1", 1.0), ("wa", "pre/", 1.0)]
+
+
+def test_output_sizes_come_from_the_listing(spark, tmp_path):
+    for name, size in (("a.parquet", 10), ("b.parquet", 25), ("c.txt", 99)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    assert {r.output_file: r.bytes for r in files.output_sizes(spark, str(tmp_path)).collect()} == {"a.parquet": 10, "b.parquet": 25, "TOTAL": 35}
+
+
+def test_layout_check_reports_the_first_breach(spark):
+    cases = [("ok\n", None, None), ("a b\n c\n", 2, "leading space"), ("a  b\nc", 1, "double space"), ("a\nb", 2, "missing final line feed"),
+             ("a\n\n", 2, "empty line"), ("a\tb \n", 1, "trailing space"), ("a\tb\n", 1, "tab"), ("a\r\n", 1, "carriage return"),
+             ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "i int, text string")
+    got = {r.i: (r.bad_line, r.reason) for r in validate.strict_layout_check(df).collect()}
+    assert got == {i: (n, why) for i, (_, n, why) in enumerate(cases)}
+
+
+def test_first_correct_code_counts_the_tried(spark):
+    subs = spark.createDataFrame([("p", 1, 0, "cpp", "a"), ("p", 2, 1, "python", "b"), ("p", 3, 2, "cpp", " "), ("p", 4, 3, "cpp", "c"), ("p", 5, 4, "cpp", "d"),
+                                  ("q", 6, 0, "cpp", "e"), ("q", 7, 1, "cpp", "f")],
+                                 "problem_id string, submission_id long, pos int, language string, code string")
+    verdicts = spark.createDataFrame([(1, False), (4, True), (5, True), (6, False)], "submission_id long, passed boolean")
+    got = {r.problem_id: (r.correct_code, r.correct_pos, r.correct_submission_id, r.attempts)
+           for r in rollup.first_correct_code(subs, verdicts).collect()}
+    assert got == {"p": ("c", 3, 4, 2), "q": (None, None, None, 2)}
