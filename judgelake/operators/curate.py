@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from judgelake import constants as K
 from judgelake.functions.text import hack_url, nonblank
+from judgelake.session import written
 
 
 def _size0(c: Column) -> Column:
@@ -164,6 +165,25 @@ def passed_incorrect_evaluated(problems: DataFrame, evaluator, compile_log: Data
     return _records(el, accepted).drop("incorrect_positions")
 
 
+def evaluated_consensus(codes: DataFrame, evaluator, key: str = "code_id", versions: Sequence[str] = tuple(K.CPP_VERSIONS)) -> DataFrame:
+    """A4 through an evaluator (U4): ``codes`` (key, problem_id, code) are tried version by version, and a
+    code that failed, other than to compile, is not asked about again. A failed request counts as a System Error.
+    For C2 (the listed codes) and C3 (the kept ones); with a store, what is known costs a join."""
+    from judgelake.operators.rollup import version_consensus
+    left, results = written(codes.select(key, "problem_id", "code"), "codes"), None
+    for v in versions:
+        request = F.concat_ws("@", F.col(key).cast("string"), F.lit(v))
+        judged = evaluator.evaluate(left.select(request.alias("request_id"), "problem_id", "code", F.lit(v).alias("language")))
+        verdict = F.when(F.coalesce("success", F.lit(False)), F.col("verdict")).otherwise(F.lit(K.SYSTEM_ERROR))
+        rows = left.select(key, request.alias("request_id")).join(judged, "request_id", "left").select(
+            key, F.lit(v).alias("version"), verdict.alias("verdict"), (verdict == K.ACCEPTED).alias("passed"), F.lit(None).cast("int").alias("failed_test"))
+        rows = written(rows, "version-results")
+        results = rows if results is None else results.unionByName(rows)
+        stopped = rows.where(~F.col("passed") & (F.col("verdict") != K.COMPILE_ERROR)).select(key)
+        left = written(left.join(stopped, key, "left_anti"), "codes")
+    return version_consensus(results, versions, [key])
+
+
 def passed_incorrect_multi(problems: DataFrame, consensus: DataFrame, positions: bool = False) -> DataFrame:
     """As C1 with the multi-version consensus (A4) as the verdict and
     no compile gate. ``consensus``: (id, kind, pos, all_passed). ``positions`` also gives the

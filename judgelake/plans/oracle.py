@@ -567,6 +567,7 @@ c2 AS ({_record_select("kept2", "cor2")})"""
 SQL["passed_incorrect_multi"] = _with(_C2) + "SELECT * FROM c2"
 
 SQL["resume_batches"] = SQL["passed_incorrect_multi"]
+SQL["evaluated_multi"] = SQL["passed_incorrect_multi"]
 SQL["curation_state"] = _with(_C2) + """
 SELECT el.id AS problem_id, 'processed' AS state, c2.n_codes FROM el LEFT JOIN c2 ON c2.id = el.id"""
 

@@ -526,6 +526,23 @@ def q_passed_incorrect_multi(spark, sf):
     return _flat_record(curate.passed_incorrect_multi(curation_problems(spark, sf), _consensus_by_position(spark, sf)))
 
 
+@query("evaluated_multi")
+def q_evaluated_multi(spark, sf):
+    """C2 through an evaluator, version by version, over the logged first tries."""
+    problems = curation_problems(spark, sf)
+    places = A.submission_places(spark, sf)
+    at = F.concat_ws(":", "problem_id", "kind", F.col("pos").cast("string"))
+    log = A.version_results(spark, sf).where(F.col("try_no") == 1).select("code_id", "version", F.col("verdict").alias("status"))
+    log = log.join(places.select(F.col("submission_id").alias("code_id"), at.alias("_at")), "code_id").select(
+        F.concat_ws("@", "_at", "version").alias("request_id"), "status")
+    codes = curate.listed_submissions(curate.eligible_problems(problems), F.col("code")).withColumnRenamed("id", "problem_id")
+    codes = codes.withColumn("code_id", at)
+    cons = curate.evaluated_consensus(codes, UDF.RunLogEvaluator(log, "request_id"))
+    part = F.split("code_id", ":")
+    cons = cons.select(part[0].alias("id"), part[1].alias("kind"), part[2].cast("int").alias("pos"), "all_passed")
+    return _flat_record(curate.passed_incorrect_multi(problems, cons))
+
+
 def _retest_consensus(spark, sf):
     """Re-test log: the later tries of each (code, version), renumbered
     from 1, resolved with the submit retry rule (V11) and walked (A4)."""

@@ -114,3 +114,43 @@ def test_batches_go_on_behind_the_last_commit(spark):
     assert deltas.state_of(spark, f"{base}/state") == (None, [0, 1, 2])
     plan = resume.pending(spark, files, CANDIDATE_SCHEMA, f"{base}/state")._jdf.queryExecution().toString()
     assert "code:string" not in plan.split("== Physical Plan ==")[1]
+
+
+class ByVersion:
+    """A code names the versions that fail it: 'w:c++17' is wrong there, 'x:c++14' does not compile there."""
+
+    def __init__(self):
+        self.asked = []
+
+    def evaluate(self, requests):
+        self.asked.append(sorted(r[0] for r in requests.select(F.concat_ws("/", "language", "code")).collect()))
+        code, version = F.col("code"), F.col("language")
+        verdict = (F.when(code.contains(F.concat(F.lit("w:"), version)), K.WRONG_ANSWER)
+                    .when(code.contains(F.concat(F.lit("x:"), version)), K.COMPILE_ERROR).otherwise(K.ACCEPTED))
+        return requests.select("request_id", verdict.alias("verdict"), (~code.contains("lost")).alias("success"))
+
+
+def test_versions_are_tried_until_one_fails(spark):
+    codes = ["fine", "w:c++14", "x:c++14 w:c++20", "x:c++14 x:c++17 x:c++20 x:c++23", "lost"]
+    df = spark.createDataFrame([(k, "p", c) for k, c in enumerate(codes)], "code_id long, problem_id string, code string")
+    inner = ByVersion()
+    got = {r.code_id: (r.all_passed, r.stopped_at, r.fail_verdict, r.untestable) for r in curate.evaluated_consensus(df, inner).collect()}
+    assert got == {0: (True, None, None, False), 1: (False, "c++14", K.WRONG_ANSWER, False), 2: (False, "c++20", K.WRONG_ANSWER, False),
+                   3: (True, None, None, True), 4: (False, "c++14", K.SYSTEM_ERROR, False)}
+    assert [len(a) for a in inner.asked] == [5, 3, 3, 2]  # nobody asks about a code that has failed
+
+
+def test_refilter_through_an_evaluator(spark):
+    curated = spark.createDataFrame([("1_A", ["fine", "w:c++17", "also fine"]), ("2_B", ["w:c++14"]), ("3_C", ["x:c++14"])],
+                                    "id string, incorrect_codes array<string>")
+    codes = curated.select(F.col("id").alias("problem_id"), F.posexplode("incorrect_codes").alias("pos", "code"))
+    codes = codes.withColumn("code_id", F.concat_ws(":", "problem_id", "pos"))
+    store = udfs.StoredEvaluator(ByVersion(), scratch_path(spark, f"test-store-{random.random()}"))
+    for _ in range(2):
+        cons = curate.evaluated_consensus(codes, store)
+        cons = cons.join(codes.select("code_id", F.col("problem_id").alias("id"), "pos"), "code_id")
+        kept, rejects = curate.refilter_codes(curated, cons)
+        assert {r.id: r.incorrect_codes for r in kept.collect()} == {"1_A": ["fine", "also fine"], "3_C": ["x:c++14"]}
+        assert {(r.problem_id, r.reject_no, r.pos, r.code, r.stopped_at) for r in rejects.collect()} == {
+            ("1_A", 1, 1, "w:c++17", "c++17"), ("2_B", 1, 0, "w:c++14", "c++14")}
+    assert len(store.inner.asked) == 4  # the second time the store answers
