@@ -35,7 +35,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``cut`` wrote. Only for tables that nothing to come reads: a lost executor's tasks
+    are computed from the tables that replaced it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
