@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from judgelake import constants as K
@@ -33,7 +32,7 @@ class EarlyFinish(StatefulProcessor):
         self.progress = handle.getValueState("progress", PROGRESS)
         self.waiting = handle.getMapState("waiting", "ordinal long", CASE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
         known = self.progress.get()
         if known is None:
@@ -45,17 +44,17 @@ class EarlyFinish(StatefulProcessor):
                 pass
             return
         came, total = {}, 0
-        for frame in rows:
-            for o, n, h, s, t, m in zip(frame["ordinal"], frame["total"], frame["has_expected"], frame["status"], frame["time_used"], frame["message"]):
-                came[int(o)] = (bool(h), s, None if pd.isna(t) else int(t), m)
-                total = int(n)
+        for r in rows:
+            came[r["ordinal"]] = (bool(r["has_expected"]), r["status"], r["time_used"], r["message"])
+            total = r["total"]
         result = None
         while want <= total:
             case = came.pop(want, None)
-            if case is None and waiting and self.waiting.containsKey((want,)):
+            if case is None and waiting:
                 case = self.waiting.getValue((want,))
-                self.waiting.removeKey((want,))
-                waiting -= 1
+                if case is not None:
+                    self.waiting.removeKey((want,))
+                    waiting -= 1
             if case is None:
                 break
             expected, status, time_used, message = case
@@ -77,11 +76,9 @@ class EarlyFinish(StatefulProcessor):
         if waiting:
             self.waiting.clear()
         self.progress.update((want, passed, longest, 0, True, now))
-        values = (int(key[0]), *result)
-        names = ("submission_id", "status", "time_used", "score", "message", "failed_case")
-        yield pd.DataFrame({n: [v] for n, v in zip(names, values)}, dtype=object)
+        yield Row(submission_id=key[0], status=result[0], time_used=result[1], score=result[2], message=result[3], failed_case=result[4])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.progress.get()
         if known is not None:
             due = known[5] + (self.keep_closed_ms if known[4] else self.keep_idle_ms)
@@ -103,5 +100,5 @@ def stream_early_finish(cases: DataFrame, keep_closed_ms: int = 24 * HOUR_MS, ke
     A closed submission ignores rows for ``keep_closed_ms`` after it closed; one whose
     cases never come in is dropped ``keep_idle_ms`` after its last contact. State lies in RocksDB."""
     cases.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return cases.groupBy("submission_id").transformWithStateInPandas(
+    return cases.groupBy("submission_id").transformWithState(
         EarlyFinish(keep_closed_ms, keep_idle_ms), OUT, "Append", "ProcessingTime")

@@ -183,3 +183,47 @@ def test_registry_stream_over_restarts(spark, base):
         assert got == want
     assert deltas.state_of(spark, f"{base}/table")[0] == 2
     assert spark.read.parquet(f"{base}/table/delta/batch=3").count() == 30
+
+
+def test_early_finish_asks_its_state_seldom():
+    """One read and one write of the progress; a waiting case is fetched without a question before it."""
+    from judgelake.streaming.early_finish import EarlyFinish
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        def __init__(self, *_):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("get", "getValue"):
+                    return self.held.get(a[0] if a else None)
+                if name in ("update", "updateValue"):
+                    self.held[a[0] if len(a) > 1 else None] = a[-1]
+                if name == "removeKey":
+                    self.held.pop(a[0])
+                return name == "containsKey" and a[0] in self.held
+            return call
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: State()
+
+        def registerTimer(self, at):
+            pass
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+    p = EarlyFinish(10, 10)
+    p.init(Handle())
+
+    def case(o):
+        return Row(ordinal=o, total=3, has_expected=True, status="Accepted", time_used=o, message="m")
+    assert list(p.handleInputRows((7,), iter([case(2)]), Now())) == []
+    del calls[:]
+    out = list(p.handleInputRows((7,), iter([case(1), case(3)]), Now()))
+    assert [(r.submission_id, r.status, r.time_used, r.failed_case) for r in out] == [(7, "Accepted", 3, 0)]
+    assert calls == ["get", "getValue", "removeKey", "update"]
