@@ -18,6 +18,7 @@ from judgelake.functions.numeric import once
 from judgelake.operators.ordered import previous_row
 from judgelake.operators.patterns import drawn
 from judgelake.operators.registry import dense_ordinal
+from judgelake.session import written
 
 TWO60 = float(2 ** 60)
 
@@ -151,10 +152,14 @@ def random_partition(groups: DataFrame, seed, key: str = "group_id") -> DataFram
     n = F.col("size") - 1  # draws
     blocks = g.where(n > 0).withColumn("_block", F.explode(F.sequence(F.expr("0L"), _div(n - 1, F.lit(DRAW_BLOCK).cast("bigint")))))
     first = F.col("_block") * DRAW_BLOCK
-    draws = blocks.repartition(key, "_block").withColumn("_i", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, n) - 1)))
+    # a block's work does not show in its bytes, by which Spark would join partitions: their number is set
+    spark = groups.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    draws = blocks.repartition(parts, key, "_block").withColumn("_i", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, n) - 1)))
     cut = keyed_permutation(F.col("_i"), F.col("_free") + n, seed, F.col(key)) + 1
     ends = g.select(key, "min_part", (F.col("_free") + F.col("size")).alias("cut"))
-    cuts = previous_row(draws.select(key, "min_part", cut.alias("cut")).unionByName(ends), [key], "cut", "part_no", "_prev")
+    made = written(draws.select(key, "min_part", cut.alias("cut")).unionByName(ends), "cuts")  # dealing by range reads them twice
+    cuts = previous_row(made, [key], "cut", "part_no", "_prev")
     return cuts.select(key, "part_no", (F.col("cut") - F.coalesce("_prev", F.lit(0)) - 1 + F.col("min_part")).alias("part"))
 
 

@@ -55,3 +55,17 @@ def test_previous_row_over_parts(spark):
     rows = [(None if k == 2 else k, v * 3) for k in range(4) for v in range(500 if k == 1 else 20)]
     got = ordered.previous_row(spark.createDataFrame(rows, "k long, v long"), ["k"], "v", "rank", "prev").collect()
     assert all(r.rank == r.v // 3 and r.prev == (r.v - 3 if r.v else None) for r in got) and len(got) == len(rows)
+
+
+def test_partition_draws_are_made_once_and_spread(spark, monkeypatch):
+    from judgelake.operators import generate as GEN
+    seen, real = [], GEN.written
+
+    def noted(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+    monkeypatch.setattr(GEN, "written", noted)
+    groups = spark.createDataFrame([(k, 5, 100, 2) for k in range(8)], "group_id long, size long, total long, min_part long")
+    got = GEN.random_partition(groups, 3).groupBy("group_id").sum("part").collect()
+    assert len(got) == 8 and all(r[1] == 100 for r in got)
+    assert len(seen) == 1 and "REPARTITION_BY_NUM" in seen[0]
