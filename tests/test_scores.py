@@ -66,3 +66,38 @@ def test_states_get_the_fields_the_scorer_names(spark, small_batches):
     df = results(spark)
     want = {r.submission_id: r.score for r in SC.score(df, All(0.5)).collect()}
     assert len(want) == 40 and {r.submission_id: r.score for r in SC.score(df, Few(0.5)).collect()} == want
+
+
+def test_states_of_many_submissions_at_once_are_those_one_by_one(spark, small_batches, monkeypatch):
+    class Slow(SC.GroupScorer):
+        update_many = None
+
+    class Once(SC.GroupScorer):
+        def update(self, state, rows):
+            raise AssertionError("a call per submission")
+
+        def update_many(self, results):
+            assert list(results.columns) == [*self.fields, "submission"]
+            return super().update_many(results)
+
+    class Own(SC.GroupScorer):
+        def update(self, state, rows):
+            return {}, 0  # a scorer's own update is not passed over
+
+    class Short(SC.GroupScorer):
+        def update_many(self, results):
+            return super().update_many(results)[1:]
+    df = results(spark)
+    want = {r.submission_id: r.score for r in SC.score(df, Slow(0.25)).collect()}
+    assert len(want) == 40
+    for rows in (1, 20, SC.FRAME_ROWS):  # submissions that go on in the next frame, too
+        monkeypatch.setattr(SC._larger, "__defaults__", (rows,))
+        assert {r.submission_id: r.score for r in SC.score(df, Once(0.25)).collect()} == want
+    assert {r.score for r in SC.score(df, Own()).collect()} == {0.0}
+    with pytest.raises(Exception, match="one state per submission"):
+        SC.score(df, Short()).collect()
+    frame = df.toPandas().dropna(subset="submission_id").sort_values("submission_id", kind="stable")
+    frame["submission"] = frame.groupby("submission_id").ngroup()
+    frame.loc[frame.index[:3], "group"] = None
+    one_by_one = [SC.GroupScorer().update(SC.GroupScorer().init(), f) for _, f in frame.groupby("submission")]
+    assert SC.GroupScorer().update_many(frame) == one_by_one
