@@ -306,3 +306,32 @@ def test_empty_tables(spark):
                  secret_scan.secret_spans(docs), licenses.license_scan(docs)):
         assert made.count() == 0
     assert docs.select(F.lit(1)).count() == 0
+
+
+def test_secret_network_learns_from_all_findings(spark):
+    """More findings than a task trains on; those of the second kind come late in the order of their hashes."""
+    rng = np.random.default_rng(1)
+
+    def window(letters, n):
+        w = "".join(rng.choice(list(letters), n))
+        return secret_scan.context(f"is {w} so", 3, 3 + n)
+    rows = [(i, 1, window("0123456789abcdef", 40)) for i in range(3200)] + [(5000 + i, 1, window("xz", 30)) for i in range(1600)]
+    rows += [(i, 0, window("aeinorst", 14)) for i in range(3200)]
+    late = [window("xz", 30) for _ in range(100)]
+    for shard_rows in (1000, 100_000):
+        model = secret_scan.fit_secret_model(spark.createDataFrame(rows, "h long, label int, window binary"), shard_rows=shard_rows)
+        assert (model.probability(late) >= model.threshold).mean() > 0.9
+        assert (model.probability([window("aeinorst", 14) for _ in range(100)]) >= model.threshold).mean() < 0.1
+
+
+def test_secret_plain_runs_are_all_examples():
+    text = "internationalisation of characteristics, straightforwardly accomplished everywhere"
+    assert [text[a:b] for a, b in secret_scan.plain_runs(text)] == ["internationalisation", "characteristics", "straightforwardly", "accomplished"]
+
+
+def test_secret_order_statistic_is_exact(spark):
+    rng = random.Random(3)
+    values = [rng.choice([0.5, -2.25, rng.gauss(0, 1), rng.gauss(100, 1e-6)]) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for rank in (0, 7, 250, 499):
+        assert secret_scan.order_statistic(df, rank, bins=8) == sorted(values)[rank]
