@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgelake.llm.common import cogrouped, crc_mod, cut, map_arrow, one_row, release, table, text_batches, tree_merge
+from judgelake.llm.common import cogrouped, crc_mod, cut, discard, map_arrow, one_row, release, table, text_batches, tree_merge
 
 #: Word classes; class 0 is the end token's and the last one that of rare and unknown words.
 CLASSES = 32
@@ -27,6 +27,8 @@ DISCOUNT = 0.75
 ALPHA = 5.0
 #: No word holds white space, so this stands for the end of a text.
 END = "\n"
+#: A word's neighbour counts in a block as the places that are not zero, most often a few of all.
+COUNT = np.dtype([("place", "u1"), ("n", "<u4")])
 
 
 class _Ids(dict):
@@ -132,6 +134,23 @@ def exchange_gain(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, own:
     return gain
 
 
+def sparse_rows(counts: np.ndarray) -> list[bytes]:
+    """Each row of a matrix of counts (at most 256 columns) as ``COUNT`` records."""
+    row, place = np.nonzero(counts)
+    out = np.empty(len(row), COUNT)
+    out["place"], out["n"] = place, counts[row, place]
+    data = out.tobytes()
+    ends = np.cumsum(np.bincount(row, minlength=len(counts))) * COUNT.itemsize
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def add_sparse(total: np.ndarray, at: np.ndarray, rows: list[bytes]) -> None:
+    """Add the counts of ``rows`` to the rows ``at`` of ``total``."""
+    width = np.fromiter(map(len, rows), np.int64, len(rows)) // COUNT.itemsize
+    counts = np.frombuffer(b"".join(rows), COUNT)
+    np.add.at(total.reshape(-1), np.repeat(at, width) * total.shape[1] + counts["place"], counts["n"].astype(total.dtype))
+
+
 def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: int) -> DataFrame:
     """One sweep of the exchange algorithm: ``entries`` with every clustered word in its best class.
 
@@ -157,11 +176,9 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
         at = place[lids[ok]] * width
         counts = np.bincount(at + before[ok], minlength=len(own) * width)
         counts += np.bincount(at + classes + after[ok], minlength=len(own) * width)
-        data, size = counts.astype("<i4").tobytes(), 4 * width
         matrix = np.bincount(before[train] * classes + token[train], minlength=classes * classes)
         return pd.DataFrame({"word": [None, *right["word"]], "cls": [0, *right["cls"]], "at": row.block, "lid": [0, *own],
-                             "profile": [zstandard.compress(matrix.astype(np.int64).tobytes()),
-                                         *(data[i:i + size] for i in range(0, len(data), size))]})
+                             "profile": [zstandard.compress(matrix.astype(np.int64).tobytes()), *sparse_rows(counts.reshape(-1, width))]})
 
     rows = cut(cogrouped(blocks.select("block", "held", "sizes", "lids"), entries, "block", profile, schema), "lm-profiles")
     release(blocks.sparkSession)
@@ -175,7 +192,7 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
             at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
             while len(places) > len(total):
                 total, cls = np.concatenate((total, np.zeros_like(total))), np.concatenate((cls, np.zeros_like(cls)))
-            np.add.at(total, at, np.frombuffer(b"".join(b.column(4).to_pylist()), "<i4").reshape(-1, width))
+            add_sparse(total, at, b.column(4).to_pylist())
             cls[at] = b.column(1).to_numpy()
             held.append((at.astype(np.int32), b.column(2), b.column(3), b.column(0)))
         best = cls.copy()
@@ -190,7 +207,9 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
             yield pa.RecordBatch.from_arrays([block, lid, word, pa.array(best[at].astype(np.int32))], ["block", "lid", "word", "cls"])
 
     moved = rows.where("word is not null").repartition("word").mapInArrow(summed, "block long, lid int, word string, cls int")
-    return cut(moved, f"lm-classes-{sweep}")
+    moved = cut(moved, f"lm-classes-{sweep}")
+    discard(rows)
+    return moved
 
 
 def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES,
@@ -226,12 +245,16 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cut(entries.select("block", "lid", "word").join(clustered.select("word", start.cast("int").alias("cls")), "word"), "lm-entries")
     release(spark)
     for sweep in range(sweeps):
-        placed = exchange_sweep(blocks, placed, classes, sweep)
+        last, placed = placed, exchange_sweep(blocks, placed, classes, sweep)
+        discard(last)
         release(spark)
     assigned = placed.select("word", "cls").distinct()
 
     own_class = F.when(F.col("word") == END, F.lit(0)).otherwise(F.coalesce("cls", F.lit(rare)))
     model = cut(vocabulary.join(assigned, "word", "left").select("word", "c", own_class.alias("cls")), "lm-model")
+    discard(placed)
+    discard(vocabulary)
+    release(spark)
     by_class = {r["cls"]: (r["n"], r["v"]) for r in model.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     tokens, types = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     mass = np.array([by_class.get(k, (0, 0))[0] for k in range(classes)], float)
@@ -274,6 +297,9 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = cut(entries.select("block", "lid", "word").join(model, "word").select("block", "lid", "c", "cls"), "lm-facts")
     release(spark)
     parts = cut(cogrouped(blocks.select("block", "ids", "held", "sizes", "lids"), facts, "block", look_up, doc_schema), "lm-documents")
+    discard(facts)
+    discard(model)
+    discard(blocks)
     release(spark)
     matrix = _matrix(parts.where("z is not null").select("z"), classes).astype(float)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes)

@@ -335,3 +335,27 @@ def test_secret_order_statistic_is_exact(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for rank in (0, 7, 250, 499):
         assert secret_scan.order_statistic(df, rank, bins=8) == sorted(values)[rank]
+
+
+def test_class_lm_profiles_are_sparse_and_whole():
+    rng = np.random.default_rng(2)
+    counts = np.where(rng.random((200, 64)) < 0.05, rng.integers(1, 70_000, (200, 64)), 0)
+    counts[5] = 0
+    counts[6, 63] = 2**32 - 1
+    rows = class_lm.sparse_rows(counts)
+    assert [len(r) for r in rows] == [5 * int(n) for n in (counts > 0).sum(axis=1)]
+    total, at = np.zeros((9, 64), np.int64), rng.integers(0, 9, 200)
+    class_lm.add_sparse(total, at, rows)
+    want = np.zeros((9, 64), np.int64)
+    np.add.at(want, at, counts)
+    assert (total == want).all()
+
+
+def test_class_lm_keeps_no_replaced_table(spark, monkeypatch):
+    made, gone = [], []
+    cut, discard = class_lm.cut, class_lm.discard
+    monkeypatch.setattr(class_lm, "cut", lambda df, name: made.append(name) or cut(df, name))
+    monkeypatch.setattr(class_lm, "discard", lambda t: gone.append(t.cut_path) or discard(t))
+    docs = frame(spark, [(i, f"x{i % 10} y{i // 10} x{i % 10}") for i in range(100)])
+    assert class_lm.class_lm_scores(docs).count() == 100
+    assert len(gone) == len(made) - 1  # what the scores are read from is left
