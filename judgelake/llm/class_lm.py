@@ -154,16 +154,16 @@ def add_sparse(total: np.ndarray, at: np.ndarray, rows: list[bytes]) -> None:
 def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: int) -> DataFrame:
     """One sweep of the exchange algorithm: ``entries`` with every clustered word in its best class.
 
-    ``entries`` (block, lid, word, cls) are the clustered words of each block. The
+    ``entries`` (block, lid, wid, c, cls) are the clustered words of each block by number, with their counts. The
     words' neighbour counts are summed by word, and all words move against the same
     class counts. Each count carries its block along, so that the new class goes
     back there without another join."""
     rare = classes - 1
-    schema = "word string, cls int, at long, lid int, profile binary"
+    schema = "wid long, c long, cls int, at long, lid int, profile binary"
     width = 2 * classes
 
     def profile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["word", "cls", "at", "lid", "profile"]
+        names = ["wid", "c", "cls", "at", "lid", "profile"]
         if not len(left):
             return pd.DataFrame({n: [] for n in names})
         row = next(left.itertuples())
@@ -177,12 +177,15 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
         counts = np.bincount(at + before[ok], minlength=len(own) * width)
         counts += np.bincount(at + classes + after[ok], minlength=len(own) * width)
         matrix = np.bincount(before[train] * classes + token[train], minlength=classes * classes)
-        return pd.DataFrame({"word": [None, *right["word"]], "cls": [0, *right["cls"]], "at": row.block, "lid": [0, *own],
-                             "profile": [zstandard.compress(matrix.astype(np.int64).tobytes()), *sparse_rows(counts.reshape(-1, width))]})
+        # the block's matrix goes under number -1, which no word has
+        with_first = lambda first, col: np.concatenate(([first], right[col].to_numpy()))
+        return pd.DataFrame({"wid": with_first(-1, "wid"), "c": with_first(0, "c"), "cls": with_first(0, "cls"), "at": row.block,
+                             "lid": with_first(0, "lid"), "profile": [
+            zstandard.compress(matrix.astype(np.int64).tobytes()), *sparse_rows(counts.reshape(-1, width))]})
 
     rows = cut(cogrouped(blocks.select("block", "held", "sizes", "lids"), entries, "block", profile, schema), "lm-profiles")
     release(blocks.sparkSession)
-    matrix = _matrix(rows.where("word is null").select(F.col("profile").alias("z")), classes)
+    matrix = _matrix(rows.where("wid < 0").select(F.col("profile").alias("z")), classes)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, total, cls = _Ids(), np.zeros((1024, width), np.int64), np.zeros(1024, np.int64)
@@ -192,9 +195,9 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
             at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
             while len(places) > len(total):
                 total, cls = np.concatenate((total, np.zeros_like(total))), np.concatenate((cls, np.zeros_like(cls)))
-            add_sparse(total, at, b.column(4).to_pylist())
-            cls[at] = b.column(1).to_numpy()
-            held.append((at.astype(np.int32), b.column(2), b.column(3), b.column(0)))
+            add_sparse(total, at, b.column(5).to_pylist())
+            cls[at] = b.column(2).to_numpy()
+            held.append((at.astype(np.int32), b.column(3), b.column(4), b.column(0), b.column(1)))
         best = cls.copy()
         for i in range(0, len(places), 256):
             part = slice(i, min(i + 256, len(places)))
@@ -203,10 +206,10 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
             to = gain.argmax(axis=1)
             better = gain[np.arange(len(to)), to] > 1e-9
             best[part] = np.where(better, to, cls[part])
-        for at, block, lid, word in held:
-            yield pa.RecordBatch.from_arrays([block, lid, word, pa.array(best[at].astype(np.int32))], ["block", "lid", "word", "cls"])
+        for at, *own in held:
+            yield pa.RecordBatch.from_arrays([*own, pa.array(best[at].astype(np.int32))], ["block", "lid", "wid", "c", "cls"])
 
-    moved = rows.where("word is not null").repartition("word").mapInArrow(summed, "block long, lid int, word string, cls int")
+    moved = rows.where("wid >= 0").repartition("wid").mapInArrow(summed, "block long, lid int, wid long, c long, cls int")
     moved = cut(moved, f"lm-classes-{sweep}")
     discard(rows)
     return moved
@@ -233,29 +236,35 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = cut(token_blocks(rows), "lm-blocks")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "e")).select(
         "block", "lid", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    vocabulary = cut(entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-vocabulary")
+    # From the join with the vocabulary on a word goes by its number there.
+    vocabulary = cut(entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+                     .withColumn("wid", F.monotonically_increasing_id()), "lm-vocabulary")
     release(spark)
-    clustered = vocabulary.where((F.col("c") >= min_count) & (F.col("word") != END))
+    is_clustered = (F.col("c") >= min_count) & (F.col("word") != END)
 
     # The most frequent words begin a class each, the others in one by hash.
-    seeds = [r["word"] for r in clustered.orderBy(F.desc("c"), "word").limit(classes - 2).collect()]
+    seeds = [r["word"] for r in vocabulary.where(is_clustered).orderBy(F.desc("c"), "word").limit(classes - 2).collect()]
     start = F.pmod(F.xxhash64("word"), F.lit(classes - 2)) + 1
     for i, w in enumerate(seeds):
         start = F.when(F.col("word") == w, F.lit(i + 1)).otherwise(start)
-    placed = cut(entries.select("block", "lid", "word").join(clustered.select("word", start.cast("int").alias("cls")), "word"), "lm-entries")
+    start = F.when(F.col("word") == END, F.lit(0)).when(~is_clustered, F.lit(rare)).otherwise(start)
+    known = cut(entries.select("block", "lid", "word").join(vocabulary.select("word", "wid", "c", start.cast("int").alias("cls")), "word")
+                .select("block", "lid", "wid", "c", "cls"), "lm-entries")
+    others = vocabulary.where(~is_clustered).groupBy(F.when(F.col("word") == END, F.lit(0)).otherwise(F.lit(rare)).alias("cls")).agg(
+        F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    discard(vocabulary)
     release(spark)
+    fixed = F.col("cls").isin(0, rare)
+    placed = known.where(~fixed)
     for sweep in range(sweeps):
         last, placed = placed, exchange_sweep(blocks, placed, classes, sweep)
-        discard(last)
+        if sweep:
+            discard(last)
         release(spark)
-    assigned = placed.select("word", "cls").distinct()
 
-    own_class = F.when(F.col("word") == END, F.lit(0)).otherwise(F.coalesce("cls", F.lit(rare)))
-    model = cut(vocabulary.join(assigned, "word", "left").select("word", "c", own_class.alias("cls")), "lm-model")
-    discard(placed)
-    discard(vocabulary)
-    release(spark)
-    by_class = {r["cls"]: (r["n"], r["v"]) for r in model.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    words = placed.groupBy("wid").agg(F.first("c").alias("c"), F.first("cls").alias("cls"))
+    by_class = {r["cls"]: (r["n"], r["v"]) for r in
+                [*others, *words.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()]}
     tokens, types = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     mass = np.array([by_class.get(k, (0, 0))[0] for k in range(classes)], float)
     rare_types = by_class.get(rare, (0, 0))[1]
@@ -294,12 +303,11 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total["z"] = [zstandard.compress(matrix.tobytes())]
         return pd.concat([out, total.astype({"doc_id": "Int64"})], ignore_index=True)
 
-    facts = cut(entries.select("block", "lid", "word").join(model, "word").select("block", "lid", "c", "cls"), "lm-facts")
-    release(spark)
+    columns = ("block", "lid", "c", "cls")
+    facts = known.where(fixed).select(*columns).union(placed.select(*columns))
     parts = cut(cogrouped(blocks.select("block", "ids", "held", "sizes", "lids"), facts, "block", look_up, doc_schema), "lm-documents")
-    discard(facts)
-    discard(model)
-    discard(blocks)
+    for replaced in (known, placed, blocks) if sweeps else (known, blocks):
+        discard(replaced)
     release(spark)
     matrix = _matrix(parts.where("z is not null").select("z"), classes).astype(float)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes)
