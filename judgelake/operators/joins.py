@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,13 @@ def pair_testcases(ins: DataFrame, outs: DataFrame,
                .withColumn("has_expected", F.coalesce(F.col("has_expected"), F.lit(False))))
 
 
+def pair_listed(files: DataFrame, keys: Sequence[str] = ("problem_id", "stem"), kind: str = "kind") -> DataFrame:
+    """J1 over one listing of both kinds (``in``, ``out``): its ``.in`` rows with has_expected, as
+    ``pair_testcases`` gives them. Rows that lie by some of the keys already are not shuffled."""
+    paired = files.withColumn("has_expected", F.max(F.col(kind) == "out").over(Window.partitionBy(*keys)))
+    return paired.where(F.col(kind) == "in").drop(kind)
+
+
 def exclude_processed(df: DataFrame, done: DataFrame, key: str = "id", done_key: str = "problem_id") -> DataFrame:
     """Drop problems already in the processed set."""
     return df.join(done.select(F.col(done_key).alias(key)).distinct(), key, "left_anti")
