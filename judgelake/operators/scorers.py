@@ -95,27 +95,33 @@ def score(results: DataFrame, scorer: Scorer, key: str = "submission_id") -> Dat
             yield out()
 
     def in_turn(batches: Iterator[pd.DataFrame], cols: list[str], give, names: list[str]) -> Iterator[pd.DataFrame]:
-        """Merge neighbouring rows of equal ``cols``; one state is held at a time."""
-        held, state, out = None, None, []
+        """Merge neighbouring rows of equal ``cols``; one state is held at a time, as bytes until another meets it."""
+        held, data, state, out = None, None, None, []
         for b in batches:
-            for *k, z in zip(*(b[c] for c in cols), b["state"]):
+            for *k, z in zip(*(b[c].tolist() for c in cols), b["state"]):
                 if k == held:
-                    state = scorer.merge(state, pickle.loads(z))
+                    state, data = scorer.merge(state if data is None else pickle.loads(data), pickle.loads(z)), None
                     continue
                 if held is not None:
-                    out.append((held[0], give(state)))
-                held, state = k, pickle.loads(z)
+                    out.append((held[0], give(data, state)))
+                held, data, state = k, z, None
             if out:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         if held is not None:
-            yield pd.DataFrame([(held[0], give(state))], columns=names)
+            yield pd.DataFrame([(held[0], give(data, state))], columns=names)
+
+    def as_bytes(data, state) -> bytes:
+        return pickle.dumps(state) if data is None else data
+
+    def finished(data, state) -> float:
+        return float(scorer.finish(state if data is None else pickle.loads(data)))
 
     states = results.where(F.col(key).isNotNull()).select(key, *fields).mapInPandas(partial, f"{typed}, state binary")
     salted = states.withColumn("_salt", F.spark_partition_id() % SALTS).repartition(key, "_salt").sortWithinPartitions(key, "_salt")
-    few = salted.mapInPandas(lambda bs: in_turn(bs, [key, "_salt"], pickle.dumps, [key, "state"]), f"{typed}, state binary")
+    few = salted.mapInPandas(lambda bs: in_turn(bs, [key, "_salt"], as_bytes, [key, "state"]), f"{typed}, state binary")
     scores = few.repartition(key).sortWithinPartitions(key).mapInPandas(
-        lambda bs: in_turn(bs, [key], lambda s: float(scorer.finish(s)), [key, "score"]), f"{typed}, score double")
+        lambda bs: in_turn(bs, [key], finished, [key, "score"]), f"{typed}, score double")
     return scores.withColumn("score", F.round("score", 3))
 
 
