@@ -105,6 +105,32 @@ def test_line_dedup_against_brute_force(spark):
     assert len(got) == len(own)
 
 
+def test_line_dedup_checks_pairs_in_passes(spark, monkeypatch):
+    """Each pass checks a share of the pairs, none twice; together they settle what one pass over all does."""
+    rng = random.Random(5)
+    words = [f"t{i}" for i in range(30)]
+    lines = [" ".join(rng.sample(words, 10)) for _ in range(30)]
+    for _ in range(90):
+        w = rng.choice(lines).split()
+        w[rng.randrange(len(w))] = rng.choice(words)
+        lines.append(" ".join(w))
+    docs, asked, real = frame(spark, [(i, x) for i, x in enumerate(lines)]), [], line_dedup.verified
+
+    def kept(pairs, texts, similarity):
+        asked.append([tuple(r) for r in pairs.select("early", "late").collect()])
+        return real(pairs, texts, similarity)
+    monkeypatch.setattr(line_dedup, "verified", kept)
+    removed = lambda: sorted(r.doc_id for r in line_dedup.duplicate_lines(docs).collect() if r.removed)
+    monkeypatch.setattr(line_dedup, "CHECK_PASSES", 1)
+    want = removed()
+    whole = asked[1]
+    monkeypatch.setattr(line_dedup, "CHECK_PASSES", 3)
+    assert removed() == want and want
+    passes = asked[3:]
+    assert len(asked) == 6 and sum(map(len, passes)) <= len(whole) and all(0 < len(p) < len(whole) for p in passes[:1])
+    assert not set(passes[0]) & set(passes[1]) and set(passes[0]) | set(passes[1]) | set(passes[2]) <= set(whole)
+
+
 def test_line_dedup_stage(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven"
     docs = frame(spark, [(1, f"{a}\nshort"), (2, f"{a} \n{b}\nshort"), (3, None), (4, f"{b}")])
