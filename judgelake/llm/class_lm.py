@@ -22,6 +22,8 @@ MIN_COUNT = 4
 SWEEPS = 2
 #: Tokens in a block of documents; a block's dictionary is what a task looks words up in.
 BLOCK_TOKENS = 2_000_000
+#: Rows per Arrow batch of the small rows of dictionaries and profiles.
+ENTRY_BATCH_ROWS = 10_000
 DISCOUNT = 0.75
 #: Pseudo-transitions that the classes' shares lend to a class.
 ALPHA = 5.0
@@ -29,6 +31,8 @@ ALPHA = 5.0
 END = "\n"
 #: A word's neighbour counts in a block as the places that are not zero, most often a few of all.
 COUNT = np.dtype([("place", "u1"), ("n", "<u4")])
+#: The same in fewer bytes, as a sweep's profiles hold them: a count over 255, which few words have, takes several records of one place.
+SMALL_COUNT = np.dtype([("place", "u1"), ("n", "u1")])
 
 
 class _Ids(dict):
@@ -123,8 +127,14 @@ def exchange_gain(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, own:
     m = matrix.astype(float)
     n = left.sum(axis=1)
     rows, cols = m.sum(axis=1), m.sum(axis=0)
-    into = (phi(m[None] + left[:, :, None]) - phi(m)[None]).sum(axis=1)        # c -> B
-    into += (phi(m[None] + right[:, None, :]) - phi(m)[None]).sum(axis=2)      # B -> c
+    into = np.zeros(left.shape)
+    for counts, table in ((left, m), (right, m.T)):                            # c -> B, B -> c
+        # a word's counts are zero for most classes, and those change nothing
+        word, c = np.nonzero(counts)
+        if len(word):
+            change = phi(table[c] + counts[word, c][:, None]) - phi(table)[c]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            into[word[first]] += np.add.reduceat(change, first)
     into -= phi(rows[None] + n[:, None]) - phi(rows)[None] + phi(cols[None] + n[:, None]) - phi(cols)[None]
     a_col, a_row = m[:, own].T, m[own]
     out = (phi(np.maximum(a_col - left, 0)) - phi(a_col)).sum(axis=1) + (phi(np.maximum(a_row - right, 0)) - phi(a_row)).sum(axis=1)
@@ -134,36 +144,50 @@ def exchange_gain(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, own:
     return gain
 
 
-def sparse_rows(counts: np.ndarray) -> list[bytes]:
-    """Each row of a matrix of counts (at most 256 columns) as ``COUNT`` records."""
+def sparse_rows(counts: np.ndarray, record: np.dtype = COUNT) -> list[bytes]:
+    """Each row of a matrix of counts (at most 256 columns) as records, which add up to the row."""
     row, place = np.nonzero(counts)
-    out = np.empty(len(row), COUNT)
-    out["place"], out["n"] = place, counts[row, place]
+    n, most = counts[row, place], np.iinfo(record["n"]).max
+    pieces = -(-n // most)
+    row = np.repeat(row, pieces)
+    out = np.empty(len(row), record)
+    out["place"], out["n"] = np.repeat(place, pieces), most
+    out["n"][np.cumsum(pieces) - 1] = n - most * (pieces - 1)
     data = out.tobytes()
-    ends = np.cumsum(np.bincount(row, minlength=len(counts))) * COUNT.itemsize
+    ends = np.cumsum(np.bincount(row, minlength=len(counts))) * record.itemsize
     return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-def add_sparse(total: np.ndarray, at: np.ndarray, rows: list[bytes]) -> None:
+def add_sparse(total: np.ndarray, at: np.ndarray, rows: list[bytes], record: np.dtype = COUNT) -> None:
     """Add the counts of ``rows`` to the rows ``at`` of ``total``."""
-    width = np.fromiter(map(len, rows), np.int64, len(rows)) // COUNT.itemsize
-    counts = np.frombuffer(b"".join(rows), COUNT)
+    width = np.fromiter(map(len, rows), np.int64, len(rows)) // record.itemsize
+    _add_records(total, at, width, np.frombuffer(b"".join(rows), record))
+
+
+def _add_records(total: np.ndarray, at: np.ndarray, width: np.ndarray, counts: np.ndarray) -> None:
     np.add.at(total.reshape(-1), np.repeat(at, width) * total.shape[1] + counts["place"], counts["n"].astype(total.dtype))
 
 
+def _records(column: pa.Array, record: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """How many records each value of a binary column has, and all of them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return np.diff(ends) // record.itemsize, data.view(record)
+
+
 def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: int) -> DataFrame:
     """One sweep of the exchange algorithm: ``entries`` with every clustered word in its best class.
 
-    ``entries`` (block, lid, wid, c, cls) are the clustered words of each block by number, with their counts. The
+    ``entries`` (block, lid, wid, cls) are the clustered words of each block by number. The
     words' neighbour counts are summed by word, and all words move against the same
     class counts. Each count carries its block along, so that the new class goes
-    back there without another join."""
+    back there without another join. A word's count c is the sum of the counts before it: it does not travel."""
     rare = classes - 1
-    schema = "wid long, c long, cls int, at long, lid int, profile binary"
+    schema = "wid long, cls int, at long, lid int, profile binary"
     width = 2 * classes
 
     def profile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["wid", "c", "cls", "at", "lid", "profile"]
+        names = ["wid", "cls", "at", "lid", "profile"]
         if not len(left):
             return pd.DataFrame({n: [] for n in names})
         row = next(left.itertuples())
@@ -179,11 +203,13 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
         matrix = np.bincount(before[train] * classes + token[train], minlength=classes * classes)
         # the block's matrix goes under number -1, which no word has
         with_first = lambda first, col: np.concatenate(([first], right[col].to_numpy()))
-        return pd.DataFrame({"wid": with_first(-1, "wid"), "c": with_first(0, "c"), "cls": with_first(0, "cls"), "at": row.block,
+        return pd.DataFrame({"wid": with_first(-1, "wid"), "cls": with_first(0, "cls"), "at": row.block,
                              "lid": with_first(0, "lid"), "profile": [
-            zstandard.compress(matrix.astype(np.int64).tobytes()), *sparse_rows(counts.reshape(-1, width))]})
+            zstandard.compress(matrix.astype(np.int64).tobytes()), *sparse_rows(counts.reshape(-1, width), SMALL_COUNT)]})
 
-    rows = cut(cogrouped(blocks.select("block", "held", "sizes", "lids"), entries, "block", profile, schema), "lm-profiles")
+    text_batches(blocks.sparkSession, ENTRY_BATCH_ROWS)
+    rows = cut(cogrouped(blocks.select("block", "held", "sizes", "lids"), entries.select("block", "lid", "wid", "cls"),
+                         "block", profile, schema), "lm-profiles")
     release(blocks.sparkSession)
     matrix = _matrix(rows.where("wid < 0").select(F.col("profile").alias("z")), classes)
 
@@ -191,13 +217,13 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
         places, total, cls = _Ids(), np.zeros((1024, width), np.int64), np.zeros(1024, np.int64)
         held = []
         for b in batches:
-            words = b.column(0).to_pylist()
-            at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            code, words = pd.factorize(b.column(0).to_numpy())
+            at = np.fromiter(map(places.__getitem__, words.tolist()), np.int64, len(words))[code]
             while len(places) > len(total):
                 total, cls = np.concatenate((total, np.zeros_like(total))), np.concatenate((cls, np.zeros_like(cls)))
-            add_sparse(total, at, b.column(5).to_pylist())
-            cls[at] = b.column(2).to_numpy()
-            held.append((at.astype(np.int32), b.column(3), b.column(4), b.column(0), b.column(1)))
+            _add_records(total, at, *_records(b.column(4), SMALL_COUNT))
+            cls[at] = b.column(1).to_numpy()
+            held.append((at.astype(np.int32), b.column(2), b.column(3), b.column(0)))
         best = cls.copy()
         for i in range(0, len(places), 256):
             part = slice(i, min(i + 256, len(places)))
@@ -206,8 +232,10 @@ def exchange_sweep(blocks: DataFrame, entries: DataFrame, classes: int, sweep: i
             to = gain.argmax(axis=1)
             better = gain[np.arange(len(to)), to] > 1e-9
             best[part] = np.where(better, to, cls[part])
+        c = total[:, :classes].sum(axis=1)
         for at, *own in held:
-            yield pa.RecordBatch.from_arrays([*own, pa.array(best[at].astype(np.int32))], ["block", "lid", "wid", "c", "cls"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(c[at]), pa.array(best[at].astype(np.int32))],
+                                             ["block", "lid", "wid", "c", "cls"])
 
     moved = rows.where("wid >= 0").repartition("wid").mapInArrow(summed, "block long, lid int, wid long, c long, cls int")
     moved = cut(moved, f"lm-classes-{sweep}")
@@ -304,6 +332,7 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.concat([out, total.astype({"doc_id": "Int64"})], ignore_index=True)
 
     columns = ("block", "lid", "c", "cls")
+    text_batches(spark, ENTRY_BATCH_ROWS)
     facts = known.where(fixed).select(*columns).union(placed.select(*columns))
     parts = cut(cogrouped(blocks.select("block", "ids", "held", "sizes", "lids"), facts, "block", look_up, doc_schema), "lm-documents")
     for replaced in (known, placed, blocks) if sweeps else (known, blocks):

@@ -377,6 +377,29 @@ def test_class_lm_profiles_are_sparse_and_whole():
     assert (total == want).all()
 
 
+def test_class_lm_profiles_are_small(spark, monkeypatch):
+    """A sweep's profiles take two bytes a count and carry no count of the word, which is their sum."""
+    rng = np.random.default_rng(4)
+    counts = np.where(rng.random((50, 64)) < 0.1, rng.integers(1, 256, (50, 64)), 0)
+    counts[3, :2], counts[4, 5], counts[6] = (256, 255 * 9), 70_000, 0
+    rows, total = class_lm.sparse_rows(counts, class_lm.SMALL_COUNT), np.zeros((50, 64), np.int64)
+    assert [len(r) for r in rows] == [2 * int(n) for n in -(-counts // 255).sum(axis=1)]
+    class_lm.add_sparse(total, np.arange(50), rows, class_lm.SMALL_COUNT)
+    assert (total == counts).all()
+    kept, cut = {}, class_lm.cut
+
+    def made(df, name):
+        kept[name] = [r.asDict() for r in df.collect()]
+        return cut(df, name)
+    monkeypatch.setattr(class_lm, "cut", made)
+    docs = frame(spark, [(i, f"x{i % 10} y{i // 10} x{i % 10}") for i in range(100)])
+    class_lm.class_lm_scores(docs).count()
+    assert set(kept["lm-profiles"][0]) == {"wid", "cls", "at", "lid", "profile"}
+    counts = {(r["block"], r["lid"]): r["c"] for r in kept["lm-entries"]}
+    moved = kept["lm-classes-1"]
+    assert moved and all(r["c"] == counts[r["block"], r["lid"]] for r in moved)
+
+
 def test_class_lm_keeps_no_replaced_table(spark, monkeypatch):
     made, gone = [], []
     cut, discard = class_lm.cut, class_lm.discard
