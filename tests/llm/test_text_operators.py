@@ -131,6 +131,31 @@ def test_line_dedup_checks_pairs_in_passes(spark, monkeypatch):
     assert not set(passes[0]) & set(passes[1]) and set(passes[0]) | set(passes[1]) | set(passes[2]) <= set(whole)
 
 
+def test_line_dedup_long_lines_are_told_apart_by_sketches(spark, monkeypatch):
+    """Long lines that share their rare words only never get to the check of texts; similar ones of any length do."""
+    rng = random.Random(11)
+    rare = [f"r{i}" for i in range(60)]
+    lines = [" ".join(rare + [f"c{rng.randrange(4000)}" for _ in range(rng.randint(240, 330))]) for _ in range(25)]
+    for k, x in enumerate(lines[:8]):
+        words = x.split()
+        lines.append(" ".join(words[:len(words) - 5 * k - 1] + ["other"]))
+    small = [f"s{i}" for i in range(80)]
+    lines += [" ".join(small[:n]) for n in (62, 63, 64, 65, 66, 80)]
+    docs, asked, real = frame(spark, [(i, x) for i, x in enumerate(lines)]), [], line_dedup.verified
+
+    def kept(pairs, texts, similarity):
+        asked.extend(tuple(r) for r in pairs.select("early", "late").collect())
+        return real(pairs, texts, similarity)
+    monkeypatch.setattr(line_dedup, "verified", kept)
+    got = {r.doc_id for r in line_dedup.duplicate_lines(docs).collect() if r.removed}
+    sets = [set(x.split()) for x in lines]
+    like = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    assert got == {j for _, j in like} and got
+    raw = {xxhash.xxh64_intdigest(x): i for i, x in enumerate(lines)}
+    pairs = {(raw[a % 2**64], raw[b % 2**64]) for a, b in asked}
+    assert pairs <= set(like) and len(pairs) == len(asked)
+
+
 def test_line_dedup_stage(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven"
     docs = frame(spark, [(1, f"{a}\nshort"), (2, f"{a} \n{b}\nshort"), (3, None), (4, f"{b}")])
