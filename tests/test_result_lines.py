@@ -28,3 +28,10 @@ def test_a_line_is_split_once(spark):
     good, _ = parse_test_result_lines(lines)
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 2  # in the test and in the fields; each expression splits once
+
+
+def test_a_line_is_made_once(spark):
+    """Neither the test for empty lines nor that for bad ones takes a copy of what makes the line."""
+    lines = spark.range(3).select(F.md5(F.concat(F.col("id").cast("string"), F.lit(";"))).alias("value"))
+    for part in parse_test_result_lines(lines):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
