@@ -227,3 +227,77 @@ def test_early_finish_asks_its_state_seldom():
     out = list(p.handleInputRows((7,), iter([case(1), case(3)]), Now()))
     assert [(r.submission_id, r.status, r.time_used, r.failed_case) for r in out] == [(7, "Accepted", 3, 0)]
     assert calls == ["get", "getValue", "removeKey", "update"]
+
+
+def test_buckets_close_as_single_submissions_do():
+    """Random batches with repeats, gaps, nulls and late rows: equal results, one read and one write per batch."""
+    import pyarrow as pa
+    import pandas as pd
+    from judgelake.streaming import early_finish as EF
+    from pyspark.sql import Row
+
+    asked = []
+
+    class Value:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, v):
+            asked.append("update")
+            self.value = v
+
+        def clear(self):
+            self.value = None
+
+    class Map(dict):
+        containsKey, getValue, removeKey, updateValue = dict.__contains__, dict.get, dict.__delitem__, dict.__setitem__
+
+    class Handle:
+        getValueState = lambda self, *_: Value()
+        getMapState = lambda self, *_: Map()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 7
+    names = EF.ARRIVED.names
+    rng = random.Random(11)
+    bulk, single = EF.BulkEarlyFinish(10, 10), {k: EF.EarlyFinish(10, 10) for k in range(200)}
+    for p in (bulk, *single.values()):
+        p.init(Handle())
+    size = {k: rng.randint(0, 6) for k in single}
+    got, want = {}, {}
+    for _ in range(12):
+        rows = []
+        for _ in range(150):
+            k = rng.randrange(200)
+            status = rng.choice([K.ACCEPTED] * 8 + [K.WRONG_ANSWER, None])
+            rows.append(dict(submission_id=k, ordinal=rng.randint(1, max(1, size[k])), total=size[k], has_expected=rng.random() < 0.9, status=status,
+                             time_used=rng.choice([None, (1 << 60) + 1, 3, -4]), message=rng.choice([None, "m", "é"])))
+        for k in {r["submission_id"] for r in rows}:
+            mine = [Row(**r) for r in rows if r["submission_id"] == k]
+            want |= {r.submission_id: tuple(r) for r in single[k].handleInputRows((k,), iter(mine), Now())}
+        packs = [EF._packed(pa.Table.from_pylist([{n: r[n] for n in names} for r in part], EF.ARRIVED), None) for part in (rows[:70], rows[70:])]
+        del asked[:]
+        for out in bulk.handleInputRows((0,), iter([pd.DataFrame({"rows": packs})]), Now()):
+            for r in out.astype(object).where(out.notna(), None).itertuples(index=False):
+                assert r.submission_id not in got  # once
+                got[r.submission_id] = tuple(r)
+        assert asked == ["get", "update"]
+    assert got == want and len({r[1] for r in want.values()}) == 3 and len(want) > 150
+
+
+def test_early_finish_state_is_a_value_per_bucket(spark, base):
+    feed(spark, base, [case(None if k == 7 else k, 1, 1 + k % 2) for k in range(3000)], CASES)
+    q, got = None, None
+    s = spark.readStream.schema(CASES).parquet(f"{base}/src")
+    q = jobs.run_available(stream_early_finish(s).writeStream.format("parquet").option("path", f"{base}/sink"), f"{base}/ckpt", 90)
+    got = [r.submission_id for r in spark.read.parquet(f"{base}/sink").collect()]
+    assert sorted(got, key=str) == sorted(range(0, 3000, 2), key=str)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 1025  # 6,000 with a value and a timer for each submission
+    feed(spark, base, [case(None, 2, 2)], CASES)
+    jobs.run_available(stream_early_finish(s).writeStream.format("parquet").option("path", f"{base}/sink"), f"{base}/ckpt", 90)
+    assert [r.submission_id for r in spark.read.parquet(f"{base}/sink").collect()].count(None) == 1
